@@ -1,0 +1 @@
+"""Left empty on purpose: the reference is batch only, so no streaming operator is built."""
