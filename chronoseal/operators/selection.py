@@ -302,14 +302,13 @@ def _ternary_grid_metrics(
 
 
 def _best_ternary(metrics: DataFrame, keys: Sequence[str], tie: Sequence[str]) -> DataFrame:
-    """Best row per keys under the ternary order, by one ``max`` over a struct."""
+    """Best row per keys under the ternary order, by one ``max_by``."""
     payload = [c for c in metrics.columns if c not in keys]
-    entry = F.struct(
+    order = F.struct(
         *[F.round(F.col(m), EQUAL_DIGITS).alias(f"o{i}") for i, m in enumerate(TERNARY_ORDER)],
         *[(-F.col(t)).alias(f"t{i}") for i, t in enumerate(tie)],
-        F.struct(*payload).alias("row"),
     )
-    return metrics.groupBy(*keys).agg(F.max(entry).alias("b")).select(*keys, "b.row.*")
+    return metrics.groupBy(*keys).agg(F.max_by(F.struct(*payload), order).alias("b")).select(*keys, "b.*")
 
 
 def select_ternary(

@@ -152,18 +152,17 @@ def pick_best(
 ) -> DataFrame:
     """Best cut per keys: metric order, then ``prefer`` (larger wins), then the lowest threshold.
 
-    One ``max`` over a struct, so each task sends one row per key.
+    One ``max_by``, so each task sends one row per key.
     """
     metrics = binary_columns(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))
     ranked = [F.round(metrics[m], digits) if digits is not None else metrics[m] for m in order]
     payload = [c for c in cuts.columns if c not in keys]
-    entry = F.struct(
+    rank = F.struct(
         *[c.alias(f"o{i}") for i, c in enumerate(ranked)],
         *[c.alias(f"q{i}") for i, c in enumerate(prefer)],
         (-F.col("threshold")).alias("t"),
-        F.struct(*payload).alias("row"),
     )
-    best = cuts.groupBy(*keys).agg(F.max(entry).alias("b")).select(*keys, "b.row.*")
+    best = cuts.groupBy(*keys).agg(F.max_by(F.struct(*payload), rank).alias("b")).select(*keys, "b.*")
     after = binary_columns(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))
     return best.select("*", *[after[m].alias(m) for m in BINARY_METRICS])
 
