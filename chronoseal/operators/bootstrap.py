@@ -26,17 +26,22 @@ def _replicates(cells: DataFrame, samples: int, cell_names: Sequence[str], keys:
 
 
 def _draw(strata: Sequence[Sequence[str]], seed: int, columns: Sequence[str]):
+    names = [n for s in strata for n in s]
+    spans = np.cumsum([0, *[len(s) for s in strata]])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pdf[list(columns)].copy()
+            counts = pdf[names].to_numpy(dtype=np.int64)
+            drawn = np.zeros_like(counts)
             for row, replicate in enumerate(pdf["replicate"].to_numpy()):
                 rng = np.random.default_rng([seed, int(replicate)])
-                for names in strata:
-                    counts = pdf.iloc[row][list(names)].to_numpy(dtype=np.int64)
-                    size = int(counts.sum())
-                    drawn = rng.multinomial(size, counts / size) if size else counts
-                    for name, value in zip(names, drawn):
-                        out.iat[row, out.columns.get_loc(name)] = int(value)
+                for low, high in zip(spans, spans[1:]):
+                    stratum = counts[row, low:high]
+                    size = stratum.sum()
+                    if size:
+                        drawn[row, low:high] = rng.multinomial(size, stratum / size)
+            out = pdf[list(columns)].copy()
+            out[names] = drawn
             yield out
 
     return run

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app_name: str = "chronoseal", **extra: str) -> SparkSession:
@@ -50,7 +50,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable."""
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: short lineage for loops, and safe when executors are lost."""
+    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    return df.checkpoint()
