@@ -60,7 +60,7 @@ def log_count(c: Column | str) -> Column:
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
     """0 where the denominator is 0."""
-    return F.when(denominator > 0, numerator / F.when(denominator > 0, denominator)).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))
 
 
 def ratio_floor1(numerator: Column, total: Column) -> Column:

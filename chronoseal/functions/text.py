@@ -9,8 +9,10 @@ settle, every other row is passed as NULL.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Mapping
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -70,9 +72,20 @@ def collapse_spaces(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " "))
 
 
+# Accented Latin letters and their base letters, in the same order.
+_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+@cache
+def _combining_marks() -> re.Pattern[str]:
+    marks = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c)))
+    return re.compile("[" + re.escape(marks) + "]+")
+
+
 def fold_text(value: str) -> str:
     """Case-fold, decompose, drop combining marks."""
-    return "".join(ch for ch in unicodedata.normalize("NFKD", value.casefold()) if not unicodedata.combining(ch))
+    return _combining_marks().sub("", unicodedata.normalize("NFKD", value.casefold()))
 
 
 @F.pandas_udf(StringType())
@@ -81,10 +94,15 @@ def _fold_arrow(texts: pd.Series) -> pd.Series:
 
 
 def fold_accents(c: Column | str) -> Column:
-    """Accent-folded text. Pure ASCII rows never leave the JVM."""
+    """Accent-folded text.
+
+    Lower-casing and replacing the accented Latin letters settles every text
+    that is ASCII afterwards; only the others leave the JVM.
+    """
     c = _col(c)
-    plain = ~c.rlike(r"[^\x00-\x7F]")
-    return F.when(plain, F.lower(c)).otherwise(_fold_arrow(F.when(~plain, c)))
+    simple = F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), _ACCENTED, _PLAIN)
+    plain = ~simple.rlike(r"[^\x00-\x7F]")
+    return F.when(plain, simple).otherwise(_fold_arrow(F.when(~plain, c)))
 
 
 def starts_within(text: str, left: re.Pattern[str], right: re.Pattern[str], window: int) -> bool:

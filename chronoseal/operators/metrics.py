@@ -140,19 +140,18 @@ def decision_counts(
     keys: Sequence[str],
     label: str = "label",
     probabilities: Sequence[str] = ("prob_diagnosed", "prob_control", "prob_no_evidence"),
-    weight: Column | None = None,
 ) -> DataFrame:
     """Row counts per keys, rule, label and prediction.
 
     All rules are decided in one pass and rows are counted by their vector of
     predictions, so neither rows nor the shuffle grow with the number of rules.
     """
-    made = scores.select(*keys, F.col(label).alias("label"), F.array(*[decide_ternary(*probabilities, r) for r in rules]).alias("__made"))
-    counted = made.groupBy(*keys, "label", "__made").agg(F.count(F.lit(1)).alias("n"))
-    ids = F.array(*[F.lit(r.rule_id) for r in rules])
-    spread = counted.select(*keys, "label", "n", F.posexplode("__made").alias("__i", "predicted"))
-    named = spread.withColumn("rule_id", F.element_at(ids, F.col("__i") + 1))
-    return named.groupBy(*keys, "rule_id", "label", "predicted").agg(F.sum("n").alias("n"))
+    names = [f"__r{i}" for i in range(len(rules))]
+    made = scores.select(*keys, F.col(label).alias("label"), *[decide_ternary(*probabilities, r).alias(n) for r, n in zip(rules, names)])
+    counted = made.groupBy(*keys, "label", *names).agg(F.count(F.lit(1)).alias("n"))
+    pairs = [x for r, n in zip(rules, names) for x in (F.lit(r.rule_id), F.col(n))]
+    spread = counted.select(*keys, "label", "n", F.stack(F.lit(len(rules)), *pairs).alias("rule_id", "predicted"))
+    return spread.groupBy(*keys, "rule_id", "label", "predicted").agg(F.sum("n").alias("n"))
 
 
 def rule_metrics(counts: DataFrame, keys: Sequence[str]) -> DataFrame:

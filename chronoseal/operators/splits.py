@@ -122,8 +122,8 @@ def label_per_policy(rows: DataFrame, policies: Sequence[LabelPolicy], cutoffs:
             if policy_id == p.policy_id and label is not None:
                 per_label = F.when(F.col("binary_label") == label, F.lit(value)).otherwise(per_label)
         value = F.coalesce(per_label, cutoff.cast("double"))
-        made.append(F.struct(F.lit(p.policy_id).alias("label_policy_id"), policy_label("binary_label", p, value).alias("label")))
-    return rows.select("*", F.inline(F.array(*made)))
+        made += [F.lit(p.policy_id), policy_label("binary_label", p, value)]
+    return rows.select("*", F.stack(F.lit(len(policies)), *made).alias("label_policy_id", "label"))
 
 
 def policy_hash(policy: LabelPolicy, seed: int, manifest_digest: Column, cutoff: Column | None = None) -> Column:

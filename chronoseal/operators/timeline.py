@@ -145,12 +145,11 @@ def _histogram_max() -> Column:
 
 def _top_mean(n: int = 10) -> Column:
     """Mean of the n highest relevance values."""
-    room = F.lit(n).cast("bigint")
-    total = F.lit(0).cast("bigint")
+    total, above = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
     for v in range(10, 0, -1):
-        taken = F.least(F.col(f"__h{v}"), room)
-        total = total + taken * F.lit(v)
-        room = room - taken
+        here = F.col(f"__h{v}")
+        total = total + F.greatest(F.least(here, F.lit(n) - above), F.lit(0)) * F.lit(v)
+        above = above + here
     return total.cast("double") / F.greatest(F.least(F.col("total_tweets"), F.lit(n)), F.lit(1)).cast("double")
 
 
