@@ -38,9 +38,9 @@ def relevance_raw(c: Column | str) -> Column:
 def relevance_score(c: Column | str) -> Column:
     """Clipped companion of :func:`relevance_raw`: non-digits score 0, digits clip to 10."""
     text = F.trim(_col(c).cast("string"))
-    # A digit run too long for BIGINT is still a number above 10.
-    digits = F.when(text.rlike("^[0-9]+$"), F.coalesce(text.try_cast("bigint"), F.lit(10)))
-    return F.coalesce(F.least(digits, F.lit(10)), F.lit(0)).cast("int")
+    # `least` skips NULL, so non-digits branch off first. A digit run too long for BIGINT is a number above 10.
+    clipped = F.least(F.coalesce(text.try_cast("bigint"), F.lit(10)), F.lit(10))
+    return F.when(F.coalesce(text.rlike("^[0-9]+$"), F.lit(False)), clipped).otherwise(F.lit(0)).cast("int")
 
 
 def evidence_score() -> Column:
@@ -124,7 +124,7 @@ def gated_probabilities(positive: Column | str, gate: Column | str) -> list[Colu
 def fixed_number(c: Column | str, digits: int = 8) -> Column:
     """Whole numbers print without a fraction, others with ``digits`` decimals."""
     c = _col(c).cast("double")
-    return F.when(c == F.floor(c), c.cast("decimal(38,0)").cast("string")).otherwise(F.format_string(f"%.{digits}f", c))
+    return F.when(c == F.rint(c), c.cast("decimal(38,0)").cast("string")).otherwise(F.format_string(f"%.{digits}f", c))
 
 
 def channel(relevance: Column | str, scale: float = 7.0) -> Column:

@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
@@ -97,12 +97,18 @@ def fold_accents(c: Column | str) -> Column:
     """Accent-folded text.
 
     Lower-casing and replacing the accented Latin letters settles every text
-    that is ASCII afterwards; only the others leave the JVM.
+    made of those letters and ASCII; only the others leave the JVM.
     """
     c = _col(c)
+    known = _ACCENTED + _ACCENTED.upper().replace("Ÿ", "") + "ß"
     simple = F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), _ACCENTED, _PLAIN)
-    plain = ~simple.rlike(r"[^\x00-\x7F]")
-    return F.when(plain, simple).otherwise(_fold_arrow(F.when(~plain, c)))
+    plain = ~c.rlike(rf"[^\x00-\x7F{known}]")
+    return F.coalesce(_fold_arrow(F.when(~plain, c)), simple)
+
+
+def with_folded(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Folded text as a column of its own, so that several tests share one evaluation."""
+    return df.withColumn(name, fold_accents(text))
 
 
 def starts_within(text: str, left: re.Pattern[str], right: re.Pattern[str], window: int) -> bool:
@@ -141,14 +147,13 @@ def within_window(c: Column | str, left: str, right: str, window: int = 80) -> C
 
 
 def lexical_relevance(
-    c: Column | str,
+    folded: Column | str,
     lexicon: Mapping[str, str] = RELEVANCE_LEXICON,
     points: Mapping[str, int] = RELEVANCE_POINTS,
     window: int = 80,
-    folded: bool = False,
 ) -> Column:
-    """Relevance 0..10 from lexicon hits; 0 unless a direct or an acute term occurs."""
-    text = _col(c) if folded else fold_accents(c)
+    """Relevance 0..10 of folded text from lexicon hits; 0 unless a direct or an acute term occurs."""
+    text = _col(folded)
     hit = {name: F.coalesce(text.rlike("(?U)" + pattern), F.lit(False)) for name, pattern in lexicon.items() if name != "self_token"}
     relevant = hit["direct"] | hit["acute"]
     evidence = f"(?:{lexicon['direct']})|(?:{lexicon['acute']})"
@@ -160,6 +165,12 @@ def lexical_relevance(
     return F.when(relevant, F.least(F.greatest(total, F.lit(0)), F.lit(10))).otherwise(F.lit(0))
 
 
+def with_lexical_relevance(df: DataFrame, text: str = "tweet_text", name: str = "relevance", **options: object) -> DataFrame:
+    """Add the lexical relevance of a raw text column."""
+    scored = with_folded(df, text, "__folded").withColumn(name, lexical_relevance("__folded", **options))
+    return scored.drop("__folded")
+
+
 def keyword_verdict(texts: Column | str, pattern: str = IDEATION_PATTERN) -> Column:
     """Baseline override column: does any selected post match the pattern?"""
     return F.exists(_col(texts), lambda t: F.coalesce(t.rlike(_JAVA_FLAGS + pattern), F.lit(False)))

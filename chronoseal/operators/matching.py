@@ -5,16 +5,19 @@ equals the next wanted text. That is sequential, so a user is cut at *anchors*
 first. A text that occurs equally often in source and target must use all its
 occurrences in order, which fixes its k-th target post to its k-th source post
 without looking at any other post. Between two anchors only texts that occur
-more often in the source than in the target are open; those runs are matched by
-a small greedy pass per (user, run), so the work spreads over runs, not users.
+more often in the source than in the target are open. A run with one open text
+is matched by occurrence number. Only runs that mix several open texts need the
+greedy pass, one small group per (user, run), so the work spreads over runs.
 """
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ranking import row_numbers, running_sums
 
 INDEX_BLOCK = 4096
@@ -52,11 +55,10 @@ def _run_matcher(key_type: str):
         source = pdf[pdf.side == "s"].sort_values("position")
         target = pdf[pdf.side == "t"].sort_values("position")
         found = greedy_positions(list(source["__text"]), list(target["__text"]))
-        positions = source["position"].to_numpy()
-        user = pdf["user"].iloc[0]
-        if found is None:
-            return pd.DataFrame({"user": [user] * len(target), "target_index": target["position"].to_numpy(), "source_index": pd.array([None] * len(target), dtype="Int64")})
-        return pd.DataFrame({"user": [user] * len(target), "target_index": target["position"].to_numpy(), "source_index": pd.array(positions[found], dtype="Int64")})
+        indexes = source["position"].tolist()
+        matched = [None] * len(target) if found is None else [indexes[i] for i in found]
+        out = {"user": [pdf["user"].iloc[0]] * len(target), "target_index": target["position"].tolist(), "source_index": matched}
+        return pd.DataFrame(out, dtype=object)
 
     return match, schema
 
@@ -92,18 +94,33 @@ def match_ordered_posts(
     s_kind = src.join(kinds, [key, "__text"])
     t_anchor = _occurrences(t_kind.where("kind = 'anchor'").select(key, "__text", "target_index"), key, "target_index", "occurrence")
     s_anchor = _occurrences(s_kind.where("kind = 'anchor'").select(key, "__text", "source_index"), key, "source_index", "occurrence")
-    anchors = t_anchor.join(s_anchor, [key, "__text", "occurrence"]).select(key, "target_index", "source_index")
+    # Both tables below are read several times; checkpoints keep the plan from growing with each use.
+    anchors = materialize(t_anchor.join(s_anchor, [key, "__text", "occurrence"]).select(key, "target_index", "source_index"))
     missing = t_kind.where("kind = 'missing'").select(key, "target_index", F.lit(None).cast("bigint").alias("source_index"))
 
-    opened = _open_runs(
+    runs = _open_runs(
         t_kind.where("kind = 'open'").select(key, F.lit("t").alias("side"), F.col("target_index").alias("position"), "__text"),
         s_kind.where("kind = 'open'").select(key, F.lit("s").alias("side"), F.col("source_index").alias("position"), "__text"),
         anchors,
         key,
     )
+    opened = materialize(runs)
+    shape = opened.groupBy(key, "__run").agg((F.min("__text") == F.max("__text")).alias("single"), F.count_if(F.col("side") == "t").alias("wanted"))
+    shaped = opened.join(shape.where("wanted > 0"), [key, "__run"])
+    single = _single_text_runs(shaped.where("single").select(key, "__run", "side", "position"), key)
     match, schema = _run_matcher(key_type)
-    runs = opened.withColumnRenamed(key, "user").groupBy("user", "__run").applyInPandas(lambda pdf: match(pdf), schema)
-    return anchors.unionByName(missing).unionByName(runs.withColumnRenamed("user", key))
+    mixed = shaped.where("NOT single").select(F.col(key).alias("user"), "__run", "side", "position", "__text")
+    walked = mixed.groupBy("user", "__run").applyInPandas(lambda pdf: match(pdf), schema).withColumnRenamed("user", key)
+    return anchors.unionByName(missing).unionByName(single).unionByName(walked)
+
+
+def _single_text_runs(rows: DataFrame, key: str) -> DataFrame:
+    """Runs with one open text: the k-th target post takes the k-th source post, by number and without Python."""
+    block = F.floor(F.col("position") / F.lit(INDEX_BLOCK))
+    numbered = row_numbers(rows, [key, "__run", "side"], [F.col("position")], block, "occurrence")
+    t = numbered.where("side = 't'").select(key, "__run", "occurrence", F.col("position").alias("target_index"))
+    s = numbered.where("side = 's'").select(key, "__run", "occurrence", F.col("position").alias("source_index"))
+    return t.join(s, [key, "__run", "occurrence"], "left").select(key, "target_index", "source_index")
 
 
 def _open_runs(t_open: DataFrame, s_open: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
@@ -125,8 +142,6 @@ def match_findings(matches: DataFrame, key: str = "user_id") -> DataFrame:
     block = F.floor(F.col("target_index") / F.lit(INDEX_BLOCK))
     # Order check by blocks: inside a block each index must exceed the one before it, and
     # the lowest index of a block must exceed the highest of all earlier blocks.
-    from pyspark.sql import Window as W
-
     blocked = matches.withColumn("__block", block)
     inside = W.partitionBy(key, "__block").orderBy("target_index")
     stepped = blocked.withColumn("__prev", F.lag("source_index").over(inside))

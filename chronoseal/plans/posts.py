@@ -221,8 +221,8 @@ _NEAR = _near(["the"], (_DIRECT + "|" + _ACUTE).split("|"))
 
 @query("P13 F1", f"WITH d AS (SELECT doc_id, {_FOLDED} AS t FROM documents) SELECT doc_id, {_has(_near(['the'], _ACUTE.split('|')))} AS near FROM d")
 def near_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.within_window(T.fold_accents("text"), "the", DOC_LEXICON["acute"]).alias("near"))
+    docs = T.with_folded(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "t")
+    return docs.select("doc_id", T.within_window("t", "the", DOC_LEXICON["acute"]).alias("near"))
 
 
 @query(
@@ -234,8 +234,8 @@ def near_terms(spark, sf_dir):
       + CAST(recent AS INT) + CAST(direct AND acute AS INT) - 4 * CAST(third AS INT), 0), 10) ELSE 0 END AS relevance FROM h""",
 )
 def lexical_relevance(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.lexical_relevance("text", DOC_LEXICON).alias("relevance"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return T.with_lexical_relevance(docs, "text", lexicon=DOC_LEXICON).select("doc_id", "relevance")
 
 
 @query(
@@ -249,9 +249,8 @@ def lexical_relevance(spark, sf_dir):
 )
 def proxy_markers(spark, sf_dir):
     """Lexical proxy per post, then evidence markers; a document source plays the user."""
-    docs = table(spark, sf_dir, "documents")
-    posts = docs.select(F.col("source").alias("user_id"), F.col("doc_id").alias("tweet_index"), T.lexical_relevance("text", DOC_LEXICON).alias("relevance"))
-    return rounded(TL.evidence_markers(posts))
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("user_id"), F.col("doc_id").alias("tweet_index"), "text")
+    return rounded(TL.evidence_markers(T.with_lexical_relevance(docs, "text", lexicon=DOC_LEXICON)))
 
 
 @query(
@@ -401,7 +400,7 @@ def _nested(spark, sf_dir):
 @query(
     "S4 P3 S16",
     f"""SELECT conv_id AS user_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS tweet_index, md5(text) AS text_md5,
-    TRY_CAST({_REL_TEXT} AS BIGINT) AS raw, coalesce(least(TRY_CAST({_REL_TEXT} AS BIGINT), 10), 0) AS score FROM conversations""",
+    TRY_CAST({_REL_TEXT} AS BIGINT) AS raw, CASE WHEN TRY_CAST({_REL_TEXT} AS BIGINT) IS NULL THEN 0 ELSE least(TRY_CAST({_REL_TEXT} AS BIGINT), 10) END AS score FROM conversations""",
 )
 def nested_posts(spark, sf_dir):
     """Parallel text and relevance lists, zipped into posts and parsed."""
