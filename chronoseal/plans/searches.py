@@ -10,7 +10,7 @@ from ..operators import selection as S
 from ..operators import splits as SP
 from ..operators import timeline as TL
 from .base import query
-from .evaluation import BINARY_OUT, CELLS, TERNARY_ORDER_SQL, best_sql, binary_sql, cells_sql, rule_sql, sweep_sql, ternary_sql
+from .evaluation import BINARY_OUT, CELLS, TERNARY_ORDER_SQL, best_sql, binary_sql, cells_sql, rule_sql, rules_union, sweep_sql, ternary_sql
 from .inputs import FOLDS, PEOPLE_SQL, RULES, SCORES_SQL, TERNARY_SQL, TIMELINE_SQL, people, r6, rounded, scores, ternary, timeline
 from .posts import markers_cte
 
@@ -110,11 +110,27 @@ def prefix_weights(spark, sf_dir):
     return rounded(out.select(F.col("size").cast("bigint").alias("size"), F.col("rank").cast("bigint").alias("rank"), "model_id", "equal", "metric"))
 
 
-@query("E4 E7")
+_PRUNED_SQL = f"""WITH {_RANKED.replace('range(1, 5)', 'range(1, 6)')},
+    cd AS (SELECT size, rank, model_id, 0 AS kind, equal AS weight FROM pf UNION ALL SELECT size, rank, model_id, 1, metric FROM pf),
+    bl AS (SELECT user_id, any_value(label) AS label, size * 2 + kind AS code, sum(score * weight ORDER BY rank) AS score FROM scores JOIN cd USING (model_id) WHERE split = 'train' GROUP BY user_id, size, kind),
+    ps AS (SELECT code, score, CAST(label = 'diagnosed' AS INT) AS pos FROM bl),
+    {sweep_sql('ps', 'code', 'gt').replace('sw_d', 'sx_d').replace('sw_c', 'sx_c').replace('states', 'pstates')},
+    pm AS ({binary_sql('(SELECT code, threshold, tp, fp, tn, fn FROM pstates)', 'code')}), pb AS (SELECT * FROM pm QUALIFY {best_sql('code', M.THRESHOLD_ORDER)} = 1),
+    win AS (SELECT * FROM pb ORDER BY round(macro_f1, 12) DESC, round(diagnosed_f1, 12) DESC, round(precision, 12) DESC, code LIMIT 1)
+    SELECT w.code // 2 AS size, w.code % 2 AS kind, round(threshold, 6) + 0e0 AS threshold, tp, fp, tn, fn, {r6('macro_f1', 'macro_f1')},
+      (SELECT string_agg(model_id || '=' || printf('%.6f', round(weight, 6)), ',' ORDER BY rank) FROM cd WHERE cd.size = w.code // 2 AND cd.kind = w.code % 2) AS weights FROM win w"""
+
+
+def _weights_text(weights):
+    return F.array_join(F.transform(F.map_entries(weights), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.6f", e["value"]))), ",")
+
+
+@query("E4 E7", _PRUNED_SQL)
 def select_pruned(spark, sf_dir):
     """More models than the grid limit: ranked prefixes decide."""
     lock = S.select_ensemble(_train_scores(spark, sf_dir), ["m1_linear", "m2_boost", "m3_trees", "m4_seq", "m5_stack"], 0.1, exhaustive_limit=3)
-    return rounded(lock.select("size", "kind", "threshold", "tp", "fp", "tn", "fn", "macro_f1", F.to_json("weights").alias("weights")))
+    shown = lock.select(F.col("size").cast("bigint").alias("size"), F.col("kind").cast("bigint").alias("kind"), "threshold", "tp", "fp", "tn", "fn", "macro_f1", _weights_text("weights").alias("weights"))
+    return rounded(shown)
 
 
 @query(
@@ -190,11 +206,24 @@ def refine_ternary(spark, sf_dir):
     return rounded(best.select("rule_id", "refined", *M.TERNARY_ORDER, *[f"w_{m}" for m in TRIO]))
 
 
-@query("E5")
+_TERNARY_PRUNED_SQL = f"""WITH {TERNARY_SQL}, tt AS (SELECT * FROM tern WHERE split = 'train' AND label_policy_id = 'p_half'),
+    r1 AS ({rules_union('tt', 'model_id, label')}), r2 AS (SELECT model_id, rule_id, rule_order, {cells_sql()} FROM r1 GROUP BY ALL), r3 AS ({ternary_sql('r2')}),
+    r4 AS (SELECT * FROM r3 QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY {TERNARY_ORDER_SQL}, rule_order) = 1),
+    rk AS (SELECT model_id, macro_f1, row_number() OVER (ORDER BY {TERNARY_ORDER_SQL}, model_id) AS rank FROM r4),
+    pf AS (SELECT size, rank, model_id, 1e0 / size AS equal, power(macro_f1, 4) / sum(power(macro_f1, 4)) OVER (PARTITION BY size) AS metric FROM rk, range(1, 6) r(size) WHERE rank <= size),
+    cd AS (SELECT size, rank, model_id, 0 AS kind, equal AS weight FROM pf UNION ALL SELECT size, rank, model_id, 1, metric FROM pf),
+    bl AS (SELECT user_id, any_value(label) AS label, size, kind, {', '.join(f'sum({c} * weight ORDER BY rank) AS {c}' for c in S.PROBABILITIES)} FROM tt JOIN cd USING (model_id) GROUP BY user_id, size, kind),
+    b1 AS ({rules_union('bl', 'size, kind, label')}), b2 AS (SELECT size, kind, rule_id, rule_order, {cells_sql()} FROM b1 GROUP BY ALL), b3 AS ({ternary_sql('b2')}),
+    win AS (SELECT * FROM b3 ORDER BY {TERNARY_ORDER_SQL}, size, kind, rule_order LIMIT 1)
+    SELECT CAST(size AS BIGINT) AS size, CAST(kind AS BIGINT) AS kind, rule_id, {ORDER_OUT}, (SELECT string_agg(model_id || '=' || printf('%.6f', round(weight, 6)), ',' ORDER BY rank) FROM cd WHERE cd.size = win.size AND cd.kind = win.kind) AS weights FROM win"""
+
+
+@query("E5", _TERNARY_PRUNED_SQL)
 def select_ternary_pruned(spark, sf_dir):
     rows = _train_ternary(spark, sf_dir).where("label_policy_id = 'p_half'")
     lock = S.select_ternary_pruned(rows, ["m1_linear", "m2_boost", "m3_trees", "m4_seq", "m5_stack"], RULES)
-    return rounded(lock.select("size", "kind", "rule_id", *M.TERNARY_ORDER, F.to_json("weights").alias("weights")))
+    shown = lock.select(F.col("size").cast("bigint").alias("size"), F.col("kind").cast("bigint").alias("kind"), "rule_id", *M.TERNARY_ORDER, _weights_text("weights").alias("weights"))
+    return rounded(shown)
 
 
 GROUPS = {
@@ -205,7 +234,19 @@ GROUPS = {
 }
 
 
-@query("E9 E12")
+def _group_sql(group: str, models: tuple[str, ...], precision: int) -> str:
+    """Best lock of one group per policy, as a subquery with its own CTEs."""
+    if len(models) == 1:
+        body = f"gp AS ({rules_union(f'(SELECT * FROM tern WHERE split = {chr(39)}train{chr(39)} AND model_id = {chr(39)}{models[0]}{chr(39)})', 'label_policy_id, 0 AS code, label')}), gc AS (SELECT label_policy_id, code, rule_id, rule_order, {cells_sql()} FROM gp GROUP BY ALL), tm AS ({ternary_sql('gc')})"
+    else:
+        body = _ternary_grid_sql(models, precision, "label_policy_id")
+    return f"(WITH {body} SELECT label_policy_id, '{group}' AS group_id, rule_id, {', '.join(M.TERNARY_ORDER)} FROM tm QUALIFY row_number() OVER (PARTITION BY label_policy_id ORDER BY {TERNARY_ORDER_SQL}, code, rule_order) = 1)"
+
+
+_LOCKS_SQL = f"WITH {TERNARY_SQL}, locks AS (" + " UNION ALL ".join(f"SELECT * FROM {_group_sql(g, tuple(sorted(m)), 4)}" for g, m in GROUPS.items() if g != "absent") + ")"
+
+
+@query("E9 E12", f"{_LOCKS_SQL} SELECT l.label_policy_id, l.group_id, l.rule_id, {', '.join(r6('l.' + c, c) for c in M.TERNARY_ORDER)}, {r6('l.macro_f1 - f.macro_f1', 'delta_macro_f1')} FROM locks l JOIN locks f ON f.label_policy_id = l.label_policy_id AND f.group_id = 'all_models'")
 def family_ablation(spark, sf_dir):
     """Selection per group and policy with the difference to all models."""
     locks = S.select_groups(_train_ternary(spark, sf_dir), GROUPS, TRIO, RULES, 0.25, ["label_policy_id"])
@@ -213,20 +254,20 @@ def family_ablation(spark, sf_dir):
     return rounded(out.select("label_policy_id", "group_id", "rule_id", *M.TERNARY_ORDER, "delta_macro_f1"))
 
 
-@query("E9")
+@query("E9", f"{_LOCKS_SQL} SELECT label_policy_id, group_id, rule_id, {ORDER_OUT} FROM locks ORDER BY {TERNARY_ORDER_SQL}, label_policy_id, group_id LIMIT 1")
 def champion_lock(spark, sf_dir):
     """Best lock over policies and groups."""
     locks = S.select_groups(_train_ternary(spark, sf_dir), GROUPS, TRIO, RULES, 0.25, ["label_policy_id"])
     return rounded(S.champion(locks, ["label_policy_id", "group_id"]).select("label_policy_id", "group_id", "rule_id", *M.TERNARY_ORDER))
 
 
-@query(
-    "E10 A22 J21",
-    f"""WITH {TERNARY_SQL}, t0 AS (SELECT * FROM tern WHERE label_policy_id = 'p_third'), {_ternary_grid_sql(PAIR, 10, 'fold').replace('FROM tern WHERE', 'FROM t0 WHERE').replace(', any_value(fold) AS fold', ', any_value(fold) AS fold')},
+_NESTED_SQL = f"""WITH {TERNARY_SQL}, t0 AS (SELECT * FROM tern WHERE label_policy_id = 'p_third'), {_ternary_grid_sql(PAIR, 10, 'fold').replace('FROM tern WHERE', 'FROM t0 WHERE')},
     inner_c AS (SELECT h AS heldout_fold, code, rule_id, rule_order, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in CELLS)} FROM tcells, range(1, 6) r(h) WHERE fold <> h GROUP BY ALL),
     inner_m AS ({ternary_sql('inner_c')}), ch AS (SELECT heldout_fold, code, rule_id, macro_f1 AS inner_macro FROM inner_m QUALIFY row_number() OVER (PARTITION BY heldout_fold ORDER BY {TERNARY_ORDER_SQL}, code, rule_order) = 1)
-    SELECT ch.heldout_fold, ch.rule_id, {r6('inner_macro', 'inner_macro_f1')}, {_weights_out(PAIR, 10).replace('(code //', '(ch.code //')}, {ORDER_OUT} FROM ch JOIN tm ON tm.fold = ch.heldout_fold AND tm.code = ch.code AND tm.rule_id = ch.rule_id""",
-)
+    SELECT ch.heldout_fold, ch.rule_id, {r6('inner_macro', 'inner_macro_f1')}, {_weights_out(PAIR, 10).replace('(code //', '(ch.code //')}, {ORDER_OUT} FROM ch JOIN tm ON tm.fold = ch.heldout_fold AND tm.code = ch.code AND tm.rule_id = ch.rule_id"""
+
+
+@query("E10 A22 J21", _NESTED_SQL)
 def nested_selection(spark, sf_dir):
     """Choose on four folds, evaluate on the fifth, for every fold."""
     rows = _train_ternary(spark, sf_dir).where("label_policy_id = 'p_third'")
@@ -234,12 +275,12 @@ def nested_selection(spark, sf_dir):
     return rounded(out.withColumn("heldout_fold", F.col("heldout_fold").cast("bigint")))
 
 
-@query("A22")
+@query("A22", f"WITH ns AS ({_NESTED_SQL}) SELECT 'macro_f1' AS what, printf('%.4f', avg(macro_f1)) AS value, count(*) AS n FROM ns UNION ALL SELECT 'rule_id', rule_id, count(*) FROM ns GROUP BY rule_id")
 def nested_selection_summary(spark, sf_dir):
     """Held-out statistics over folds and how often each rule was chosen."""
     rows = _train_ternary(spark, sf_dir).where("label_policy_id = 'p_third'")
     out = S.nested_selection(S.align_probabilities(rows, PAIR), PAIR, RULES, 0.1, FOLDS)
-    stats = M.scalar_stats(out, [], ["macro_f1"]).select(F.lit("macro_f1").alias("what"), F.format_string("%.6f", "macro_f1_mean").alias("value"), F.col("combinations").alias("n"))
+    stats = M.scalar_stats(out, [], ["macro_f1"]).select(F.lit("macro_f1").alias("what"), F.format_string("%.4f", "macro_f1_mean").alias("value"), F.col("combinations").alias("n"))
     return stats.unionByName(S.selection_counts(out, ["rule_id"]))
 
 
