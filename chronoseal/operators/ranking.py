@@ -39,6 +39,9 @@ def running_sums(
     blocked = df.withColumn("__block", block)
     for name, value in sums.items():
         blocked = blocked.withColumn(f"__v_{name}", value)
+    # Stated outright: rows that arrive partitioned by the keys alone would otherwise stay
+    # together and one task would get all blocks of a hot key. Both uses below share this shuffle.
+    blocked = blocked.repartition(*keys, "__block")
     inside = W.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = blocked.select("*", *[F.sum(f"__v_{n}").over(inside).alias(f"__in_{n}") for n in sums])
     before = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
@@ -67,29 +70,40 @@ def hash_block(hash_column: Column, hex_digits: int = 3) -> Column:
     return F.conv(F.substring(hash_column, 1, hex_digits), 16, 10).cast("int")
 
 
-def top_n(
+def hot_copies(totals: DataFrame, key: str, total: str = "total", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Hot keys with the number of parts to split them into; at most rows / hot_rows of them."""
+    return totals.where(F.col(total) > hot_rows).select(key, F.ceil(F.col(total) / F.lit(hot_rows)).cast("int").alias("__copies"))
+
+
+def _with_salt(df: DataFrame, hot: DataFrame, key: str, spread_on: Sequence[str]) -> DataFrame:
+    salt = F.when(F.col("__copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread_on), F.col("__copies")).cast("int"))
+    return df.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).drop("__copies")
+
+
+def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank_name: str = "rank") -> DataFrame:
+    """First ``n`` rows per key with their rank; Spark keeps ``n`` rows per key and task before the shuffle."""
+    window = W.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(rank_name, F.row_number().over(window)).where(F.col(rank_name) <= n)
+
+
+def top_n_of_hot(
     df: DataFrame,
-    keys: Sequence[str],
+    key: str,
     order: Sequence[Column],
     n: int,
-    salts: int = 1,
-    salt_on: Sequence[str] = (),
+    totals: DataFrame,
+    spread_on: Sequence[str],
     rank_name: str = "rank",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """First ``n`` rows per key with their rank.
+    """:func:`top_n` for wide rows: a hot key is first reduced in parallel parts.
 
-    Spark limits each map task to ``n`` rows per key before the shuffle. With
-    ``salts`` > 1 a key is first reduced in that many parallel groups, for
-    tables where tasks * n rows of one key are still too many for one task.
+    Tasks times ``n`` rows of one key may still be too many for one task. The
+    second pass sees at most ``n`` rows per part.
     """
-    keys = list(keys)
-    source = df
-    if salts > 1:
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)))
-        first = W.partitionBy(*keys, "__salt").orderBy(*order)
-        source = salted.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= n).drop("__salt", "__r")
-    window = W.partitionBy(*keys).orderBy(*order)
-    return source.withColumn(rank_name, F.row_number().over(window)).where(F.col(rank_name) <= n)
+    salted = _with_salt(df, hot_copies(totals, key, hot_rows=hot_rows), key, spread_on)
+    parts = top_n(salted, [key, "__salt"], order, n, "__part").drop("__part", "__salt")
+    return top_n(parts, [key], order, n, rank_name)
 
 
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -114,9 +128,7 @@ def with_totals(
     repeat by hash. The broadcast holds hot keys only, at most rows / hot_rows.
     """
     copies = F.ceil(F.col(total) / F.lit(hot_rows)).cast("int")
-    hot = totals.where(F.col(total) > hot_rows).select(key, copies.alias("__copies"))
-    salt = F.when(F.col("__copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread_on), F.col("__copies")).cast("int"))
-    left = df.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).drop("__copies")
+    left = _with_salt(df, hot_copies(totals, key, total, hot_rows), key, spread_on)
     last = F.when(F.col(total) > hot_rows, copies - 1).otherwise(F.lit(0))
     right = totals.withColumn("__salt", F.explode(F.sequence(F.lit(0), last)))
     return left.join(right, [key, "__salt"]).drop("__salt")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as T
 from ..functions.lexicons import POST_LEXICON
-from .ranking import HOT_ROWS, row_numbers, top_n, with_totals
+from .ranking import HOT_ROWS, row_numbers, top_n, top_n_of_hot, with_totals
 
 # Relevance thresholds, recency windows and feature order.
 RELEVANCE_LEVELS = (3, 5, 6, 7)
@@ -352,14 +352,15 @@ def select_sequence(
     n: int,
     order: str = "relevance_desc",
     key: str = "user_id",
-    salts: int = 1,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """First ``n`` posts per user with a 1-based ``rank`` in sequence order."""
     index, rel = F.col("tweet_index"), N.relevance_value("relevance")
+    totals = post_totals(posts, key)
     if order == "relevance_desc":
-        return top_n(posts, [key], [rel.desc(), index.desc()], n, salts, ["tweet_index"])
+        return top_n_of_hot(posts, key, [rel.desc(), index.desc()], n, totals, ["tweet_index"], hot_rows=hot_rows)
     if order == "recent_chronological":
-        recent = top_n(posts, [key], [index.desc()], n, salts, ["tweet_index"], "__recent")
+        recent = top_n_of_hot(posts, key, [index.desc()], n, totals, ["tweet_index"], "__recent", hot_rows)
         # At most n rows per user are left, so this window is bounded.
         return recent.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(index))).drop("__recent")
     raise ValueError(f"unknown sequence order: {order}")
@@ -393,13 +394,11 @@ def sequence_mask(length: Column | str, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i <= size, F.lit(1)).otherwise(F.lit(0)))
 
 
-def evidence_pack(posts: DataFrame, n: int, key: str = "user_id", high: int = 7, salts: int = 1) -> DataFrame:
-    """High-relevance posts first, then the rest, each by (relevance, index) descending; ``n`` at most.
-
-    The high group already outranks the rest, so one order by relevance covers both.
-    """
+def evidence_pack(posts: DataFrame, n: int, key: str = "user_id", high: int = 7, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """High-relevance posts first, then the rest, each by (relevance, index) descending; ``n`` at most."""
     rel = N.relevance_value("relevance")
-    return top_n(posts, [key], [(rel >= high).desc(), rel.desc(), F.col("tweet_index").desc()], n, salts, ["tweet_index"])
+    order = [(rel >= high).desc(), rel.desc(), F.col("tweet_index").desc()]
+    return top_n_of_hot(posts, key, order, n, post_totals(posts, key), ["tweet_index"], hot_rows=hot_rows)
 
 
 def pack_rows(selected: DataFrame, key: str = "user_id", **extra: Column) -> DataFrame:

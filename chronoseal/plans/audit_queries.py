@@ -224,18 +224,17 @@ def nested_fit_audit(spark, sf_dir):
 
 @query(
     "G15",
-    """WITH c AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'system') AS s FROM conversations GROUP BY conv_id)
-    SELECT false AS ok, 'corpus-counts' AS code, 'test:no' AS detail FROM (SELECT count(*) FROM c) UNION ALL SELECT false, 'corpus-texts', CAST(conv_id AS VARCHAR) FROM c WHERE s > 0""",
+    """WITH d AS (SELECT doc_id, lang, string_split(text, chr(10)) AS parts FROM documents)
+    SELECT false AS ok, 'corpus-counts' AS code, 'test:no' AS detail FROM (SELECT count(*) FROM d) UNION ALL SELECT false, 'corpus-texts', CAST(doc_id AS VARCHAR) FROM d WHERE len(list_filter(parts, lambda x: length(x) < 40)) > 0""",
 )
 def corpus_gate(spark, sf_dir):
-    """Nested corpus with NULL system turns against expected counts that are wrong for one group."""
-    c = table(spark, sf_dir, "conversations")
-    turns = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("role") != "system", F.col("text")).alias("t")))).alias("s"))
-    corpus = turns.select(
-        F.col("conv_id").alias("user_id"),
-        F.when(F.col("conv_id") % 4 == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"),
-        F.when(F.size("s") > 5, F.lit("yes")).otherwise(F.lit("no")).alias("label"),
-        F.transform("s", lambda x: x["t"]).alias("texts"),
+    """Documents as lists of lines, short lines NULL, against expected counts that are wrong for one group."""
+    lines = F.transform(F.split("text", "\n", -1), lambda t: F.when(F.char_length(t) >= 40, t))
+    corpus = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("user_id"),
+        F.when(F.col("lang") == "en", F.lit("test")).otherwise(F.lit("train")).alias("split"),
+        F.when(F.col("n_chars") > 1000, F.lit("yes")).otherwise(F.lit("no")).alias("label"),
+        lines.alias("texts"),
     )
     right = corpus.groupBy("split", "label").agg(F.count(F.lit(1)).alias("users"), F.sum(F.size("texts")).alias("posts"))
     expected = right.withColumn("users", F.when((F.col("split") == "test") & (F.col("label") == "no"), F.col("users") + 1).otherwise(F.col("users")))

@@ -374,33 +374,34 @@ def first_users(spark, sf_dir):
 
 @query(
     "S3 F4",
-    """WITH t AS (SELECT conv_id, string_agg(CASE WHEN role = 'system' THEN '' ELSE text END, ' # ' ORDER BY turn) AS body FROM conversations GROUP BY conv_id),
-    s AS (SELECT conv_id, string_split(body, ' # ') AS parts FROM t)
-    SELECT conv_id AS user_id, CAST(i - 1 AS BIGINT) AS tweet_index, parts[i] AS tweet_text FROM (SELECT conv_id, parts, unnest(generate_series(1, len(parts))) AS i FROM s)""",
+    """WITH s AS (SELECT doc_id, string_split(text, '. ') AS parts FROM documents)
+    SELECT doc_id AS user_id, CAST(i - 1 AS BIGINT) AS tweet_index, md5(parts[i]) AS text_md5 FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM s)""",
 )
 def delimited_posts(spark, sf_dir):
-    """Delimited rows are built from the turns (system turns blank), then read back as posts."""
-    turns = talk(spark, sf_dir).select("user_id", F.struct("tweet_index", F.when(F.col("role") == "system", F.lit("")).otherwise(F.col("tweet_text")).alias("t")).alias("s"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), " # ")
-    rows = turns.groupBy("user_id").agg(body.alias("body"))
-    return TL.explode_delimited(rows, "body", user_id=F.col("user_id")).select("user_id", F.col("tweet_index").cast("bigint").alias("tweet_index"), "tweet_text")
+    """Documents as delimited timelines: every sentence is a post, blanks included."""
+    posts = TL.explode_delimited(table(spark, sf_dir, "documents"), "text", ". ", user_id=F.col("doc_id"))
+    return posts.select("user_id", F.col("tweet_index").cast("bigint").alias("tweet_index"), F.md5(F.col("tweet_text").cast("binary")).alias("text_md5"))
 
 
 _REL_TEXT = "CASE WHEN length(text) % 7 = 0 THEN 'n/a' ELSE CAST(length(text) % 14 AS VARCHAR) END"
+_SENTENCES = "sn AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS tweet_index, parts[i] AS text FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM (SELECT doc_id, string_split(text, '. ') AS parts FROM documents)))"
+
+
+def _relevance_text(t):
+    n = F.char_length(t)
+    return F.when(n % 7 == 0, F.lit("n/a")).otherwise((n % 14).cast("string"))
 
 
 def _nested(spark, sf_dir):
-    n = F.char_length("tweet_text")
-    rel = F.when(n % 7 == 0, F.lit("n/a")).otherwise((n % 14).cast("string"))
-    turns = talk(spark, sf_dir).select("user_id", F.struct("tweet_index", "tweet_text", rel.alias("r")).alias("s"))
-    lists = turns.groupBy("user_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return lists.select("user_id", F.transform("s", lambda s: s["tweet_text"]).alias("texts"), F.transform("s", lambda s: s["r"]).alias("rels"))
+    """Documents as nested timelines: parallel lists of sentences and relevance texts."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("user_id"), F.split("text", r"\. ", -1).alias("texts"))
+    return docs.withColumn("rels", F.transform("texts", _relevance_text))
 
 
 @query(
-    "S4 P3 S16",
-    f"""SELECT conv_id AS user_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS tweet_index, md5(text) AS text_md5,
-    TRY_CAST({_REL_TEXT} AS BIGINT) AS raw, CASE WHEN TRY_CAST({_REL_TEXT} AS BIGINT) IS NULL THEN 0 ELSE least(TRY_CAST({_REL_TEXT} AS BIGINT), 10) END AS score FROM conversations""",
+    "S4 P3",
+    f"""WITH {_SENTENCES} SELECT doc_id AS user_id, tweet_index, md5(text) AS text_md5,
+    TRY_CAST({_REL_TEXT} AS BIGINT) AS raw, CASE WHEN TRY_CAST({_REL_TEXT} AS BIGINT) IS NULL THEN 0 ELSE least(TRY_CAST({_REL_TEXT} AS BIGINT), 10) END AS score FROM sn""",
 )
 def nested_posts(spark, sf_dir):
     """Parallel text and relevance lists, zipped into posts and parsed."""
@@ -416,9 +417,9 @@ def nested_posts(spark, sf_dir):
 
 @query(
     "A16 P3",
-    f"""WITH p AS (SELECT conv_id, text, {_REL_TEXT} AS rel FROM conversations),
-    u AS (SELECT conv_id, count(*) AS posts, count(*) FILTER (WHERE trim(text) = '') AS blanks, count(*) FILTER (WHERE rel <> 'n/a') AS digits, count(*) FILTER (WHERE rel = 'n/a') AS bad,
-          count(*) FILTER (WHERE TRY_CAST(rel AS INT) > 10) AS oor FROM p GROUP BY conv_id)
+    f"""WITH {_SENTENCES}, p AS (SELECT doc_id, text, {_REL_TEXT} AS rel FROM sn),
+    u AS (SELECT doc_id, count(*) AS posts, count(*) FILTER (WHERE trim(text) = '') AS blanks, count(*) FILTER (WHERE rel <> 'n/a') AS digits, count(*) FILTER (WHERE rel = 'n/a') AS bad,
+          count(*) FILTER (WHERE TRY_CAST(rel AS INT) > 10) AS oor FROM p GROUP BY doc_id)
     SELECT count(*) AS users, CAST(sum(posts) AS BIGINT) AS posts, min(posts) AS min_posts, max(posts) AS max_posts, CAST(sum(blanks) AS BIGINT) AS blank_posts,
     CAST(sum(digits) AS BIGINT) AS digit_relevance, CAST(sum(bad) AS BIGINT) AS non_digit_relevance, CAST(sum(oor) AS BIGINT) AS out_of_range_relevance,
     count(*) FILTER (WHERE bad > 0) AS users_with_non_digit, count(*) FILTER (WHERE oor > 0) AS users_with_out_of_range FROM u""",
@@ -430,7 +431,7 @@ def quality_report(spark, sf_dir):
 
 @query(
     "A38 A16",
-    f"""WITH p AS (SELECT TRY_CAST({_REL_TEXT} AS BIGINT) AS value FROM conversations UNION ALL SELECT least(10, CAST(floor(value / 45) AS BIGINT)) FROM events)
+    f"""WITH {_SENTENCES}, p AS (SELECT TRY_CAST({_REL_TEXT} AS BIGINT) AS value FROM sn UNION ALL SELECT least(10, CAST(floor(value / 45) AS BIGINT)) FROM events)
     SELECT value, count(*) AS n FROM p WHERE value IS NOT NULL GROUP BY value""",
 )
 def merged_histograms(spark, sf_dir):
@@ -438,13 +439,10 @@ def merged_histograms(spark, sf_dir):
     return TL.merge_counts(first, TL.relevance_digits(timeline(spark, sf_dir), "relevance"))
 
 
-@query(
-    "S4",
-    "SELECT conv_id AS user_id FROM conversations GROUP BY conv_id HAVING count(*) <> count(*) FILTER (WHERE role <> 'system')",
-)
+@query("S4", f"WITH {_SENTENCES} SELECT DISTINCT doc_id AS user_id FROM sn WHERE length(text) % 7 = 0")
 def length_mismatches(spark, sf_dir):
-    """Users whose two lists differ in length, with system turns missing from the second list."""
-    lists = talk(spark, sf_dir).groupBy("user_id").agg(F.collect_list("tweet_text").alias("texts"), F.collect_list(F.when(F.col("role") != "system", F.col("relevance"))).alias("rels"))
+    """Users whose two lists differ in length once unreadable relevance entries are dropped."""
+    lists = _nested(spark, sf_dir).withColumn("rels", F.filter("rels", lambda r: r != "n/a"))
     return TL.length_mismatches(lists, "user_id", "texts", "rels")
 
 
@@ -453,9 +451,8 @@ def length_mismatches(spark, sf_dir):
 
 def _retained(spark, sf_dir):
     source = talk(spark, sf_dir)
-    kept = source.where("role <> 'system'").select("user_id", "tweet_text", F.struct("tweet_index", "tweet_text").alias("s"))
-    lists = kept.groupBy("user_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return source, lists.select("user_id", F.posexplode(F.transform("s", lambda s: s["tweet_text"])).alias("tweet_index", "tweet_text"))
+    kept = source.where("role <> 'system'").select("user_id", "tweet_text", F.col("tweet_index").alias("turn"))
+    return source, TL.index_posts(kept, "user_id", ["turn"], F.floor(F.col("turn") / 4096)).drop("turn")
 
 
 @query(

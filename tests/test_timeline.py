@@ -82,10 +82,12 @@ def test_ranks_by_blocks_equal_row_number(spark):
     assert got == sorted(want)
 
 
-def test_salted_top_n_equals_plain(spark):
-    df = spark.range(400).select((F.col("id") % 3).alias("k"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("v"), "id")
+def test_split_top_n_equals_plain(spark):
+    df = spark.range(400).select(F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 3).alias("k"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("v"), "id")
     order = [F.col("v").desc(), F.col("id").desc()]
-    assert rows(ranking.top_n(df, ["k"], order, 7)) == rows(ranking.top_n(df, ["k"], order, 7, salts=5, salt_on=["id"]))
+    totals = df.groupBy("k").agg(F.count(F.lit(1)).alias("total"))
+    plain = rows(ranking.top_n(df, ["k"], order, 7), "k", "v", "id", "rank")
+    assert rows(ranking.top_n_of_hot(df, "k", order, 7, totals, ["id"], hot_rows=20), "k", "v", "id", "rank") == plain
 
 
 def test_sequences_and_packs(spark):
