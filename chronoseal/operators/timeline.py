@@ -175,10 +175,10 @@ def evidence_features(markers: DataFrame, key: str = "user_id") -> DataFrame:
     return markers.select(key, *[v.alias(n) for n, v in zip(EVIDENCE_COLUMNS, values)])
 
 
-def _slim(posts: DataFrame, key: str, lexicon: Mapping[str, str]) -> DataFrame:
+def _slim(posts: DataFrame, key: str, lexicon: Mapping[str, str], indexed: bool = True) -> DataFrame:
     return posts.select(
         key,
-        F.col("tweet_index").cast("bigint").alias("tweet_index"),
+        *([F.col("tweet_index").cast("bigint").alias("tweet_index")] if indexed else []),
         N.relevance_value("relevance").alias("__rel"),
         flag_mask(F.col("tweet_text"), lexicon).alias("__mask"),
     )
@@ -190,7 +190,6 @@ def _lifetime_aggregates() -> list[Column]:
         F.count(F.lit(1)).alias("total_tweets"),
         *relevance_histogram(F.col("__rel")),
         *[_n(flags[f]).alias(f"__life_{f}") for f in ("fp", "neg", "selfneg", "active", "caregiver", "indirect_tone")],
-        F.max(F.when(F.col("__rel") >= 7, F.col("tweet_index"))).alias("__last_rel7"),
     ]
 
 
@@ -209,7 +208,7 @@ def _relevance_counts() -> dict[str, Column]:
 
 def post_blocks(posts: DataFrame, key: str = "user_id", lexicon: Mapping[str, str] = POST_LEXICON) -> DataFrame:
     """Stylistic (7) and relevance-count (8) blocks in one aggregate."""
-    counted = _slim(posts, key, lexicon).groupBy(key).agg(*_lifetime_aggregates())
+    counted = _slim(posts, key, lexicon, indexed=False).groupBy(key).agg(*_lifetime_aggregates())
     columns = {**_stylistic(), **_relevance_counts()}
     return counted.select(key, "total_tweets", *[c.alias(n) for n, c in columns.items()])
 
@@ -306,7 +305,8 @@ def _delta_features() -> list[Column]:
 
 def _windowed(posts: DataFrame, key: str, lexicon: Mapping[str, str], hot_rows: int) -> DataFrame:
     slim = with_totals(_slim(posts, key, lexicon), post_totals(posts, key), key, ["tweet_index"], hot_rows=hot_rows)
-    return slim.groupBy(key).agg(*_lifetime_aggregates(), *_window_aggregates())
+    last = F.max(F.when(F.col("__rel") >= 7, F.col("tweet_index"))).alias("__last_rel7")
+    return slim.groupBy(key).agg(*_lifetime_aggregates(), last, *_window_aggregates())
 
 
 def temporal_features(

@@ -61,7 +61,7 @@ def duplicate_users(spark, sf_dir):
 @query("J9", f"WITH {TIMELINE_SQL} SELECT user_id, count(*) AS posts FROM tl WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 2000) GROUP BY user_id")
 def wanted_posts(spark, sf_dir):
     wanted = people(spark, sf_dir).where("balance < 2000")
-    return A.wanted_rows(timeline(spark, sf_dir), wanted).groupBy("user_id").agg(F.count(F.lit(1)).alias("posts"))
+    return A.wanted_rows(timeline(spark, sf_dir, indexed=False), wanted).groupBy("user_id").agg(F.count(F.lit(1)).alias("posts"))
 
 
 @query(
@@ -197,7 +197,7 @@ def test_score_sheet(spark, sf_dir):
 @query("K3 P31", f"WITH {TIMELINE_SQL}, {markers_cte('tl')} SELECT CAST(user_id AS VARCHAR) AS user_id, " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in ("total_tweets", "rel3_count", "rel5_count", "rel6_count", "rel7_count")) + ", " + ", ".join(f"CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE printf('%.8f', {c}) END AS {c}" for c in ("max_relevance", "rel3_ratio", "rel5_ratio", "rel6_ratio", "rel7_ratio", "top10_avg_relevance")) + " FROM markers")
 def marker_sheet(spark, sf_dir):
     """Markers as text. The score is left out: its last decimal may be a tie, which engines print differently."""
-    m = TL.evidence_markers(timeline(spark, sf_dir)).withColumn("user_id", F.col("user_id").cast("string"))
+    m = TL.evidence_markers(timeline(spark, sf_dir, indexed=False)).withColumn("user_id", F.col("user_id").cast("string"))
     return writers.marker_columns(m).drop("evidence_score")
 
 

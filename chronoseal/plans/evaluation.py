@@ -356,7 +356,7 @@ def label_pairs(spark, sf_dir):
     FROM markers JOIN people USING (user_id) GROUP BY label""",
 )
 def marker_averages(spark, sf_dir):
-    joined = TL.evidence_markers(timeline(spark, sf_dir)).join(people(spark, sf_dir).select("user_id", "label"), "user_id")
+    joined = TL.evidence_markers(timeline(spark, sf_dir, indexed=False)).join(people(spark, sf_dir).select("user_id", "label"), "user_id")
     return rounded(M.marker_averages(joined, "label", ["total_tweets", "evidence_score", "top10_avg_relevance"]))
 
 
@@ -432,7 +432,7 @@ def cleaned_probabilities(spark, sf_dir):
     SELECT user_id, {r6('e', 'score')}, {r6('least(a, 1) / (least(a, 1) + 0.25 + n)', 'd')}, {r6('0.25 / (least(a, 1) + 0.25 + n)', 'c')}, {r6('n / (least(a, 1) + 0.25 + n)', 'n')} FROM e""",
 )
 def relevance_baseline(spark, sf_dir):
-    m = TL.evidence_markers(timeline(spark, sf_dir))
+    m = TL.evidence_markers(timeline(spark, sf_dir, indexed=False))
     d, c, n = N.baseline_probabilities("evidence_score")
     return rounded(m.select("user_id", N.clean_score("evidence_score").alias("score"), d.alias("d"), c.alias("c"), n.alias("n")))
 

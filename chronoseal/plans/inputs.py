@@ -121,7 +121,8 @@ vec AS (
 """
 
 
-def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+def timeline(spark: SparkSession, sf_dir: str, indexed: bool = True) -> DataFrame:
+    """Events as posts; callers that ignore the post order leave the index out."""
     events = table(spark, sf_dir, "events").select(
         "user_id",
         "ts",
@@ -129,6 +130,8 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.least(F.lit(10), F.floor(F.col("value") / 45).cast("int")).alias("relevance"),
         F.concat_ws(" ", "event_type", "props").alias("tweet_text"),
     )
+    if not indexed:
+        return events.drop("ts", "event_id")
     # Blocks follow the time order, so a user with a large share of all events is split by hour.
     return index_posts(events, "user_id", ["ts", "event_id"], F.date_trunc("hour", "ts")).drop("ts", "event_id")
 

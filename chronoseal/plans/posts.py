@@ -121,7 +121,7 @@ def _select(parts: list[tuple[str, str]]) -> str:
 @query("A2 P4 P10 T4 F3 S5", f"WITH {TIMELINE_SQL}, {markers_cte('tl')} SELECT {MARKER_SELECT} FROM markers")
 def evidence_markers(spark, sf_dir):
     """Flagship: evidence markers of every user."""
-    return rounded(TL.evidence_markers(timeline(spark, sf_dir)))
+    return rounded(TL.evidence_markers(timeline(spark, sf_dir, indexed=False)))
 
 
 _EVIDENCE_PARTS = [("log_total_tweets", "ln(1 + CAST(total_tweets AS DOUBLE))"), ("max_relevance", "max_relevance")]
@@ -131,12 +131,12 @@ _EVIDENCE_PARTS += [(f"rel{t}_ratio", f"rel{t}_ratio") for t in (3, 5, 6, 7)] +
 
 @query("P11 S8", f"WITH {TIMELINE_SQL}, {markers_cte('tl')} SELECT user_id, {_select(_EVIDENCE_PARTS)} FROM markers")
 def evidence_features(spark, sf_dir):
-    return rounded(TL.evidence_features(TL.evidence_markers(timeline(spark, sf_dir))))
+    return rounded(TL.evidence_features(TL.evidence_markers(timeline(spark, sf_dir, indexed=False))))
 
 
 @query("A1 A3 P9", f"WITH {TIMELINE_SQL}, {_flags_cte()} SELECT user_id, count(*) AS total_tweets, {_select(_STYLE + _RELCOUNTS)} FROM fl GROUP BY user_id")
 def post_blocks(spark, sf_dir):
-    return rounded(TL.post_blocks(timeline(spark, sf_dir), lexicon=EVENT_LEXICON))
+    return rounded(TL.post_blocks(timeline(spark, sf_dir, indexed=False), lexicon=EVENT_LEXICON))
 
 
 @query("A6 W4 W12 P8", f"WITH {TIMELINE_SQL}, {_flags_cte()} SELECT user_id, {_select(_temporal_parts())} FROM fl GROUP BY user_id")
@@ -260,7 +260,7 @@ def proxy_markers(spark, sf_dir):
     + ", count(*) FILTER (WHERE f_ctp) AS n_caregiver_third_party, count(*) FILTER (WHERE f_tone) AS n_window_tone, count(*) FILTER (WHERE f_life_tone) AS n_lifetime_tone FROM fl",
 )
 def lexicon_flag_counts(spark, sf_dir):
-    posts = timeline(spark, sf_dir)
+    posts = timeline(spark, sf_dir, indexed=False)
     flags = T.lexicon_flags("tweet_text", EVENT_LEXICON)
     window, life = T.post_flags(flags), T.lifetime_flags(flags)
     counts = [F.count_if(window[n]).alias(f"n_{n}") for n in [*EVENT_LEXICON, "selfneg", "caregiver_third_party"]]
@@ -436,7 +436,7 @@ def quality_report(spark, sf_dir):
 )
 def merged_histograms(spark, sf_dir):
     first = TL.relevance_digits(TL.explode_nested(_nested(spark, sf_dir), "user_id", "texts", "rels"), "relevance_text")
-    return TL.merge_counts(first, TL.relevance_digits(timeline(spark, sf_dir), "relevance"))
+    return TL.merge_counts(first, TL.relevance_digits(timeline(spark, sf_dir, indexed=False), "relevance"))
 
 
 @query("S4", f"WITH {_SENTENCES} SELECT DISTINCT doc_id AS user_id FROM sn WHERE length(text) % 7 = 0")

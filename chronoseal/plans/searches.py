@@ -300,7 +300,7 @@ _MARKED = f"""{TIMELINE_SQL}, {markers_cte('tl')}, {PEOPLE_SQL},
 
 def _marked(spark, sf_dir):
     label = F.when(F.col("balance") < 4000, F.lit("diagnosed")).otherwise(F.lit("control"))
-    return TL.evidence_markers(timeline(spark, sf_dir)).join(people(spark, sf_dir).select("user_id", label.alias("binary_label")), "user_id")
+    return TL.evidence_markers(timeline(spark, sf_dir, indexed=False)).join(people(spark, sf_dir).select("user_id", label.alias("binary_label")), "user_id")
 
 
 @query(

@@ -23,6 +23,7 @@ def local_session(cores: int | str = 8, app_name: str = "chronoseal", **extra: s
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
     )
