@@ -40,10 +40,10 @@ def running_sums(
     for name, value in sums.items():
         blocked = blocked.withColumn(f"__v_{name}", value)
     # Stated outright: rows that arrive partitioned by the keys alone would otherwise stay
-    # together and one task would get all blocks of a hot key. Both uses below share this shuffle.
-    blocked = blocked.repartition(*keys, "__block")
+    # together and one task would get all blocks of a hot key.
+    spread = blocked.repartition(*keys, "__block")
     inside = W.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = blocked.select("*", *[F.sum(f"__v_{n}").over(inside).alias(f"__in_{n}") for n in sums])
+    ranked = spread.select("*", *[F.sum(f"__v_{n}").over(inside).alias(f"__in_{n}") for n in sums])
     before = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
     totals = (
         blocked.groupBy(*keys, "__block")

@@ -303,8 +303,9 @@ def _delta_features() -> list[Column]:
     return [v.alias(n) for v, n in zip(values, TEMPORAL_DELTA_COLUMNS)]
 
 
-def _windowed(posts: DataFrame, key: str, lexicon: Mapping[str, str], hot_rows: int) -> DataFrame:
-    slim = with_totals(_slim(posts, key, lexicon), post_totals(posts, key), key, ["tweet_index"], hot_rows=hot_rows)
+def _windowed(posts: DataFrame, key: str, lexicon: Mapping[str, str], hot_rows: int, totals: DataFrame | None) -> DataFrame:
+    totals = post_totals(posts, key) if totals is None else totals
+    slim = with_totals(_slim(posts, key, lexicon), totals, key, ["tweet_index"], hot_rows=hot_rows)
     last = F.max(F.when(F.col("__rel") >= 7, F.col("tweet_index"))).alias("__last_rel7")
     return slim.groupBy(key).agg(*_lifetime_aggregates(), last, *_window_aggregates())
 
@@ -314,9 +315,10 @@ def temporal_features(
     key: str = "user_id",
     lexicon: Mapping[str, str] = POST_LEXICON,
     hot_rows: int = HOT_ROWS,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
-    """77 recency features per user."""
-    counted = _windowed(posts, key, lexicon, hot_rows)
+    """77 recency features per user. ``totals`` saves counting where post counts exist already."""
+    counted = _windowed(posts, key, lexicon, hot_rows, totals)
     windows = [c for name, _ in WINDOWS for c in _window_features(name)]
     return counted.select(key, *windows, *_delta_features())
 
@@ -326,12 +328,13 @@ def timeline_features(
     key: str = "user_id",
     lexicon: Mapping[str, str] = POST_LEXICON,
     hot_rows: int = HOT_ROWS,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Markers, stylistic, relevance-count and recency features from one shared aggregate.
 
     Blocks come back as structs: ``evidence``, ``stylistic``, ``relevance_counts``, ``temporal``.
     """
-    counted = _windowed(posts, key, lexicon, hot_rows)
+    counted = _windowed(posts, key, lexicon, hot_rows, totals)
     marked = counted.select("*", *_marker_columns(key)[2:]).withColumn("evidence_score", N.evidence_score())
     evidence = [N.log_count("total_tweets"), F.col("max_relevance")]
     evidence += [F.log1p(F.col(f"rel{t}_count").cast("double")) for t in RELEVANCE_LEVELS]
@@ -353,10 +356,11 @@ def select_sequence(
     order: str = "relevance_desc",
     key: str = "user_id",
     hot_rows: int = HOT_ROWS,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """First ``n`` posts per user with a 1-based ``rank`` in sequence order."""
     index, rel = F.col("tweet_index"), N.relevance_value("relevance")
-    totals = post_totals(posts, key)
+    totals = post_totals(posts, key) if totals is None else totals
     if order == "relevance_desc":
         return top_n_of_hot(posts, key, [rel.desc(), index.desc()], n, totals, ["tweet_index"], hot_rows=hot_rows)
     if order == "recent_chronological":
@@ -394,11 +398,12 @@ def sequence_mask(length: Column | str, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i <= size, F.lit(1)).otherwise(F.lit(0)))
 
 
-def evidence_pack(posts: DataFrame, n: int, key: str = "user_id", high: int = 7, hot_rows: int = HOT_ROWS) -> DataFrame:
+def evidence_pack(posts: DataFrame, n: int, key: str = "user_id", high: int = 7, hot_rows: int = HOT_ROWS, totals: DataFrame | None = None) -> DataFrame:
     """High-relevance posts first, then the rest, each by (relevance, index) descending; ``n`` at most."""
     rel = N.relevance_value("relevance")
     order = [(rel >= high).desc(), rel.desc(), F.col("tweet_index").desc()]
-    return top_n_of_hot(posts, key, order, n, post_totals(posts, key), ["tweet_index"], hot_rows=hot_rows)
+    totals = post_totals(posts, key) if totals is None else totals
+    return top_n_of_hot(posts, key, order, n, totals, ["tweet_index"], hot_rows=hot_rows)
 
 
 def pack_rows(selected: DataFrame, key: str = "user_id", **extra: Column) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import timeline as TL
 from ..operators.quantiles import quantiles
 from ..operators.ranking import best_per_key
 from .base import query, table
-from .inputs import EVENT_LEXICON, FOLDS, MODEL_IDS, PEOPLE_SQL, RULES, SCORES_SQL, TERNARY_SQL, TIMELINE_SQL, people, r6, rounded, scores, ternary, timeline
+from .inputs import EVENT_LEXICON, FOLDS, MODEL_IDS, PEOPLE_SQL, RULES, SCORES_SQL, TERNARY_SQL, TIMELINE_SQL, event_totals, people, r6, rounded, scores, ternary, timeline
 from .posts import _flags_cte, _select, _temporal_parts, _EVIDENCE_PARTS, markers_cte
 
 # --- SQL fragments -------------------------------------------------------------------
@@ -399,7 +399,7 @@ def score_differences(spark, sf_dir):
     SELECT pattern, count(*) AS n, min(user_id) AS first_user FROM p WHERE pattern IS NOT NULL GROUP BY pattern""",
 )
 def error_patterns(spark, sf_dir):
-    features = TL.timeline_features(timeline(spark, sf_dir), lexicon=EVENT_LEXICON).select("user_id", "temporal.*", F.col("evidence.rel7_count_log"))
+    features = TL.timeline_features(timeline(spark, sf_dir), lexicon=EVENT_LEXICON, totals=event_totals(spark, sf_dir)).select("user_id", "temporal.*", F.col("evidence.rel7_count_log"))
     rows = scores(spark, sf_dir).where("model_id = 'm1_linear'").join(rounded(features), "user_id")
     return M.error_patterns(rows, 0.3).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.min("user_id").alias("first_user"))
 

@@ -10,7 +10,7 @@ from ..operators import models as MD
 from ..operators import timeline as TL
 from ..session import materialize
 from .base import query, table
-from .inputs import EVENT_LEXICON, MODEL_IDS, SCORES_SQL, people, rounded, scores, timeline
+from .inputs import EVENT_LEXICON, MODEL_IDS, SCORES_SQL, event_totals, people, rounded, scores, timeline
 
 SCALARS = ("evidence_score", "rel5_ratio", "rel7_ratio", "top10_avg_relevance", "fp_ratio", "neg_ratio")
 
@@ -21,7 +21,7 @@ def user_features(spark, sf_dir):
     Written once, because the fitting loops read it many times.
     """
     posts = timeline(spark, sf_dir)
-    f = TL.timeline_features(posts, lexicon=EVENT_LEXICON)
+    f = TL.timeline_features(posts, lexicon=EVENT_LEXICON, totals=event_totals(spark, sf_dir))
     flat = f.select(
         "user_id",
         "evidence.evidence_score",

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import DecisionRule
-from ..operators.timeline import index_posts
+from ..operators.timeline import index_posts, post_totals
 from .base import table
 
 VECTOR_DIM = 64
@@ -136,6 +136,11 @@ def timeline(spark: SparkSession, sf_dir: str, indexed: bool = True) -> DataFram
     return index_posts(events, "user_id", ["ts", "event_id"], F.date_trunc("hour", "ts")).drop("ts", "event_id")
 
 
+def event_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts per user, from one column."""
+    return post_totals(table(spark, sf_dir, "events"))
+
+
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("balance"))
     return c.select(

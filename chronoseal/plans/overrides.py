@@ -12,7 +12,7 @@ from ..operators import timeline as TL
 from ..sources import writers
 from .base import query, table
 from .evaluation import binary_sql
-from .inputs import PEOPLE_SQL, SCORES_SQL, TIMELINE_SQL, people, r6, rounded, scores, timeline
+from .inputs import PEOPLE_SQL, SCORES_SQL, TIMELINE_SQL, event_totals, people, r6, rounded, scores, timeline
 
 PROMPT = "prompt-v1"
 _SPACES = "trim(regexp_replace(tweet_text, '\\s+', ' ', 'g'))"
@@ -20,7 +20,7 @@ _PACKED = f"""{TIMELINE_SQL}, pk AS (SELECT *, row_number() OVER (PARTITION BY u
 
 
 def _packs(spark, sf_dir):
-    return TL.pack_rows(TL.evidence_pack(timeline(spark, sf_dir), 6), split=F.lit("test"))
+    return TL.pack_rows(TL.evidence_pack(timeline(spark, sf_dir), 6, totals=event_totals(spark, sf_dir)), split=F.lit("test"))
 
 
 @query(

@@ -9,7 +9,7 @@ from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import matching, timeline as TL
 from .base import query, table
-from .inputs import EVENT_LEXICON, PEOPLE_SQL, TALK_SQL, TIMELINE_SQL, people, r6, rounded, talk, timeline
+from .inputs import EVENT_LEXICON, PEOPLE_SQL, TIMELINE_SQL, event_totals, people, r6, rounded, talk, timeline
 
 # --- SQL fragments -------------------------------------------------------------------
 
@@ -142,7 +142,7 @@ def post_blocks(spark, sf_dir):
 @query("A6 W4 W12 P8", f"WITH {TIMELINE_SQL}, {_flags_cte()} SELECT user_id, {_select(_temporal_parts())} FROM fl GROUP BY user_id")
 def temporal_features(spark, sf_dir):
     """77 recency features."""
-    return rounded(TL.temporal_features(timeline(spark, sf_dir), lexicon=EVENT_LEXICON))
+    return rounded(TL.temporal_features(timeline(spark, sf_dir), lexicon=EVENT_LEXICON, totals=event_totals(spark, sf_dir)))
 
 
 @query(
@@ -154,7 +154,7 @@ def temporal_features(spark, sf_dir):
 )
 def timeline_blocks(spark, sf_dir):
     """All blocks as structs from one aggregate; a few fields of each are shown."""
-    f = TL.timeline_features(timeline(spark, sf_dir), lexicon=EVENT_LEXICON)
+    f = TL.timeline_features(timeline(spark, sf_dir), lexicon=EVENT_LEXICON, totals=event_totals(spark, sf_dir))
     return rounded(
         f.select(
             "user_id",
@@ -290,7 +290,7 @@ def keyword_verdicts(spark, sf_dir):
 
 @query("W1 T4", f"WITH {TIMELINE_SQL}, r AS (SELECT user_id, tweet_index, relevance, row_number() OVER (PARTITION BY user_id ORDER BY relevance DESC, tweet_index DESC) AS rank FROM tl) SELECT * FROM r WHERE rank <= 10")
 def top_posts(spark, sf_dir):
-    top = TL.select_sequence(timeline(spark, sf_dir), 10)
+    top = TL.select_sequence(timeline(spark, sf_dir), 10, totals=event_totals(spark, sf_dir))
     return top.select("user_id", F.col("tweet_index").cast("bigint"), F.col("relevance").cast("bigint"), F.col("rank").cast("bigint"))
 
 
@@ -301,7 +301,7 @@ def top_posts(spark, sf_dir):
     {r6("sum(least(1e0, relevance / 7e0))", "channel_sum")} FROM r WHERE rk <= 32 GROUP BY user_id""",
 )
 def relevance_sequences(spark, sf_dir):
-    seq = TL.sequence_table(TL.select_sequence(timeline(spark, sf_dir), 32), values=())
+    seq = TL.sequence_table(TL.select_sequence(timeline(spark, sf_dir), 32, totals=event_totals(spark, sf_dir)), values=())
     channel = F.aggregate(F.transform("steps", lambda s: N.channel(s["relevance"])), F.lit(0.0), lambda a, x: a + x)
     return rounded(
         seq.select(
@@ -319,7 +319,7 @@ def relevance_sequences(spark, sf_dir):
     SELECT user_id, string_agg(CAST(tweet_index AS VARCHAR), ',' ORDER BY tweet_index) AS indexes FROM r WHERE rk <= 24 GROUP BY user_id""",
 )
 def recent_sequences(spark, sf_dir):
-    seq = TL.sequence_table(TL.select_sequence(timeline(spark, sf_dir), 24, "recent_chronological"), values=())
+    seq = TL.sequence_table(TL.select_sequence(timeline(spark, sf_dir), 24, "recent_chronological", totals=event_totals(spark, sf_dir)), values=())
     return seq.select("user_id", F.array_join(F.transform("steps", lambda s: s["tweet_index"].cast("string")), ",").alias("indexes"))
 
 
@@ -331,7 +331,7 @@ def recent_sequences(spark, sf_dir):
     FROM r WHERE rk <= 32 GROUP BY user_id""",
 )
 def shortened_sequences(spark, sf_dir):
-    longer = TL.sequence_table(TL.select_sequence(timeline(spark, sf_dir), 32), values=())
+    longer = TL.sequence_table(TL.select_sequence(timeline(spark, sf_dir), 32, totals=event_totals(spark, sf_dir)), values=())
     short = TL.shorten_sequences(longer, 8)
     return short.select(
         "user_id",
@@ -347,7 +347,7 @@ def shortened_sequences(spark, sf_dir):
     SELECT user_id, count(*) AS total_selected, string_agg(tweet_index || '=' || relevance || ':' || tweet_text, '|' ORDER BY tweet_index) AS tweets FROM r WHERE rk <= 12 GROUP BY user_id""",
 )
 def evidence_packs(spark, sf_dir):
-    packs = TL.pack_rows(TL.evidence_pack(timeline(spark, sf_dir), 12))
+    packs = TL.pack_rows(TL.evidence_pack(timeline(spark, sf_dir), 12, totals=event_totals(spark, sf_dir)))
     line = F.transform("selected_tweets", lambda t: F.concat(t["tweet_index"].cast("string"), F.lit("="), t["gpt5_relevance"].cast("string"), F.lit(":"), t["tweet_text"]))
     return packs.select("user_id", F.col("total_selected").cast("bigint").alias("total_selected"), F.array_join(line, "|").alias("tweets"))
 
