@@ -26,7 +26,7 @@ from .metrics import (
     rule_metrics,
     ternary_confusion,
 )
-from .ranking import best_per_key, top_n
+from .ranking import best_per_key
 from .sweep import best_threshold, pick_best, sweep_cuts
 
 PROBABILITIES = ("prob_diagnosed", "prob_control", "prob_no_evidence")
@@ -398,8 +398,8 @@ def select_groups(
     """Best lock per selection group (and per ``keys``, such as the policy).
 
     Groups are configuration; those without an available model are skipped. A
-    group above ``exhaustive_limit`` models uses its ranked prefix of that size
-    on the grid's terms: callers choose a coarser step or split the group.
+    group above ``exhaustive_limit`` models is selected by ranked prefixes, which
+    works on one key at a time.
     """
     out = None
     for group_id in sorted(groups):

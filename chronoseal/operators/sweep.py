@@ -11,6 +11,8 @@ of the distinct scores, or for none. The sweep works on score bins first:
    scores are cumulated inside the bin.
 
 No cut is dropped that could win or tie, so the result is that of a full sweep.
+Equal scores are merged before the shuffle; scores written with eight decimals
+have at most some 100,000 distinct values per bin, however many rows there are.
 Scores must be finite; probabilities fit the bins best, other values are merely
 collected in the outer bins.
 """

@@ -13,7 +13,7 @@ from ..operators import timeline as TL
 from ..operators.quantiles import quantiles
 from ..operators.ranking import best_per_key
 from .base import query, table
-from .inputs import EVENT_LEXICON, FOLDS, MODEL_IDS, PEOPLE_SQL, RULES, SCORES_SQL, TERNARY_SQL, TIMELINE_SQL, event_totals, people, r6, rounded, scores, ternary, timeline
+from .inputs import EVENT_LEXICON, FOLDS, PEOPLE_SQL, RULES, SCORES_SQL, TERNARY_SQL, TIMELINE_SQL, event_totals, people, r6, rounded, scores, ternary, timeline
 from .posts import _flags_cte, _select, _temporal_parts, _EVIDENCE_PARTS, markers_cte
 
 # --- SQL fragments -------------------------------------------------------------------

@@ -98,8 +98,6 @@ def decision_findings(spark, sf_dir):
 
 
 def _side(name: str, column: str) -> str:
-    from .evaluation import ratio
-
     tp, fp, tn, fn = (f"count(*) FILTER (WHERE label {a} 'diagnosed' AND {column} {p} 'diagnosed')" for a, p in (("=", "="), ("<>", "="), ("<>", "<>"), ("=", "<>")))
     return f"{tp} AS {name}tp, {fp} AS {name}fp, {tn} AS {name}tn, {fn} AS {name}fn"
 

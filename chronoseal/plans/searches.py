@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.labels import DecisionRule, LabelPolicy
+from ..functions.labels import LabelPolicy
 from ..operators import metrics as M
 from ..operators import selection as S
 from ..operators import splits as SP

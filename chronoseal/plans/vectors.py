@@ -8,7 +8,7 @@ from ..functions import vectors as V
 from ..operators import matching, pooling
 from ..operators.alignment import align_to_manifest
 from .base import query, table
-from .inputs import VECTOR_DIM, VECTORS_SQL, r6, rounded, vectors
+from .inputs import VECTOR_DIM, VECTORS_SQL, rounded, vectors
 
 _ENTRIES = "SELECT user_id, tweet_index, relevance, unnest(range(1, 65)) AS pos, unnest(embedding) AS x FROM vec"
 
