@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.base import table
-from . import line_dedup
+from . import decontamination, line_dedup
 from .registry import llm_query
 
 
@@ -13,6 +13,13 @@ def _documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+@llm_query(f"WITH {decontamination.SQL.format(name='judged', docs='documents')} SELECT * FROM judged")
+def op3_benchmark_decontamination(spark, sf_dir):
+    found = decontamination.contamination(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 @llm_query(f"WITH {line_dedup.SQL.format(name='kept', docs='documents')} SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM kept")
 def op4_line_dedup(spark, sf_dir):
     kept = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
