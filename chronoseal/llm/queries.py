@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.base import table
-from . import decontamination, line_dedup
+from . import bpe, decontamination, line_dedup
 from .registry import llm_query
 
 
+def _tokenizer(name="byte_bpe_50k.json"):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
@@ -24,3 +30,9 @@ def op3_benchmark_decontamination(spark, sf_dir):
 def op4_line_dedup(spark, sf_dir):
     kept = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@llm_query()
+def op7_bpe_round_trip(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return bpe.round_trip(docs, bpe.build_codec(docs, _tokenizer()))
