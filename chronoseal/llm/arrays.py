@@ -13,12 +13,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..session import checkpoint_dir
 
 SLICE_BYTES = 1 << 20
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
+INT, LONG, STRING, IDS = IntegerType(), LongType(), StringType(), ArrayType(IntegerType())
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -99,6 +101,11 @@ def list_array(values: pa.Array, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
+def schema_with(df: DataFrame, **columns: DataType) -> StructType:
+    """Schema of ``df`` followed by further columns."""
+    return StructType([*df.schema.fields, *(StructField(name, kind) for name, kind in columns.items())])
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder of the cluster."""
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"

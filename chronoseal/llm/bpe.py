@@ -369,8 +369,7 @@ def _encode_texts(codec: Codec):
 def with_ids(docs: DataFrame, codec: Codec) -> DataFrame:
     """``docs`` with ``ids``, the token ids of ``text`` (null: none); an ``ids`` column is replaced."""
     rest = docs.drop("ids")
-    schema = rest.schema.add("ids", "array<int>")
-    return rest.mapInArrow(_encode_texts(codec), schema)
+    return rest.mapInArrow(_encode_texts(codec), A.schema_with(rest, ids=A.IDS))
 
 
 def _decode_texts(codec: Codec):
@@ -391,7 +390,7 @@ def with_decoded(encoded: DataFrame, codec: Codec) -> DataFrame:
     """``encoded`` with ``decoded``, the text of its ``ids``; bytes that are no UTF-8 become U+FFFD."""
     rest = encoded.drop("decoded")
     filled = rest.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
-    return filled.mapInArrow(_decode_texts(codec), filled.schema.add("decoded", "string"))
+    return filled.mapInArrow(_decode_texts(codec), A.schema_with(filled, decoded=A.STRING))
 
 
 def _digests(codec: Codec):

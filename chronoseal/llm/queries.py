@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.base import table
-from . import bpe, decontamination, line_dedup
+from . import bpe, decontamination, line_dedup, token_files
+from .arrays import shared_path
 from .registry import llm_query
 
 
@@ -19,6 +20,14 @@ def _documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+@llm_query()
+def op2_token_files(spark, sf_dir):
+    path = shared_path(spark, "tokens")
+    token_files.write_tokens(_documents(spark, sf_dir).select("doc_id", "text"), path, _tokenizer(), end_id=2)
+    rows = token_files.read_tokens(spark, path).select("doc_id", "part", "at", "n_tokens", "ids")
+    return token_files.with_starts(token_files.checksums(rows), path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @llm_query(f"WITH {decontamination.SQL.format(name='judged', docs='documents')} SELECT * FROM judged")
 def op3_benchmark_decontamination(spark, sf_dir):
     found = decontamination.contamination(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
