@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.base import table
-from . import bpe, decontamination, line_dedup, token_files
+from . import bpe, decontamination, line_dedup, token_files, weighted_minhash
 from .arrays import shared_path
 from .registry import llm_query
 
@@ -45,3 +45,8 @@ def op4_line_dedup(spark, sf_dir):
 def op7_bpe_round_trip(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     return bpe.round_trip(docs, bpe.build_codec(docs, _tokenizer()))
+
+
+@llm_query()
+def op9_weighted_minhash(spark, sf_dir):
+    return weighted_minhash.classes(_documents(spark, sf_dir))
