@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.base import table
-from . import bpe, decontamination, line_dedup, token_files, weighted_minhash
+from . import bpe, decontamination, line_dedup, token_files, warc, weighted_minhash
 from .arrays import shared_path
 from .registry import llm_query
 
@@ -47,6 +47,13 @@ def op7_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(docs, bpe.build_codec(docs, _tokenizer()))
 
 
+@llm_query(warc.SQL)
+def op8_warc_captures(spark, sf_dir):
+    path = shared_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.page_captures(warc.assemble(warc.read_archive(spark, path)))
+
+
 @llm_query()
 def op9_weighted_minhash(spark, sf_dir):
     return weighted_minhash.classes(_documents(spark, sf_dir))
