@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.base import table
-from . import bpe, decontamination, line_dedup, token_files, warc, weighted_minhash
+from . import bpe, decontamination, line_dedup, quality, token_files, warc, weighted_minhash
 from .arrays import shared_path
 from .registry import llm_query
 
@@ -41,6 +41,12 @@ def op4_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@llm_query()
+def op6_quality_rules(spark, sf_dir):
+    judged = quality.judge(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.MEASURES, "base_failed", "score", "kept")
+
+
 @llm_query()
 def op7_bpe_round_trip(spark, sf_dir):
     docs = _documents(spark, sf_dir)
