@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.base import table
-from . import bpe, decontamination, line_dedup, quality, token_files, warc, weighted_minhash
+from . import bpe, decontamination, line_dedup, quality, token_files, toxicity, warc, weighted_minhash
 from .arrays import shared_path
+from .fitting import held_out, training_row
 from .registry import llm_query
 
 
@@ -20,6 +21,15 @@ def _documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+@llm_query()
+def op1_toxicity(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").where(training_row(F.col("doc_id")))
+    scored = toxicity.score(docs, toxicity.learn(docs, labels))
+    predicted = (F.col("score") >= 0.3).cast("int")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), "n_matches", "weight")
+
+
 @llm_query()
 def op2_token_files(spark, sf_dir):
     path = shared_path(spark, "tokens")
