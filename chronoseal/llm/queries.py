@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.base import table
-from . import bpe, decontamination, line_dedup, quality, token_files, toxicity, warc, weighted_minhash
+from . import bpe, decontamination, fitting, language_mixture, line_dedup, quality, token_files, toxicity, url_templates, warc, weighted_minhash
 from .arrays import shared_path
 from .fitting import held_out, training_row
 from .registry import llm_query
@@ -51,6 +51,18 @@ def op4_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+@llm_query()
+def op5_url_filters(spark, sf_dir):
+    """The label of a page is that of the document its path names: bad if the quality is 0."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = fitting.one_label(table(spark, sf_dir, "labels"), "quality").select(F.col("doc_id").alias("__doc"), (1 - F.col("label")).alias("label"))
+    number = F.try_to_number(F.regexp_extract(url_templates.path(F.col("url")), "([0-9]{1,18})[^0-9]*$", 1), F.lit("9" * 18)).cast("bigint")
+    return url_templates.judge(pages.join(labels, number == F.col("__doc"), "left"), RULES)
+
+
 @llm_query()
 def op6_quality_rules(spark, sf_dir):
     judged = quality.judge(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
@@ -73,3 +85,10 @@ def op8_warc_captures(spark, sf_dir):
 @llm_query()
 def op9_weighted_minhash(spark, sf_dir):
     return weighted_minhash.classes(_documents(spark, sf_dir))
+
+
+@llm_query()
+def op10_language_mixture(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    found = language_mixture.predict(docs, language_mixture.learn(docs.where(training_row(F.col("doc_id")))))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages")
