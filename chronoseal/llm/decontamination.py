@@ -286,6 +286,8 @@ def _matches(index: DataFrame, wanted: DataFrame, slop: int | None, most: int) -
     spark: SparkSession = index.sparkSession
     found = None
     for block in _blocks(stored(wanted, "phrases"), most):
+        if not block:
+            continue
         part = index.mapInArrow(_search(spark.sparkContext.broadcast(block), slop), MATCHES)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], MATCHES) if found is None else found

@@ -32,7 +32,7 @@ LEAST_WEIGHT = 3.0
 MOST_WEIGHT = 8.0
 #: Letters of other scripts that look like Latin letters.
 LOOK_ALIKE = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ӏ": "i",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "д": "d", "ӏ": "i",
     "к": "k", "м": "m", "н": "h", "т": "t", "в": "b", "α": "a", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "ε": "e",
 }
 #: Digits and signs that stand for letters; l shares the letter of 1 and i.
