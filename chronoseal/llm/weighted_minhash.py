@@ -4,9 +4,9 @@ A shingle is five consecutive words. Its weight in a text is its count times an
 is sampled ``SAMPLES`` times: a sample of two texts is equal with the probability of their weighted Jaccard
 similarity. ``BANDS`` subsets of ``ROWS`` samples are bucket keys. Within a bucket a leader, another for each band, is
 verified against all members, which takes as many pairs as members; classes are the components of the verified
-pairs. Buckets that then still hold more than one class are compared in full inside tasks, in blocks of members, and the
-pairs whose samples agree often enough are verified as well. So no pair list grows with the square of a group, and
-no task holds a whole bucket.
+pairs. Buckets that then still hold more than one class are compared in full inside tasks, in blocks of members: first by
+their samples, then, for members with a partner that agrees often enough, by their texts. Only links that join
+classes leave a task. So no pair list grows with the square of a group, and no task holds a whole bucket.
 
 Document frequencies come from a counting sketch over all documents: ``2 ** SKETCH_BITS`` counters, corrected for the
 mean of the other shingles that share a counter. Its size is fixed, whatever the corpus. The frequency is damped,
@@ -121,6 +121,9 @@ class Sampler:
         self.odd = A.mix(np.arange(1, SAMPLES + 1, dtype=_U)) | _U(1)
         rng = np.random.default_rng(7)
         self.bands = np.stack([np.sort(rng.permutation(SAMPLES)[:ROWS]) for _ in range(BANDS)])
+        self.members = np.zeros((SAMPLES, BANDS), np.float32)
+        for b, band in enumerate(self.bands):
+            self.members[band, b] = 1
 
     def samples(self, found: np.ndarray, weight: np.ndarray, per_text: np.ndarray) -> np.ndarray:
         """Samples of each text that has shingles, as bits of the least hash value: one row per text."""
@@ -148,9 +151,18 @@ class Sampler:
         return mixed.view(np.int64)
 
 
+_SAMPLER: list[Sampler] = []
+
+
+def _sampler() -> Sampler:
+    if not _SAMPLER:
+        _SAMPLER.append(Sampler())
+    return _SAMPLER[0]
+
+
 def _signatures(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler()
+        sampler = _sampler()
         for batch in batches:
             data, offsets = A.utf8(batch.column(1))
             for i, j in A.slices(offsets, SLICE):
@@ -166,16 +178,17 @@ def _signatures(idf):
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sampler = Sampler()
+    sampler = _sampler()
     for batch in batches:
         for part in (batch.slice(i, 4096) for i in range(0, len(batch), 4096)):
             column = part.column(1)
             taken = column.flatten().to_numpy().reshape(len(part), SAMPLES)
             rows = np.repeat(np.arange(len(part)), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(sampler.keys(taken).ravel()), part.column(0).take(pa.array(rows))], names=["bucket", "node"])
+            band = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(part)))
+            yield pa.RecordBatch.from_arrays([pa.array(sampler.keys(taken).ravel()), band, part.column(0).take(pa.array(rows))], names=["bucket", "band", "node"])
 
 
-def _similarities(idf):
+def _links(idf, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_shingles, hub_weights = None, None, None
         for batch in batches:
@@ -185,7 +198,7 @@ def _similarities(idf):
                 found, counts, per_text, digest = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 weight = weights(found, counts, idf.value).astype(np.float64)
                 ends = np.concatenate(([0], np.cumsum(per_text)))
-                a, b, similarity = [], [], []
+                a, b = [], []
                 for k in range(j - i):
                     leader, node = hubs[i + k].as_py(), nodes[i + k].as_py()
                     mine, my_weights = found[ends[k] : ends[k + 1]], weight[ends[k] : ends[k + 1]]
@@ -198,10 +211,10 @@ def _similarities(idf):
                         at = np.minimum(np.searchsorted(hub_shingles, mine), len(hub_shingles) - 1)
                         shared = hub_shingles[at] == mine
                         common = np.minimum(hub_weights[at], my_weights)[shared].sum()
-                        a.append(leader)
-                        b.append(node)
-                        similarity.append(common / (hub_weights.sum() + my_weights.sum() - common))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(similarity, pa.float64())], names=["a", "b", "similarity"])
+                        if common >= threshold * (hub_weights.sum() + my_weights.sum() - common):
+                            a.append(leader)
+                            b.append(node)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return run
 
@@ -219,34 +232,96 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     )
     # Leaders come first in their chunk, as nulls sort first.
     rows = leaders.unionByName(partners).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "b").select("a", "b", "text")
-    return rows.mapInArrow(_similarities(idf), "a binary, b binary, similarity double").where(F.col("similarity") >= threshold)
+    return rows.mapInArrow(_links(idf, threshold), "a binary, b binary")
+
 
+def _sides(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of the lower block, rows to compare them with, and whether these are the same rows."""
+    low, high = int(block.min()), int(block.max())
+    every = np.arange(len(block))
+    return (every, every, True) if low == high else (np.flatnonzero(block == low), np.flatnonzero(block == high), False)
 
-def _block_pairs(least: int):
-    """Pairs of different classes in a bucket (or two blocks of it) whose samples agree ``least`` times or more."""
+
+def _open_nodes(least: int):
+    """Nodes of a bucket (or of two blocks of it) that take part in a pair which must still be verified here: different
+    classes, samples that agree ``least`` times or more, and no earlier band in which the two meet as well."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, label = table.column("node").combine_chunks(), table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        sampler = _sampler()
+        label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
         taken = table.column("samples").combine_chunks().flatten().to_numpy().reshape(len(table), SAMPLES)
-        block = table.column("block").to_numpy()
+        earlier = sampler.members[:, : table.column("band")[0].as_py()]
+        mine, other, same = _sides(table.column("block").to_numpy())
+        needed = np.zeros(len(table), bool)
+        for i in mine:
+            partners = other[(label[other] != label[i]) & ((other > i) if same else True)]
+            equal = taken[partners] == taken[i]
+            close = equal.sum(axis=1) >= least
+            partners, equal = partners[close], equal[close]
+            if len(partners) and earlier.shape[1]:
+                partners = partners[~((equal.astype(np.float32) @ earlier) >= ROWS).any(axis=1)]
+            if len(partners):
+                needed[i] = True
+                needed[partners] = True
+        at = pa.array(np.flatnonzero(needed))
+        return table.select(["bucket", "i", "j", "node", "label", "block"]).take(at)
+
+    return run
+
+
+def _block_links(idf, threshold: float):
+    """Links that join different classes of a bucket (or of two blocks of it): a spanning forest of all links."""
+
+    def run(table: pa.Table) -> pa.Table:
+        digest = shingles(*A.utf8(table.column("text")))[3]
+        own_text = [d.tobytes() == n for d, n in zip(digest, table.column("node").to_pylist())]
+        if not all(own_text):  # the text of another row with the same id
+            table = table.filter(pa.array(own_text))
+        if not len(table):
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        found, counts, per_text, _ = shingles(*A.utf8(table.column("text")))
+        weight = weights(found, counts, idf.value).astype(np.float64)
+        ends = np.concatenate(([0], np.cumsum(per_text)))
+        _, place = np.unique(found, return_inverse=True)
+        label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        total = np.add.reduceat(np.append(weight, 0.0), ends[:-1])
+        parent = np.arange(int(label.max()) + 1)
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        mine, other, same = _sides(table.column("block").to_numpy())
+        dense = np.zeros(int(place.max()) + 1 if len(place) else 1)
         left, right = [], []
-        low = int(block.min())
-        mine = np.flatnonzero(block == low) if block.max() > low else np.arange(len(table))
-        other = np.flatnonzero(block != low) if block.max() > low else np.arange(len(table))
         for i in mine:
-            partners = other[(label[other] != label[i]) & (other > i if len(mine) == len(table) else True)]
-            agree = (taken[partners] == taken[i]).sum(axis=1)
-            close = partners[agree >= least]
-            left.append(np.full(len(close), i))
-            right.append(close)
-        a, b = node.take(pa.array(np.concatenate(left))), node.take(pa.array(np.concatenate(right)))
-        return pa.table({"a": a.cast(pa.binary()), "b": b.cast(pa.binary())})
+            roots = np.array([root(x) for x in range(len(parent))])[label]
+            partners = other[(roots[other] != roots[i]) & ((other > i) if same else True)]
+            if not len(partners):
+                continue
+            own = slice(ends[i], ends[i + 1])
+            dense[place[own]] = weight[own]
+            rows = A.ragged(ends[partners], per_text[partners])
+            common = np.add.reduceat(np.minimum(dense[place[rows]], weight[rows]), np.cumsum(per_text[partners]) - per_text[partners])
+            dense[place[own]] = 0
+            for j in partners[common >= threshold * (total[i] + total[partners] - common)]:
+                a, b = root(label[i]), root(label[j])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    left.append(i)
+                    right.append(j)
+        node = table.column("node").combine_chunks()
+        pick = lambda at: node.take(pa.array(at, pa.int64())).cast(pa.binary())
+        return pa.table({"a": pick(left), "b": pick(right)})
 
     return run
 
 
-def _rest(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, least: int) -> DataFrame:
-    """Pairs still to verify: same bucket, different classes, samples that often agree."""
+def _rest(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links between different classes that share a bucket. Rows sent: members, not pairs."""
+    # Samples agree with the probability of the similarity; five deviations below it nothing is lost.
+    least = int(SAMPLES * threshold - 5 * np.sqrt(SAMPLES * threshold * (1 - threshold)))
     labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y")
     mixed = stored(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
@@ -254,8 +329,10 @@ def _rest(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, least: int) -
     full = held.join(nodes.select("node", "samples"), "node")
     # Blocks meet two by two; a bucket of one block meets itself once.
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    met = full.withColumn("pair", F.explode(others)).select("bucket", "pair.i", "pair.j", "block", "node", "label", "samples")
-    return met.groupBy("bucket", "i", "j").applyInArrow(_block_pairs(least), "a binary, b binary").distinct()
+    met = full.withColumn("pair", F.explode(others)).select("bucket", "pair.i", "pair.j", "band", "block", "node", "label", "samples")
+    kept = "bucket bigint, i int, j int, node binary, label binary, block int"
+    needed = stored(met.groupBy("bucket", "i", "j").applyInArrow(_open_nodes(least), kept), "open")
+    return needed.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(_block_links(idf, threshold), "a binary, b binary")
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -274,7 +351,7 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     signed = stored(present.mapInArrow(_signatures(idf), "doc_id bigint, node binary, samples array<int>"), "signatures")
     nodes = stored(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("samples").alias("samples")), "nodes")
     sampled = nodes.where((F.size("samples") > 0) & F.col("rep").isNotNull())
-    keyed = sampled.select("node", "samples").mapInArrow(_band_rows, "bucket bigint, node binary")
+    keyed = sampled.select("node", "samples").mapInArrow(_band_rows, "bucket bigint, band int, node binary")
     # Another leader in each bucket of a class: what one leader misses, the next one links.
     ranked = keyed.withColumn("rank", F.struct(F.xxhash64("bucket", "node").alias("h"), "node"))
     leaders = stored(ranked.groupBy("bucket").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("first.node").alias("leader")), "leaders")
@@ -285,11 +362,7 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     texts = stored(wanted.join(rows, wanted["rep"] == rows["doc_id"]).select("node", "text"), "texts")
     edges = stored(verified(stars, texts, idf, threshold).select("a", "b"), "links")
     labels = components(edges)
-    # Samples agree with the probability of the similarity; five deviations below it nothing is lost.
-    least = int(SAMPLES * threshold - 5 * np.sqrt(SAMPLES * threshold * (1 - threshold)))
-    rest = _rest(buckets.select("bucket", "node"), nodes, labels, least).join(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    rest = stored(rest, "rest")
-    more = verified(rest, texts, idf, threshold).select("a", "b")
+    more = stored(_rest(buckets.select("bucket", "band", "node"), nodes, texts, labels, idf, threshold), "links")
     labels = components(stored(edges.unionByName(more), "links"))
     named = signed.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stored(named.select("doc_id", "label"), "members")
