@@ -265,6 +265,7 @@ def cut_words(data: np.ndarray, offsets: np.ndarray, specials: dict[str, int]) -
         inside = (span >= 0) & (starts < last[np.maximum(span, 0)])
         lead = inside & (starts == first[np.maximum(span, 0)])
         special[lead] = number[span[lead]]
+        sizes = np.where(lead, (last - first)[np.maximum(span, 0)], sizes)
         keep = ~inside | lead
         starts, sizes, special = starts[keep], sizes[keep], special[keep]
     return starts, sizes, special

@@ -88,8 +88,8 @@ def _fields(raw: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def parse_record(raw: bytes) -> tuple[dict, int]:
-    """A record from its bytes, and the bytes of its block that are still missing."""
+def parse_record(raw: bytes) -> tuple[dict, int, bytes]:
+    """A record from its bytes, the number of bytes that its block still lacks, and the bytes after it."""
     head, _, body = raw.partition(b"\r\n\r\n")
     fields = _fields(head)
     named = dict(reversed(fields))
@@ -108,7 +108,7 @@ def parse_record(raw: bytes) -> tuple[dict, int]:
         "refers_to": plain(named.get("warc-refers-to")), "digest": named.get("warc-payload-digest"),
         "headers": list(named.items()), "http_headers": list(http.items()), "payload": block,
     }
-    return record, length - len(body)
+    return record, length - len(body), body[length:]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,14 +120,21 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ("truncated", pa.bool_()), ("payload", pa.binary()),
         ]
     )
-    out, size = [], 0
-    path, raw, missing = None, b"", 0
+    out, size, path, open_ = [], 0, None, b""
 
-    def done(truncated: bool) -> None:
+    def take(raw: bytes, ended: bool) -> bytes:
+        """Emit the complete records of ``raw``; returns one that goes on, unless the file has ended."""
         nonlocal size
-        record, _ = parse_record(raw)
-        out.append(record | {"path": path, "truncated": truncated})
-        size += len(raw)
+        while raw.strip():
+            record, missing, rest = parse_record(raw)
+            if missing > 0 and not ended:
+                return raw
+            out.append(record | {"path": path, "truncated": missing > 0})
+            size += len(raw) - len(rest)
+            # The line reader may miss a separator, so what follows a record can be the next one.
+            raw = rest.lstrip(b"\r\n")
+            raw = raw if raw.startswith(b"WARC/") else b""
+        return b""
 
     for batch in batches:
         for k in range(len(batch)):
@@ -135,22 +142,14 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if batch.column(2)[k].as_py():
                 raise ValueError(f"{here} was split; archives are read whole, so compress them with gzip")
             if here != path:
-                if raw:
-                    done(missing > 0)
-                path, raw = here, piece
-            elif missing > 0:
-                raw += SEPARATOR + piece  # the separator stood inside the block
-            else:
-                done(False)
-                raw = SEPARATOR[4:] + piece
-            missing = parse_record(raw)[1] if raw.strip() else 0
-            if not raw.strip():
-                raw = b""
+                take(open_, True)
+                path, open_ = here, take(piece, False)
+            else:  # the separator stood before a record, or inside the block of one that goes on
+                open_ = take(open_ + SEPARATOR + piece if open_ else SEPARATOR[4:] + piece, False)
             if size >= BATCH_BYTES:
                 yield pa.RecordBatch.from_pylist(out, schema=types)
                 out, size = [], 0
-    if raw:
-        done(missing > 0)
+    take(open_, True)
     if out:
         yield pa.RecordBatch.from_pylist(out, schema=types)
 
