@@ -58,10 +58,10 @@ def parse_boolean(c: Column | str) -> Column:
 
 
 def decide(score: Column | str, threshold: Column | float, inclusive: bool = False) -> Column:
-    """Binary decision; ``inclusive`` switches ``>`` to ``>=``."""
+    """Binary decision; ``inclusive`` switches ``>`` to ``>=``. A missing score or threshold gives NULL."""
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     above = _col(score) >= limit if inclusive else _col(score) > limit
-    return F.when(above, F.lit(POSITIVE)).otherwise(F.lit(NEGATIVE))
+    return F.when(above, F.lit(POSITIVE)).when(~above, F.lit(NEGATIVE))
 
 
 @dataclass(frozen=True)
@@ -89,7 +89,12 @@ def _argmax(d: Column, c: Column, n: Column) -> Column:
 
 
 def decide_ternary(d: Column | str, c: Column | str, n: Column | str, rule: DecisionRule) -> Column:
+    """Ternary decision by a rule; NULL if a probability is missing."""
     d, c, n = _col(d), _col(c), _col(n)
+    return F.when(d.isNotNull() & c.isNotNull() & n.isNotNull(), _decide_ternary(d, c, n, rule))
+
+
+def _decide_ternary(d: Column, c: Column, n: Column, rule: DecisionRule) -> Column:
     if rule.kind == "diagnosed_margin":
         return (
             F.when(d >= F.greatest(c, n) + F.lit(float(rule.diagnosed_margin)), F.lit(POSITIVE))

@@ -153,7 +153,7 @@ def flagged_users(tables: Sequence[DataFrame], key: str = "user_id") -> DataFram
 
 
 def shard_assignment(users: DataFrame, shards: DataFrame, position: str = "position", start: str = "start", end: str = "end") -> DataFrame:
-    """Shard of each user position in ``[start, end)``.
+    """Shard of each user position in ``[start, end)``; a user outside all ranges has no row (see :func:`missing_keys`).
 
     Shard ranges are cut into fixed blocks, so the range test becomes an equality
     join on the block and a filter, with no nested loop.

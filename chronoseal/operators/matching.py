@@ -162,7 +162,12 @@ def match_findings(matches: DataFrame, key: str = "user_id") -> DataFrame:
 
 
 def matched_posts(source: DataFrame, matches: DataFrame, key: str = "user_id", index: str = "tweet_index") -> DataFrame:
-    """Source rows that were matched, re-indexed by their target position."""
-    wanted = matches.where("source_index IS NOT NULL").select(key, F.col("source_index").alias(index), "target_index")
+    """Source rows of the matched users, re-indexed by their target position.
+
+    A user whose target is no ordered part of the source has no rows; :func:`match_findings` lists them.
+    """
+    failed = match_findings(matches, key).select(F.col("detail").alias("__failed")).distinct()
+    sound = matches.join(failed, F.col(key).cast("string") == F.col("__failed"), "left_anti")
+    wanted = sound.select(key, F.col("source_index").alias(index), "target_index")
     joined = source.withColumn(index, F.col(index).cast("bigint")).join(wanted, [key, index])
     return joined.drop(index).withColumnRenamed("target_index", index)

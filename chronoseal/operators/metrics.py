@@ -364,7 +364,7 @@ def balanced_weights(rows: DataFrame, label: str = "label", classes: int = 2, po
     packed = counts.agg(F.sum("__c").alias("__n"), F.collect_list(F.struct(label, "__c")).alias("__rows"))
     ratio = F.col("__n") / (F.lit(float(classes)) * F.col("__c"))
     per_class = packed.select("__n", F.inline("__rows")).select(label, F.pow(ratio, F.lit(float(power))).alias(name))
-    return rows.join(F.broadcast(per_class), label)
+    return rows.join(per_class, label)
 
 
 def fold_average(scores: DataFrame, folds: int, keys: Sequence[str] = ("user_id", "model_id")) -> DataFrame:

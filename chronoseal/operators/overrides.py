@@ -110,10 +110,26 @@ def parse_tool_response(text: Column | str) -> dict[str, Column]:
 
 
 def apply_decisions(predictions: DataFrame, decisions: DataFrame, keys: Sequence[str] = ("user_id",)) -> DataFrame:
-    """Final labels: positive predictions follow the one-way override, all others stay."""
-    d = decisions.select(*keys, F.col("base_decision").alias("__base"), F.col("llm_true_depression").alias("__verdict"))
+    """Final labels: positive predictions follow the one-way override, all others stay.
+
+    Each positive prediction needs exactly one decision, made on a positive base; the plan raises at the first one
+    without. :func:`decision_findings` lists them all.
+    """
+    d = decisions.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.min(F.coalesce(F.col("base_decision") == POSITIVE, F.lit(False))).alias("__base"),
+        F.max("llm_true_depression").alias("__verdict"),
+    )
     joined = predictions.join(d, list(keys), "left")
-    return joined.withColumn("final", override_decision("predicted", "__verdict")).drop("__base", "__verdict")
+    code = (
+        F.when(F.col("__n").isNull(), F.lit("decision-missing"))
+        .when(F.col("__n") > 1, F.lit("decision-duplicate"))
+        .when(~F.col("__base"), F.lit("decision-base"))
+    )
+    who = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+    refused = F.when((F.col("predicted") == POSITIVE) & code.isNotNull(), F.raise_error(F.concat(code, F.lit(" "), who)).cast("string"))
+    final = F.coalesce(refused, override_decision("predicted", "__verdict"))
+    return joined.withColumn("final", final).drop("__n", "__base", "__verdict")
 
 
 def decision_findings(predictions: DataFrame, decisions: DataFrame, key: str = "user_id") -> DataFrame:

@@ -27,8 +27,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, qs: Seque
     stats = rows.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__n"))
     span = F.col("__hi") - F.col("__lo")
     share = F.when(span > 0, (F.col("__v") - F.col("__lo")) / span).otherwise(F.lit(0.0))
-    # stats has one row per group.
-    binned = rows.join(F.broadcast(stats), by).select(*by, "__v", F.floor(share * F.lit(float(bins))).cast("int").alias("__bin"))
+    binned = rows.join(stats, by).select(*by, "__v", F.floor(share * F.lit(float(bins))).cast("int").alias("__bin"))
     hist = binned.groupBy(*by, "__bin").agg(F.count(F.lit(1)).alias("__c"))
     up = W.partitionBy(*by).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
     hist = hist.withColumn("__before", F.coalesce(F.sum("__c").over(up), F.lit(0)))

@@ -44,15 +44,23 @@ def align_scores(
 ) -> DataFrame:
     """One row per user: each value column becomes an array in the order of ``models``.
 
-    Users without a score from every model keep NULL entries; check with
-    :func:`chronoseal.operators.alignment.alignment_findings` before use.
+    Every user needs exactly one score of every model, and one value of each kept column. The plan raises at the
+    first user where that fails; :func:`chronoseal.operators.alignment.alignment_findings` lists them all.
     """
     wanted = scores.where(F.col("model_id").isin(*models))
-    arrays = [
-        F.array(*[F.max(F.when(F.col("model_id") == m, F.col(v))) for m in models]).alias(v if v != "score" else "scores")
-        for v in values
-    ]
-    return wanted.groupBy(*keys).agg(*[F.max(k).alias(k) for k in keep], *arrays)
+    names = [v if v != "score" else "scores" for v in values]
+    arrays = [F.array(*[F.max(F.when(F.col("model_id") == m, F.col(v))) for m in models]).alias(n) for v, n in zip(values, names)]
+    lows = [F.min(k).alias(f"__low_{k}") for k in keep]
+    per = wanted.groupBy(*keys).agg(*[F.max(k).alias(k) for k in keep], *arrays, F.count(F.lit(1)).alias("__n"), *lows)
+    missing = F.lit(False)
+    for n in names:
+        missing = missing | F.exists(n, lambda x: x.isNull())
+    code = F.when(missing, F.lit("align-missing-score")).when(F.col("__n") > len(models), F.lit("align-duplicate-score"))
+    for k in keep:
+        code = code.when(F.col(f"__low_{k}") != F.col(k), F.lit(f"align-{k}-mismatch"))
+    who = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+    checked = [F.when(code.isNull(), F.col(n)).otherwise(F.raise_error(F.concat(code, F.lit(" "), who)).cast(per.schema[n].dataType)).alias(n) for n in names]
+    return per.select(*keys, *keep, *checked)
 
 
 # --- grids ---------------------------------------------------------------------------
@@ -235,14 +243,16 @@ def select_ensemble(
     scores: DataFrame,
     models: Sequence[str],
     step: float,
-    exhaustive_limit: int = 7,
+    strategy: str,
     max_models: int = 8,
     prune_to: int = 16,
 ) -> DataFrame:
-    """Full grid up to ``exhaustive_limit`` models, ranked prefixes beyond it."""
+    """One-row lock by the full grid (``exhaustive``) or by ranked prefixes (``ranked-prefix``), as the caller says."""
+    if strategy not in ("exhaustive", "ranked-prefix"):
+        raise ValueError(f"unknown strategy: {strategy}")
     ordered = sorted(models)
     aligned = align_scores(scores, ordered)
-    if len(ordered) <= exhaustive_limit:
+    if strategy == "exhaustive":
         return select_weights(aligned, ordered, step)
     return select_pruned(scores, aligned, ordered, max_models, prune_to)
 
@@ -340,12 +350,15 @@ def refine_ternary(
 ) -> DataFrame:
     """Search a finer box around a coarse one-row lock; keep the coarse lock unless beaten.
 
+    A lock of one model has nothing to refine, and one of more than ``max_models`` is left as it is; either way the
+    row states so in ``refined``.
+
     The lock is one row and is read to the driver to size the box.
     """
     row = coarse.first()
     kept = {m: w for m, w in row["weights"].items() if w > 1e-12}
     if not 2 <= len(kept) <= max_models:
-        return coarse
+        return coarse.withColumn("refined", F.lit(0))
     precision = _check_step(step)
     names = [m for m in models if m in kept]
     at = [list(models).index(m) for m in names]

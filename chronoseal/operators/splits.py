@@ -173,9 +173,12 @@ def _fold_up(rows: DataFrame, keys: Sequence[str], order: str, value: str, fan:
 def timeline_digests(posts: DataFrame, key: str = "user_id", index: str = "tweet_index", text: str | None = None, fan: int = 1024, levels: int = 3) -> DataFrame:
     """Ordered digest per user over indexes, or over length-prefixed texts.
 
-    ``fan ** levels`` indexes fit; posts with the same index must not occur
-    (see :func:`chronoseal.operators.timeline.index_health`).
+    The tree has ``levels`` levels, or as many more as the largest index needs. Posts with the same index must not
+    occur (see :func:`chronoseal.operators.timeline.index_health`).
     """
+    largest = posts.agg(F.max(F.col(index).cast("bigint"))).first()[0] or 0
+    while fan**levels <= largest:
+        levels += 1
     if text is None:
         entry = F.col(index).cast("string")
     else:

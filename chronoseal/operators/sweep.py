@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
 from .metrics import BINARY_METRICS, EQUAL_DIGITS, THRESHOLD_ORDER, binary_columns
 from .quantiles import quantiles as quantiles_of
 
@@ -111,6 +112,8 @@ def sweep_cuts(
     s = F.col(score).cast("double")
     rows = scored.select(*keys, s.alias("__s"), F.when(positive, n).otherwise(F.lit(0)).alias("__p"), n.alias("__n"), _bin(s, bins).alias("__bin"))
     hist = _histogram(rows, keys)
+    if prune == "all":
+        hist = written(hist)  # one pass over a whole grid; the steps below read a few rows per candidate
 
     edge = binary_columns(*_counts(F.col("above_p") + F.col("p"), F.col("above_n") - F.col("above_p") + F.col("n") - F.col("p")))
     bound = binary_columns(*_counts(F.col("above_p") + F.col("p"), F.col("above_n") - F.col("above_p")))
@@ -123,6 +126,10 @@ def sweep_cuts(
             best = graded.withColumn("__best", graded.agg(F.max("__edge")).scalar())
         opened = best.where(F.col("__bound") >= F.col("__best") - F.lit(1e-9)).drop("__edge", "__bound", "__best")
 
+    if prune == "all":
+        # Few bins stay open, so that the exact scores of most candidates are never grouped or shuffled.
+        opened = written(opened)
+        rows = rows.join(opened.select(*keys, "__bin"), [*keys, "__bin"], "left_semi")
     inside = rows.groupBy(*keys, "__bin", "__s").agg(F.sum("__p").alias("__p"), F.sum("__n").alias("__n"))
     joined = inside.join(opened.drop("p", "n"), [*keys, "__bin"])
     part = W.partitionBy(*keys, "__bin")
@@ -212,9 +219,8 @@ def coarse_sweep(
     even = [i / (grid - 1) for i in range(grid)]
     marks = quantiles_of(scored, keys, score, probabilities).groupBy(*keys).agg(F.collect_list("value").alias("__q"))
     cut = F.array_sort(F.array_distinct(F.concat(F.array(*[F.lit(v) for v in even]), F.col("__q"))))
-    # At most grid + quantiles numbers per candidate.
     cuts = marks.select(*keys, cut.alias("__cuts"))
-    joined = scored.join(F.broadcast(cuts), keys) if keys else scored.withColumn("__cuts", cuts.scalar())
+    joined = scored.join(cuts, keys) if keys else scored.withColumn("__cuts", cuts.scalar())
     below = F.size(F.filter("__cuts", lambda t: t < F.col(score)))
     counted = joined.select(*keys, below.alias("__i"), positive.alias("__pos")).groupBy(*keys, "__i").agg(F.count_if("__pos").alias("p"), F.count_if(~F.col("__pos")).alias("n"))
     up = W.partitionBy(*keys).orderBy(F.col("__i").desc())

@@ -98,17 +98,19 @@ def sealed_evaluation_rows(spark, sf_dir):
 @query(
     "J13 S13",
     """WITH u AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer)
-    SELECT c_custkey AS user_id, position, 'shard-' || lpad(CAST(position // 100 * 100 AS VARCHAR), 6, '0') || '-' || lpad(CAST(position // 100 * 100 + 100 AS VARCHAR), 6, '0') || '.parquet' AS shard FROM u WHERE position < 100 * (SELECT count(*) // 100 FROM customer)""",
+    SELECT c_custkey AS user_id, position, 'shard-' || lpad(CAST(position // 100 * 100 AS VARCHAR), 6, '0') || '-' || lpad(CAST(position // 100 * 100 + 100 AS VARCHAR), 6, '0') || '.parquet' AS shard FROM u""",
 )
 def user_shards(spark, sf_dir):
     """Users by position in the shards whose names state their range."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
     placed = R.row_numbers(c.withColumn("all", F.lit(0)), ["all"], [F.col("user_id")], F.floor(F.col("user_id") / 1000), "position").select("user_id", (F.col("position") - 1).alias("position"))
-    last = table(spark, sf_dir, "customer").agg(F.floor(F.count(F.lit(1)) / 100).alias("n"))
+    last = table(spark, sf_dir, "customer").agg(F.ceil(F.count(F.lit(1)) / 100).alias("n"))
     made = last.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
     names = made.select(F.format_string("shard-%06d-%06d.parquet", F.col("i") * 100, F.col("i") * 100 + 100).alias("shard"))
     start, end = AR.shard_range("shard")
-    return A.shard_assignment(placed, names.select("shard", start.alias("start"), end.alias("end"))).select("user_id", "position", "shard")
+    assigned = A.shard_assignment(placed, names.select("shard", start.alias("start"), end.alias("end"))).select("user_id", "position", "shard")
+    AU.require(A.missing_keys(placed, assigned, code="user-without-shard"), "shards")
+    return assigned
 
 
 @query("J16 A8", "SELECT doc_id, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS original, CASE WHEN toxic = 1 THEN 'yes' ELSE 'no' END AS specialist FROM labels WHERE (quality = 1) <> (toxic = 1)")

@@ -73,7 +73,7 @@ def parsed_responses(spark, sf_dir):
 
 
 _PRED = f"""{SCORES_SQL}, pr AS (SELECT user_id, model_id, label, fold, CASE WHEN score > 0.35e0 THEN 'diagnosed' ELSE 'control' END AS predicted FROM scores WHERE split = 'test'),
-    dec AS (SELECT DISTINCT user_id, CASE WHEN fold = 5 THEN 'control' ELSE 'diagnosed' END AS base_decision, fold <= 2 AS verdict FROM pr WHERE fold <> 4)"""
+    dec AS (SELECT DISTINCT user_id, fold <= 2 AS verdict FROM pr)"""
 
 
 def _predictions(spark, sf_dir):
@@ -85,9 +85,14 @@ def _decisions(spark, sf_dir):
     return t.select("user_id", F.when(F.col("fold") == 5, F.lit("control")).otherwise(F.lit("diagnosed")).alias("base_decision"), (F.col("fold") <= 2).alias("llm_true_depression"), "label", "fold")
 
 
+def _all_decisions(spark, sf_dir):
+    t = people(spark, sf_dir).where("split = 'test'")
+    return t.select("user_id", F.lit("diagnosed").alias("base_decision"), (F.col("fold") <= 2).alias("llm_true_depression"))
+
+
 @query("P27 J11 E14", f"WITH {_PRED} SELECT pr.user_id, model_id, predicted, CASE WHEN predicted = 'diagnosed' AND verdict = false THEN 'control' ELSE predicted END AS final FROM pr LEFT JOIN dec USING (user_id)")
 def overridden_predictions(spark, sf_dir):
-    out = O.apply_decisions(_predictions(spark, sf_dir), _decisions(spark, sf_dir))
+    out = O.apply_decisions(_predictions(spark, sf_dir), _all_decisions(spark, sf_dir))
     return out.select("user_id", "model_id", "predicted", "final")
 
 
@@ -115,7 +120,7 @@ def _side_metrics(name: str) -> str:
 )
 def override_comparison(spark, sf_dir):
     """Base against overridden metrics per model."""
-    out = O.apply_decisions(_predictions(spark, sf_dir), _decisions(spark, sf_dir))
+    out = O.apply_decisions(_predictions(spark, sf_dir), _all_decisions(spark, sf_dir))
     return rounded(M.override_comparison(out, ["model_id"]))
 
 

@@ -128,7 +128,7 @@ def _weights_text(weights):
 @query("E4 E7", _PRUNED_SQL)
 def select_pruned(spark, sf_dir):
     """More models than the grid limit: ranked prefixes decide."""
-    lock = S.select_ensemble(_train_scores(spark, sf_dir), ["m1_linear", "m2_boost", "m3_trees", "m4_seq", "m5_stack"], 0.1, exhaustive_limit=3)
+    lock = S.select_ensemble(_train_scores(spark, sf_dir), ["m1_linear", "m2_boost", "m3_trees", "m4_seq", "m5_stack"], 0.1, "ranked-prefix")
     shown = lock.select(F.col("size").cast("bigint").alias("size"), F.col("kind").cast("bigint").alias("kind"), "threshold", "tp", "fp", "tn", "fn", "macro_f1", _weights_text("weights").alias("weights"))
     return rounded(shown)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,8 +38,8 @@ def local_session(cores: int | str = 8, app_name: str = "chronoseal", **extra: s
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary folder is used
-    only where that setting is absent, which is the case in tests.
+    The cluster names it in ``spark.checkpoint.dir``. Where that setting is absent a temporary folder serves, but only
+    on a local master, where driver and tasks share the machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -46,11 +47,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Table written to the shared folder and read again; unlike a checkpoint its size is known to the planner."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: short lineage for loops, and safe when executors are lost."""
     spark = df.sparkSession

@@ -72,17 +72,9 @@ def read_posts(spark: SparkSession, path: str, columns: Sequence[str] = ("user_i
     return spark.read.schema(fields).parquet(path).select(*columns)
 
 
-def read_posts_of(spark: SparkSession, path: str, users: DataFrame, columns: Sequence[str], list_limit: int = 1000) -> DataFrame:
-    """Posts of wanted users.
-
-    A short list becomes an ``IN`` filter pushed to the Parquet row groups, a
-    longer one a semi-join. The list is probed with one row above the limit.
-    """
-    posts = read_posts(spark, path, columns)
-    probe = [r[0] for r in users.select("user_id").distinct().limit(list_limit + 1).collect()]
-    if len(probe) <= list_limit:
-        return posts.where(F.col("user_id").isin(*probe))
-    return posts.join(users.select("user_id"), "user_id", "left_semi")
+def read_posts_of(spark: SparkSession, path: str, users: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Posts of wanted users, by semi-join; Spark broadcasts a short list and may prune the scan with it."""
+    return read_posts(spark, path, columns).join(users.select("user_id"), "user_id", "left_semi")
 
 
 def read_jdbc(

@@ -123,7 +123,13 @@ def test_override_needs_a_decision_for_each_flagged_row(spark):
     p = spark.createDataFrame([("a", "diagnosed"), ("b", "control"), ("c", "diagnosed"), ("d", "diagnosed")], "user_id string, predicted string")
     d = spark.createDataFrame([("a", "diagnosed", False), ("c", "control", False)], "user_id string, base_decision string, llm_true_depression boolean")
     assert rows(O.decision_findings(p, d), "code", "detail") == [("decision-base", "c"), ("decision-missing", "d")]
-    assert dict(rows(O.apply_decisions(p, d), "user_id", "final")) == {"a": "control", "b": "control", "c": "control", "d": "diagnosed"}
+    with pytest.raises(Exception, match="decision-(base|missing)"):
+        O.apply_decisions(p, d).collect()
+    twice = spark.createDataFrame([("a", "diagnosed", False), ("a", "diagnosed", True)], "user_id string, base_decision string, llm_true_depression boolean")
+    with pytest.raises(Exception, match="decision-duplicate a"):
+        O.apply_decisions(p.where("user_id = 'a'"), twice).collect()
+    full = d.where("user_id = 'a'").unionByName(spark.createDataFrame([("c", "diagnosed", True), ("d", "diagnosed", False)], d.schema))
+    assert dict(rows(O.apply_decisions(p, full), "user_id", "final")) == {"a": "control", "b": "control", "c": "diagnosed", "d": "control"}
 
 
 def test_message_and_hash(spark):
@@ -156,3 +162,18 @@ def test_cache(spark):
     cache = spark.createDataFrame([("h1", "r")], "request_hash string, response string")
     assert rows(O.uncached(requests, cache), "user_id") == [("b",)]
     assert rows(O.cached(requests, cache), "user_id", "cache_hit") == [("a", True), ("b", False)]
+
+
+def test_users_that_fail_the_match_have_no_posts(spark):
+    from chronoseal.operators import matching
+
+    source = spark.createDataFrame([("u", 0, "a"), ("u", 1, "b"), ("u", 2, "c"), ("v", 0, "a"), ("v", 1, "b")], "user_id string, tweet_index bigint, tweet_text string")
+    target = spark.createDataFrame([("u", 0, "c"), ("u", 1, "a"), ("u", 2, "zz"), ("v", 0, "b")], "user_id string, tweet_index bigint, tweet_text string")
+    matches = matching.match_ordered_posts(source, target)
+    assert rows(matching.matched_posts(source, matches), "user_id", "tweet_text") == [("v", "b")]
+    assert rows(matching.match_findings(matches), "detail") == [("u",)]
+
+
+def test_deep_timelines_have_one_digest(spark):
+    posts = spark.createDataFrame([("u", 0), ("u", 70)], "user_id string, tweet_index bigint")
+    assert SP.timeline_digests(posts, fan=8, levels=2).count() == 1

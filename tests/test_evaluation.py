@@ -179,7 +179,7 @@ def test_fixed_set_weights(spark):
 
 def test_many_models_use_ranked_prefixes(spark):
     models = [f"m{i}" for i in range(8)]
-    lock = S.select_ensemble(spark.createDataFrame(score_rows(models, 12), SCORES), models, 0.25, exhaustive_limit=3, max_models=3).first()
+    lock = S.select_ensemble(spark.createDataFrame(score_rows(models, 12), SCORES), models, 0.25, "ranked-prefix", max_models=3).first()
     assert lock["strategy"].startswith("ranked-prefix-pruned") and 1 <= len(lock["weights"]) <= 3
     assert all(w > 0 for w in lock["weights"].values())
 
@@ -243,3 +243,29 @@ def test_empty_bins_are_kept(spark):
     bins = M.confidence_bins(M.diagnostic_rows(df, DecisionRule("argmax"))).collect()
     assert len(bins) == 7 and [b["n"] for b in bins] == [0, 0, 0, 0, 0, 1, 0]
     assert M.expected_calibration_error(M.confidence_bins(M.diagnostic_rows(df, DecisionRule("argmax")))).first()["ece"] == pytest.approx(0.15)
+
+
+def test_a_missing_score_is_no_decision(spark):
+    from chronoseal.functions import labels as L
+
+    df = spark.createDataFrame([(1, 0.9), (2, None), (3, 0.1)], "id int, score double")
+    assert dict(rows(df.withColumn("p", L.decide("score", 0.5)), "id", "p")) == {1: "diagnosed", 2: None, 3: "control"}
+    three = spark.createDataFrame([(1, 0.6, 0.3, 0.1), (2, 0.6, None, 0.1)], "id int, d double, c double, n double")
+    for kind in ("argmax", "diagnosed_margin", "no_evidence_gate"):
+        assert dict(rows(three.withColumn("p", L.decide_ternary("d", "c", "n", L.DecisionRule("r", kind))), "id", "p")) == {1: "diagnosed", 2: None}
+
+
+def test_incomplete_scores_are_refused(spark):
+    good = [(u, "diagnosed" if u == "a" else "control", 1, 0.5, m) for u in "ab" for m in ("x", "y")]
+    schema = "user_id string, label string, fold int, score double, model_id string"
+    assert S.align_scores(spark.createDataFrame(good, schema), ["x", "y"]).count() == 2
+    for bad, code in (
+        (good[:-1], "align-missing-score b"),
+        ([*good, good[0]], "align-duplicate-score a"),
+        ([*good[:-1], ("b", "diagnosed", 1, 0.5, "y")], "align-label-mismatch b"),
+        ([*good[:-1], ("b", "control", 2, 0.5, "y")], "align-fold-mismatch b"),
+    ):
+        with pytest.raises(Exception, match=code):
+            S.align_scores(spark.createDataFrame(bad, schema), ["x", "y"]).collect()
+    with pytest.raises(ValueError, match="strategy"):
+        S.select_ensemble(spark.createDataFrame(good, schema), ["x", "y"], 0.5, "some")
