@@ -63,6 +63,15 @@ def _oof_rows(manifest: DataFrame, scores: DataFrame) -> DataFrame:
     return scores.join(split_rows, "user_id", "left")
 
 
+def or_counts(findings: DataFrame, code: str, rows: DataFrame, prefix: str = "") -> DataFrame:
+    """The findings, or one passing row that states how many rows, users and models were checked."""
+    models = F.count_distinct("model_id") if "model_id" in rows.columns else F.lit(0)
+    users = F.count_distinct("user_id") if "user_id" in rows.columns else F.lit(0)
+    counted = rows.agg(F.format_string(f"{prefix}rows=%d users=%d models=%d", F.count(F.lit(1)), users, models)).scalar()
+    passed = findings.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+    return findings.unionByName(passed.select(F.lit(True).alias("ok"), F.lit(code).alias("code"), counted.alias("detail")))
+
+
 def _missing_users(manifest: DataFrame, scores: DataFrame, models: Sequence[str], code: str) -> DataFrame:
     """Train users without a row from a model: expected pairs are generated beside each user."""
     train = manifest.where("split = 'train'").select("user_id").distinct()
@@ -90,7 +99,7 @@ def audit_oof(manifest: DataFrame, scores: DataFrame, models: Sequence[str]) ->
     }
     detail = F.format_string("%s: %s", F.col("model_id"), F.col("user_id").cast("string"))
     parts = [_explode_codes(rows, checks, detail), _duplicates(scores, "oof-duplicate-user"), _missing_users(manifest, scores, models, "oof-missing-user")]
-    return or_pass(union_findings(parts), "oof-integrity", "OOF rows match train manifest exactly")
+    return or_counts(union_findings(parts), "oof-integrity", scores)
 
 
 def audit_ternary_oof(manifest: DataFrame, scores: DataFrame, models: Sequence[str], policy_id: str) -> DataFrame:
@@ -111,7 +120,7 @@ def audit_ternary_oof(manifest: DataFrame, scores: DataFrame, models: Sequence[s
         _duplicates(scores, "ternary-oof-duplicate-user"),
         _missing_users(manifest, scores, models, "ternary-oof-missing-user"),
     ]
-    return or_pass(union_findings(parts), "ternary-oof-integrity", f"{policy_id}: OOF rows match train manifest exactly")
+    return or_counts(union_findings(parts), "ternary-oof-integrity", scores, f"{policy_id}: ")
 
 
 def audit_test_scores(scores: DataFrame, name: str) -> DataFrame:
@@ -121,7 +130,7 @@ def audit_test_scores(scores: DataFrame, name: str) -> DataFrame:
         bad = scores.where(~N.is_finite("score"))
         who = F.col("user_id").cast("string") if "user_id" in scores.columns else F.lit("?")
         found = found.unionByName(finding(bad, "test-score-nonfinite-score", F.concat(F.lit(f"{name}: "), who)))
-    return or_pass(found, "test-score-schema", f"{name}: label-free schema")
+    return or_counts(found, "test-score-schema", scores, f"{name}: ")
 
 
 def audit_ternary_test_scores(scores: DataFrame, name: str) -> DataFrame:
@@ -129,7 +138,7 @@ def audit_ternary_test_scores(scores: DataFrame, name: str) -> DataFrame:
     if set(TERNARY_REQUIRED) <= set(scores.columns):
         bad = scores.where(~N.probabilities_valid("prob_diagnosed", "prob_control", "prob_no_evidence"))
         found = found.unionByName(finding(bad, "ternary-test-invalid-probs", F.concat(F.lit(f"{name}: "), F.col("user_id").cast("string"))))
-    return or_pass(found, "ternary-test-score-schema", f"{name}: label-free probability schema")
+    return or_counts(found, "ternary-test-score-schema", scores, f"{name}: ")
 
 
 def audit_decisions(decisions: DataFrame, name: str) -> DataFrame:
@@ -143,7 +152,7 @@ def audit_decisions(decisions: DataFrame, name: str) -> DataFrame:
             "llm-test-invalid-confidence": ~unreadable & ~(N.is_finite(confidence) & (confidence >= 0) & (confidence <= 1)),
         }
         found = found.unionByName(_explode_codes(decisions, checks, F.concat(F.lit(f"{name}: "), F.col("user_id").cast("string"))))
-    return or_pass(found, "llm-test-decision-schema", f"{name}: label-free decision schema")
+    return or_counts(found, "llm-test-decision-schema", decisions, f"{name}: ")
 
 
 def audit_model_manifests(manifests: DataFrame, digest: Column | str, allowed_tables: Sequence[str], policy_hash: str | None = None) -> DataFrame:

@@ -48,7 +48,7 @@ def oof_audit(spark, sf_dir):
     return AU.audit_oof(_people_manifest(spark, sf_dir), _faulty(spark, sf_dir), MODEL_IDS)
 
 
-@query("G1", "SELECT true AS ok, 'oof-integrity' AS code, 'OOF rows match train manifest exactly' AS detail FROM (SELECT count(*) FROM customer)")
+@query("G1", f"WITH {SCORES_SQL} SELECT true AS ok, 'oof-integrity' AS code, format('rows={{}} users={{}} models={{}}', count(*), count(DISTINCT user_id), count(DISTINCT model_id)) AS detail FROM scores WHERE split = 'train'")
 def oof_audit_clean(spark, sf_dir):
     clean = scores(spark, sf_dir).where("split = 'train'")
     return AU.audit_oof(_people_manifest(spark, sf_dir), clean, MODEL_IDS)

@@ -147,7 +147,7 @@ def nested_stack(spark, sf_dir):
     return _shown(out, "user_id", "label", "fold", "model_id")
 
 
-@query("M10 G1", f"WITH {SCORES_SQL} SELECT true AS ok, 'oof-integrity' AS code, 'OOF rows match train manifest exactly' AS detail FROM (SELECT count(*) FROM scores)")
+@query("M10 G1", f"WITH {SCORES_SQL} SELECT true AS ok, 'oof-integrity' AS code, format('rows={{}} users={{}} models={{}}', count(*), count(DISTINCT user_id), count(DISTINCT model_id)) AS detail FROM scores WHERE split = 'train' AND model_id = 'm1_linear'")
 def oof_stack_audit(spark, sf_dir):
     """Out-of-fold scores of a fitted stack pass the leakage audit: every train user once, in its own fold."""
     s = materialize(scores(spark, sf_dir))
