@@ -32,10 +32,13 @@ HEADLINE = (
     "fold_robustness",
     "probability_quality",
     "select_exhaustive",
+    "select_fixed_set",
     "select_ternary",
     "nested_selection",
     "override_comparison",
     "bootstrap_intervals",
+    "error_patterns",
+    "oof_logreg",
 )
 
 
