@@ -34,6 +34,7 @@ ROWS = 8
 BANDS = 48
 SKETCH_BITS = 18
 STRENGTH = 0.2
+FIRST_BANDS = 8
 CHUNK = 64
 BLOCK = 1024
 SLICE = 1 << 18
@@ -335,6 +336,18 @@ def _rest(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFr
     return needed.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(_block_links(idf, threshold), "a binary, b binary")
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends are not in one class yet."""
+    left, right = (labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")) for side in "ab")
+    known = pairs.join(left, "a", "left").join(right, "b", "left")
+    return known.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+
+
+def _heads(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The known classes as stars around their label, and the edges that join two of them."""
+    return labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(_apart(edges, labels))
+
+
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Near-duplicate class of every row: ``doc_id``, ``class_id`` (smallest id of the class), ``class_rows``.
 
@@ -356,14 +369,18 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     ranked = keyed.withColumn("rank", F.struct(F.xxhash64("bucket", "node").alias("h"), "node"))
     leaders = stored(ranked.groupBy("bucket").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("first.node").alias("leader")), "leaders")
     buckets = stored(keyed.join(leaders, "bucket"), "buckets")
-    stars = buckets.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    stars = buckets.where("leader <> node").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.min("band").alias("band"))
     stars = stored(stars, "stars")
     wanted = buckets.select("node").distinct().join(nodes.select("node", "rep"), "node")
     texts = stored(wanted.join(rows, wanted["rep"] == rows["doc_id"]).select("node", "text"), "texts")
-    edges = stored(verified(stars, texts, idf, threshold).select("a", "b"), "links")
+    # The first bands link most of a class; of the others only the pairs that could still join two classes remain.
+    edges = stored(verified(stars.where(F.col("band") < FIRST_BANDS).select("a", "b"), texts, idf, threshold), "links")
     labels = components(edges)
+    late = _apart(stars.where(F.col("band") >= FIRST_BANDS).select("a", "b"), labels)
+    edges = edges.unionByName(stored(verified(late, texts, idf, threshold), "links"))
+    labels = components(_heads(edges, labels))
     more = stored(_rest(buckets.select("bucket", "band", "node"), nodes, texts, labels, idf, threshold), "links")
-    labels = components(stored(edges.unionByName(more), "links"))
+    labels = components(_heads(edges.unionByName(more), labels))
     named = signed.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stored(named.select("doc_id", "label"), "members")
     heads = stored(named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows")), "classes")
