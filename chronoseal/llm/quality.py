@@ -21,6 +21,7 @@ from .pretokens import code_points
 
 SAMPLE = 6_000
 BITS = 17
+SLICE = 1 << 18
 THRESHOLD = 0.5
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
@@ -111,7 +112,7 @@ class Texts:
 def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = A.utf8(batch.column(0))
-        for i, j in A.slices(offsets):
+        for i, j in A.slices(offsets, SLICE):
             texts = Texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             keys, values = [], []
             for index, text in texts.features():
@@ -175,7 +176,7 @@ def _judge(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = A.utf8(batch.column(1))
-            for i, j in A.slices(offsets):
+            for i, j in A.slices(offsets, SLICE):
                 texts = Texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 found = texts.measures()
                 w = weights.value
