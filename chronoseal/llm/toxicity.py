@@ -11,9 +11,11 @@ logistic curve over the sum and the rate, fitted on the same sample, gives the s
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -108,7 +110,11 @@ class Matcher:
             (excused if weight is None else found).append((last - size + 1, last, weight))
         if not excused:
             return found
-        return [h for h in found if not any(a <= h[0] and h[1] <= b for a, b, _ in excused)]
+        excused.sort()
+        starts = [e[0] for e in excused]
+        reach = list(accumulate((e[1] for e in excused), max))  # farthest end of the phrases that start so early
+        at = [bisect_right(starts, h[0]) for h in found]
+        return [h for h, k in zip(found, at) if not k or reach[k - 1] < h[1]]
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
