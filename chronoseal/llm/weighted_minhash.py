@@ -104,6 +104,16 @@ def weights(found: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarra
     return counts.astype(np.float32) * idf[(found >> _U(64 - SKETCH_BITS)).astype(np.int64)]
 
 
+def _weighted_shingles(column: pa.ChunkedArray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of whole texts, their weights, shingles per text, text digests; the wide arrays of a slice only are held at once."""
+    data, offsets = A.utf8(column)
+    parts = []
+    for i, j in A.slices(offsets, SLICE):
+        found, counts, per_text, digest = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        parts.append((found, weights(found, counts, idf).astype(np.float64), per_text, digest))
+    return tuple(np.concatenate(of) for of in zip(*parts))
+
+
 def gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
     """Quantiles of the gamma distribution of shape 2, by bisection of its distribution function."""
     p = (np.arange(n) + 0.5) / n
@@ -274,16 +284,16 @@ def _block_links(idf, threshold: float):
     """Links that join different classes of a bucket (or of two blocks of it): a spanning forest of all links."""
 
     def run(table: pa.Table) -> pa.Table:
-        digest = shingles(*A.utf8(table.column("text")))[3]
-        own_text = [d.tobytes() == n for d, n in zip(digest, table.column("node").to_pylist())]
-        if not all(own_text):  # the text of another row with the same id
-            table = table.filter(pa.array(own_text))
+        found, weight, per_text, digest = _weighted_shingles(table.column("text"), idf.value)
+        own_text = np.array([d.tobytes() == n for d, n in zip(digest, table.column("node").to_pylist())], bool)
+        if not own_text.all():  # the text of another row with the same id
+            held = np.repeat(own_text, per_text)
+            table, found, weight, per_text = table.filter(pa.array(own_text)), found[held], weight[held], per_text[own_text]
         if not len(table):
             return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-        found, counts, per_text, _ = shingles(*A.utf8(table.column("text")))
-        weight = weights(found, counts, idf.value).astype(np.float64)
         ends = np.concatenate(([0], np.cumsum(per_text)))
         _, place = np.unique(found, return_inverse=True)
+        del found
         label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
         total = np.add.reduceat(np.append(weight, 0.0), ends[:-1])
         parent = np.arange(int(label.max()) + 1)
