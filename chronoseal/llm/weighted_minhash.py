@@ -2,7 +2,8 @@
 
 A shingle is five consecutive words. Its weight in a text is its count times an inverse document frequency. Each text
 is sampled ``SAMPLES`` times: a sample of two texts is equal with the probability of their weighted Jaccard
-similarity. ``BANDS`` subsets of ``ROWS`` samples are bucket keys. Within a bucket a leader, another for each band, is
+similarity. ``BANDS`` subsets of ``ROWS`` samples are bucket keys; they share samples, so the chance that a pair has no
+common bucket is measured (``tests/llm``), not that of independent bands. Within a bucket a leader, another for each band, is
 verified against all members, which takes as many pairs as members; classes are the components of the verified
 pairs. Buckets that then still hold more than one class are compared in full inside tasks, in blocks of members: first by
 their samples, then, for members with a partner that agrees often enough, by their texts. Only links that join
@@ -29,9 +30,9 @@ from .components import components
 from .decontamination import words
 
 SHINGLE = 5
-SAMPLES = 64
-ROWS = 8
-BANDS = 48
+SAMPLES = 96
+ROWS = 7
+BANDS = 64
 SKETCH_BITS = 18
 STRENGTH = 0.2
 FIRST_BANDS = 8
@@ -125,13 +126,20 @@ def gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
     return (low + high) / 2
 
 
+def band_rows() -> np.ndarray:
+    """Samples of each band. Bands cut from one permutation are disjoint, so a sample that differs spoils few of them."""
+    rng = np.random.default_rng(7)
+    cuts = SAMPLES // ROWS
+    drawn = [rng.permutation(SAMPLES)[: cuts * ROWS].reshape(cuts, ROWS) for _ in range(-(-BANDS // cuts))]
+    return np.sort(np.concatenate(drawn)[:BANDS], axis=1)
+
+
 class Sampler:
     def __init__(self) -> None:
         gamma = gamma_quantiles()
         self.r, self.inverse, self.log_c = gamma.astype(np.float32), (1 / gamma).astype(np.float32), np.log(gamma).astype(np.float32)
         self.odd = A.mix(np.arange(1, SAMPLES + 1, dtype=_U)) | _U(1)
-        rng = np.random.default_rng(7)
-        self.bands = np.stack([np.sort(rng.permutation(SAMPLES)[:ROWS]) for _ in range(BANDS)])
+        self.bands = band_rows()
         self.members = np.zeros((SAMPLES, BANDS), np.float32)
         for b, band in enumerate(self.bands):
             self.members[band, b] = 1

@@ -105,6 +105,15 @@ def test_samples_agree_as_often_as_the_similarity_says():
     assert abs(np.mean(agree) - low / (high + weight[80:].sum() + other[80:].sum())) < 0.03
 
 
+@pytest.mark.parametrize("similarity, most", [(0.8, 2.5e-4), (0.82, 1e-4), (0.85, 2e-5)])
+def test_few_pairs_share_no_band(similarity, most):
+    rng, members, pairs, missed = np.random.default_rng(1), M.Sampler().members, 500_000, 0
+    for _ in range(pairs // 50_000):
+        equal = (rng.random((50_000, M.SAMPLES), dtype=np.float32) < similarity).astype(np.float32)
+        missed += int((equal @ members < M.ROWS - 0.5).all(axis=1).sum())
+    assert missed <= most * pairs
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = M.classes(odd_docs).collect()
     assert len(got) == odd_docs.count()
