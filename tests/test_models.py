@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chronoseal.operators import audits as AU
 from chronoseal.operators import models as MD
+from chronoseal.plans import fits
 
 from .conftest import rows
 
@@ -107,3 +108,32 @@ def test_encoder_resume(spark):
     got = rows(out, "user_id", "tweet_index", F.round(F.col("embedding")[0], 4), F.round(F.col("embedding")[1], 4))
     assert [g[:2] for g in got] == [("b", 0), ("b", 1)]
     assert all(g[2:] == pytest.approx((0.6, 0.8)) for g in got)
+
+
+def test_registered_fits_use_full_settings(spark, monkeypatch):
+    used = {}
+
+    def keep(name):
+        def call(*args, **_):
+            used[name] = args
+            raise StopIteration
+
+        monkeypatch.setattr(MD, name, call)
+
+    for name in ("oof_scores", "fold_model_scores", "fit_full", "nested_stack"):
+        keep(name)
+    data = spark.createDataFrame([(fold, "train") for fold in range(1, 6)], "fold int, split string")
+    monkeypatch.setattr(fits, "user_features", lambda *_: data)
+    tuned = {}
+    for query, name, at in ((fits.oof_boosted, "oof_scores", 1), (fits.oof_mlp, "oof_scores", 1), (fits.fold_model_averages, "fold_model_scores", 2), (fits.full_fit_focal, "fit_full", 1), (fits.nested_stack, "nested_stack", 1)):
+        with pytest.raises(StopIteration):
+            query(spark, "")
+        tuned[query.__name__] = used[name][at]
+    boost, mlp, trees = (MD.estimator(tuned[n], 100, 6) for n in ("oof_boosted", "oof_mlp", "fold_model_averages"))
+    assert (boost.getMaxIter(), boost.getMaxDepth()) == (250, 3)
+    assert (mlp.getMaxIter(), mlp.getLayers()) == (500, [6, 32, 2])
+    assert (trees.getNumTrees(), trees.getMaxDepth(), trees.getMinInstancesPerNode()) == (400, 5, 10)
+    assert tuned["full_fit_focal"].params.get("epochs", 250) == 250
+    bases = tuned["nested_stack"]
+    assert len(bases) > 1 and all(set(b.scalars) == set(fits.SCALARS) and not b.params for b in bases)
+    assert {r.fold for r in used["nested_stack"][0].select("fold").distinct().collect()} == {1, 2, 3, 4, 5}
