@@ -1,7 +1,7 @@
 """URL filter: rules first, then a tree of path templates with smoothed labelled purity.
 
 Urls of a host are cut into path segments. Numbers, hashes and the like become wildcards by their form; where a node
-of the tree has many children that hardly repeat, all of them become one wildcard. Sibling branches whose labels do
+of the tree has many children that hardly repeat, these become one wildcard; children that repeat stay. Sibling branches whose labels do
 not differ significantly from those of the whole family are merged. The purity of a branch is its share of bad pages,
 smoothed towards that of its parent, and so on up to the host and all pages; a template that is too bad is rejected.
 
@@ -21,6 +21,7 @@ from .arrays import stored
 DEPTH = 8
 WIDE = 12
 FRESH = 0.3
+SUPPORT = 20
 SMOOTHING = 20.0
 SIMILAR = 1.96
 LIMIT = 0.5
@@ -59,11 +60,12 @@ def segments(path_: Column) -> Column:
     return F.when(F.size(general) > DEPTH, F.concat(F.slice(general, 1, DEPTH), F.array(F.lit("**")))).otherwise(general)
 
 
-def template_tree(urls: DataFrame, wide: int = WIDE, fresh: float = FRESH) -> DataFrame:
+def template_tree(urls: DataFrame, wide: int = WIDE, fresh: float = FRESH, support: int = SUPPORT) -> DataFrame:
     """Templates of all urls: ``host, segs, template, n, labelled, bad``.
 
-    ``urls`` has ``host``, ``segs`` and ``label`` (1 bad, 0 good, else null). ``template`` replaces the children of a node by ``*``
-    if there are at least ``wide`` of them and they make up the share ``fresh`` or more of its urls.
+    ``urls`` has ``host``, ``segs`` and ``label`` (1 bad, 0 good, else null). ``template`` replaces the children of a node with
+    fewer than ``support`` urls by ``*`` if there are at least ``wide`` of them and they are the share ``fresh`` or more of
+    their urls. Other children stay as they are.
     """
     known = F.col("label").isin(0, 1)
     rows = urls.groupBy("host", "segs").agg(
@@ -75,13 +77,15 @@ def template_tree(urls: DataFrame, wide: int = WIDE, fresh: float = FRESH) -> Da
         child = F.get("segs", F.lit(level))
         deep = rows.where(F.size("segs") > level)
         nodes = deep.groupBy("host", "template", child.alias("child")).agg(F.sum("n").alias("n"))
-        family = nodes.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("n"))
+        nodes = stored(nodes, "nodes")
+        family = nodes.where(F.col("n") < support).groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("n"))
         open_ = family.where((F.col("children") >= wide) & (F.col("children") >= fresh * F.col("n")))
         open_ = stored(open_.select("host", "template", F.lit(True).alias("open")), "wildcards")
-        joined = rows.join(open_, ["host", "template"], "left")
-        step = F.when(F.coalesce("open", F.lit(False)), F.lit("*")).otherwise(child)
+        frequent = nodes.where(F.col("n") >= support).select("host", "template", "child", F.lit(True).alias("frequent"))
+        joined = rows.withColumn("child", child).join(open_, ["host", "template"], "left").join(frequent, ["host", "template", "child"], "left")
+        step = F.when(F.col("open").isNotNull() & F.col("frequent").isNull(), F.lit("*")).otherwise(F.col("child"))
         grown = F.when(F.size("segs") > level, F.concat("template", F.array(step))).otherwise(F.col("template"))
-        rows = stored(joined.withColumn("template", grown).drop("open"), "templates")
+        rows = stored(joined.withColumn("template", grown).drop("child", "open", "frequent"), "templates")
     return rows
 
 

@@ -168,3 +168,12 @@ def test_pipeline_stages(spark):
         assert docs.columns == before.columns and 0 < docs.count() <= before.count()
         assert stage(spark, empty, sf).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+@pytest.mark.parametrize("bad", [500, 900, 3000])
+def test_frequent_branches_are_judged_apart_from_rare_siblings(spark, bad):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(f"http://h.org/{letters[k % 26]}{letters[k // 26]}slug/{k}", 0) for k in range(600)] + [(f"http://h.org/casino/{k}", 1) for k in range(bad)]
+    pages = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "page_id bigint, url string, label int")
+    got = U.judge(pages, ()).groupBy("template", "verdict").count().collect()
+    assert {(r.template, r.verdict, r["count"]) for r in got} == {("*/{n}", "allow", 600), ("casino/{n}", "block", bad)}
