@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import LabelPolicy
@@ -11,7 +14,7 @@ from ..operators import splits as SP
 from ..operators import timeline as TL
 from .base import query
 from .evaluation import BINARY_OUT, CELLS, TERNARY_ORDER_SQL, best_sql, binary_sql, cells_sql, rule_sql, rules_union, sweep_sql, ternary_sql
-from .inputs import FOLDS, PEOPLE_SQL, RULES, SCORES_SQL, TERNARY_SQL, TIMELINE_SQL, people, r6, rounded, scores, ternary, timeline
+from .inputs import FOLDS, MODEL_IDS, PEOPLE_SQL, POLICIES, RULES, SCORES_SQL, TERNARY_SQL, TIMELINE_SQL, people, r6, rounded, scores, ternary, timeline
 from .posts import markers_cte
 
 PAIR = ("m1_linear", "m2_boost")
@@ -198,12 +201,15 @@ def select_ternary(spark, sf_dir):
 
 @query("E6")
 def refine_ternary(spark, sf_dir):
-    """Coarse lock refined in a finer box."""
-    rows = _train_ternary(spark, sf_dir).where("label_policy_id = 'p_half'")
-    aligned = S.align_probabilities(rows, TRIO)
-    coarse = S.select_ternary(aligned, TRIO, RULES, 0.25)
-    best = S.refine_ternary(aligned, TRIO, RULES, coarse, 0.05, 0.15, 4)
-    return rounded(best.select("rule_id", "refined", *M.TERNARY_ORDER, *[f"w_{m}" for m in TRIO]))
+    """Coarse lock of all models per label policy, refined in a finer box."""
+    rows = _train_ternary(spark, sf_dir)
+    parts = []
+    for policy in POLICIES:
+        aligned = S.align_probabilities(rows.where(F.col("label_policy_id") == policy), MODEL_IDS)
+        coarse = S.select_ternary(aligned, MODEL_IDS, RULES, 0.25)
+        best = S.refine_ternary(aligned, MODEL_IDS, RULES, coarse, 0.05, 0.15, len(MODEL_IDS))
+        parts.append(best.select(F.lit(policy).alias("label_policy_id"), "rule_id", "refined", *M.TERNARY_ORDER, *[f"w_{m}" for m in MODEL_IDS]))
+    return rounded(reduce(DataFrame.unionByName, parts))
 
 
 _TERNARY_PRUNED_SQL = f"""WITH {TERNARY_SQL}, tt AS (SELECT * FROM tern WHERE split = 'train' AND label_policy_id = 'p_half'),

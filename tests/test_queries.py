@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 from chronoseal.plans import load_all
+from chronoseal.plans.inputs import MODEL_IDS, POLICIES
 from tools.check import duck, normal
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,9 @@ def test_every_query_names_its_survey_items():
     registry = load_all()
     assert len(registry) > 150
     assert all(q.covers for q in registry.values())
+
+
+def test_refinement_covers_all_policies_and_models(spark):
+    got = load_all()["refine_ternary"].run(spark, SF)
+    assert {f"w_{m}" for m in MODEL_IDS} <= set(got.columns)
+    assert sorted(r.label_policy_id for r in got.collect()) == sorted(POLICIES)
