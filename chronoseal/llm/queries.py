@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.base import table
-from . import bpe, decontamination, fitting, language_mixture, line_dedup, quality, token_files, toxicity, url_templates, warc, weighted_minhash
+from . import (
+    bpe,
+    collocations,
+    decontamination,
+    exact_dedup,
+    fitting,
+    importance_resampling,
+    language_mixture,
+    line_dedup,
+    quality,
+    token_files,
+    toxicity,
+    url_templates,
+    warc,
+    weighted_minhash,
+)
 from .arrays import shared_path
 from .fitting import held_out, training_row
 from .registry import llm_query
@@ -92,3 +107,21 @@ def op10_language_mixture(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     found = language_mixture.predict(docs, language_mixture.learn(docs.where(training_row(F.col("doc_id")))))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages")
+
+
+@llm_query(collocations.SQL)
+def op11_phrase_collocations(spark, sf_dir):
+    """The first 2,000 phrases of each language."""
+    return collocations.collocations(_documents(spark, sf_dir).select("lang", "text"))
+
+
+@llm_query(exact_dedup.SQL)
+def op12_exact_dedup(spark, sf_dir):
+    """Every document with the id that stays of its group of equal texts."""
+    return exact_dedup.mark_copies(_documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"])
+
+
+@llm_query()
+def op13_importance_resampling(spark, sf_dir):
+    """Every document with its weight towards ``benchmark``, and its rank in the draw of a quarter of them."""
+    return importance_resampling.resample(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
