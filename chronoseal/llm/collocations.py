@@ -6,11 +6,12 @@ chunks of a language with their frequencies form a dictionary, and all n-grams a
 frequency, instead of in the texts. An n-gram belongs to the chunk in whose own part (without the words that the next
 chunk repeats) it starts, so the overlaps count once; the repeated words let it end there.
 
-Counts are exact. All parts of a phrase are at least as frequent as the phrase, so the dictionary is read three times: words,
-pairs of frequent words, then longer phrases whose pairs are all frequent. What is frequent reaches the tasks as a Bloom filter
-of at most ``2 ** MOST_BITS`` bits: it never misses a frequent phrase, and a false alarm only adds a row to a count
-that is then found too low. Words and phrases are compared as text, never by hash. Rows are combined in the task
-before each shuffle, so a phrase that makes up a third of a corpus is one row per task.
+Counts are exact. All parts of a phrase are at least as frequent as the phrase, so the dictionary is read three times: words;
+hashes of pairs of frequent words; phrases of two words or more whose pairs all have frequent hashes. What is frequent reaches
+the tasks as a Bloom filter of at most ``2 ** MOST_BITS`` bits: it never misses a frequent phrase, and a false alarm
+only adds a row to a count that is then found too low. Counts that go into the result compare words and phrases as text,
+never by hash. Rows are combined in the task before each shuffle, so a phrase that makes up a third of a corpus is one
+row per task.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from .arrays import stored
 LEAST_COUNT = 100
 LONGEST = 5
 TOP = 2_000
+PARTS = 64
 OVERLAP = LONGEST - 1
 CHUNK_WORDS = 64
 MOST_WORDS = 1 << 10
@@ -175,26 +177,31 @@ def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _count_pairs(words):
+    """Pairs of frequent words by hash: a row takes fewer bytes than the pair as text, and few pairs are frequent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _slices(batches):
             frequent = _passes(words.value, c.phrase_hashes(1))
             at = np.flatnonzero(c.own & c.joined & frequent & np.append(frequent[1:], False))
-            if len(at):
-                yield c.counted(at, (c.lang[at] * c.n_codes + c.code[at]) * c.n_codes + c.code[at + 1], 2)
+            pair, which = np.unique(c.phrase_hashes(2)[at], return_inverse=True)
+            total = np.bincount(which, c.freq[at], minlength=len(pair)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(total)], names=["h", "f"])
 
     return run
 
 
-def _count_longer(pairs, longest: int):
+def _count_phrases(pairs, longest: int):
+    """Phrases of two words or more, as text, whose pairs all pass the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _slices(batches):
             pair = c.joined & _passes(pairs.value, c.phrase_hashes(2))
             at = np.flatnonzero(c.own & pair)
             ids = c.lang[at] * c.n_codes + c.code[at]
-            _, ids = np.unique(ids * c.n_codes + c.code[np.minimum(at + 1, len(c.code) - 1)], return_inverse=True)
-            for n in range(3, longest + 1):
-                more = (at + n - 1 < len(c.code)) & pair[np.minimum(at + n - 2, len(pair) - 1)]
-                at, ids = at[more], ids[more]
+            for n in range(2, longest + 1):
+                if n > 2:
+                    more = (at + n - 1 < len(c.code)) & pair[np.minimum(at + n - 2, len(pair) - 1)]
+                    at, ids = at[more], ids[more]
                 if not len(at):
                     break
                 _, ids = np.unique(ids * c.n_codes + c.code[at + n - 1], return_inverse=True)
@@ -203,27 +210,19 @@ def _count_longer(pairs, longest: int):
     return run
 
 
-def _positions(n_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = _Chunks(batch)
-            words = int(batch.column(4)[0].as_py()) if len(batch) else 1
-            first = np.flatnonzero(np.concatenate(([True], ~c.joined[:-1]))[: len(c.code)])
-            h = c.phrase_hashes(words)[first]
-            mask = _U(n_bits - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((h & mask, (h >> _U(32)) & mask)).astype(np.int64))], names=["bit"])
-
-    return run
+def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_Chunks(batch).phrase_hashes(1).view(np.int64))], names=["h"])
 
 
-def phrase_filter(phrases: DataFrame, words: int, rows: int, most_bits: int = MOST_BITS) -> np.ndarray:
-    """Bloom filter of the phrases (``lang, phrase``) of ``words`` words each, two bits a phrase, 16 bits a phrase if the limit allows.
+def hash_filter(hashes: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
+    """Bloom filter of stored hashes (``h``), two bits a hash, 16 bits of filter a hash if the limit allows.
 
     What reaches the driver is the filter: at most ``2 ** most_bits`` bits (16 MB)."""
-    size = min(1 << most_bits, max(BITMAP, 1 << int(16 * max(1, rows) - 1).bit_length()))
-    shaped = phrases.select("lang", F.lit(words).alias("core"), F.col("phrase").alias("chunk"), F.lit(1).cast("bigint").alias("freq"), F.lit(words).alias("words"))
-    bits = shaped.mapInArrow(_positions(size), "bit bigint").groupBy(F.floor(F.col("bit") / BITMAP).cast("int").alias("part"))
-    got = bits.agg(F.bitmap_construct_agg(F.col("bit") % BITMAP).alias("bitmap")).toArrow()
+    size = min(1 << most_bits, max(BITMAP, 1 << int(16 * max(1, hashes.count()) - 1).bit_length()))
+    mask = F.lit(size - 1).cast("bigint")
+    bits = hashes.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask))).alias("bit"))
+    got = bits.groupBy(F.floor(F.col("bit") / BITMAP).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % BITMAP).alias("bitmap")).toArrow()
     out = np.zeros((size // BITMAP, BITMAP // 8), np.uint8)
     for part, bitmap in zip(got.column("part").to_pylist(), got.column("bitmap").to_pylist()):
         out[part] = np.frombuffer(bitmap, np.uint8)
@@ -235,17 +234,15 @@ def frequent_phrases(chunks: DataFrame, least: int = LEAST_COUNT, longest: int =
     if longest > OVERLAP + 1:
         raise ValueError(f"phrases of more than {OVERLAP + 1} words need a longer overlap")
     context = chunks.sparkSession.sparkContext
-
-    def kept(count, name: str) -> DataFrame:
-        counted = chunks.select("lang", "core", "chunk", "freq").mapInArrow(count, COUNTS)
-        return stored(counted.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), name)
-
-    words = kept(_count_words, "frequent-words")
-    pairs = kept(_count_pairs(context.broadcast(phrase_filter(words, 1, words.count()))), "frequent-pairs")
-    if longest < 3:
-        return words.unionByName(pairs)
-    longer = kept(_count_longer(context.broadcast(phrase_filter(pairs, 2, pairs.count())), longest), "frequent-phrases")
-    return words.unionByName(pairs).unionByName(longer)
+    read = chunks.select("lang", "core", "chunk", "freq")
+    enough = F.col("f") >= least
+    by_text = lambda count: read.mapInArrow(count, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(enough)
+    words = stored(by_text(_count_words), "frequent-words")
+    one = words.select("lang", F.lit(1).alias("core"), F.col("phrase").alias("chunk"), F.lit(1).cast("bigint").alias("freq"))
+    frequent = context.broadcast(hash_filter(stored(one.mapInArrow(_word_hashes, "h bigint"), "word-hashes")))
+    pairs = read.mapInArrow(_count_pairs(frequent), "h bigint, f bigint").groupBy("h").agg(F.sum("f").alias("f")).where(enough)
+    chained = context.broadcast(hash_filter(stored(pairs.select("h"), "pair-hashes")))
+    return words.unionByName(stored(by_text(_count_phrases(chained, longest)), "frequent-phrases"))
 
 
 def _part(phrase: Column, start: Column | int, length: Column) -> Column:
@@ -290,8 +287,11 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGE
     frequent = stored(frequent_phrases(chunks, least, longest), "counts")
     scored = _scored(frequent, stored(totals, "totals")).join(_contained(frequent), ["lang", "phrase"], "left")
     open_phrases = scored.where("outer_f IS NULL OR outer_f < a")
-    order = W.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    ranked = open_phrases.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    # The last window of a language reads at most PARTS * top rows, whatever the number of tasks.
+    parts = open_phrases.withColumn("__part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    best = parts.withColumn("rank", F.row_number().over(W.partitionBy("lang", "__part").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

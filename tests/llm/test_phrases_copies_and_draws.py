@@ -70,7 +70,7 @@ def test_collocations_equal_a_plain_count(spark, monkeypatch, chunk_words, most_
 
 def test_collocations_with_a_full_filter_and_shorter_phrases(spark, monkeypatch):
     # A filter with every bit set passes everything on to the exact count.
-    monkeypatch.setattr(collocations, "phrase_filter", lambda *_: np.full(8, 255, np.uint8))
+    monkeypatch.setattr(collocations, "hash_filter", lambda *_: np.full(8, 255, np.uint8))
     docs, data = story_docs(spark)
     assert rows(collocations.collocations(docs, least=20, longest=3, top=40)) == plain_collocations(data, 20, 3, 40)
     assert rows(collocations.collocations(docs, least=20, longest=2, top=40)) == plain_collocations(data, 20, 2, 40)
