@@ -10,6 +10,7 @@ The lexicon only saves work: any lexicon gives the same ids. The driver holds at
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +28,7 @@ from .pretokens import split
 
 LEXICON_WORDS = 100_000
 COUNT_BYTES = 1 << 24
+LONG_WORD = 512
 _NONE = np.int64(1) << 62
 
 
@@ -50,6 +52,7 @@ class Merges:
         left = np.array([vocab[a] for a, _ in pairs], np.uint64)
         right = np.array([vocab[b] for _, b in pairs], np.uint64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.pairs: dict[int, int] = {}
         self.ranks = HashMap(17)
         self.ranks.add((left << np.uint64(32)) | right, np.arange(len(pairs)))
         texts = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
@@ -65,8 +68,56 @@ class Merges:
         got = self.ranks.get((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64))
         return np.where(got >= 0, got, _NONE)
 
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of one long word: neighbours in a linked list, pairs in a heap by rank and position, n log n in its length."""
+        if not self.pairs:
+            held = self.ranks.keys != EMPTY
+            self.pairs.update(zip(self.ranks.keys[held].tolist(), self.ranks.values[held].tolist()))
+        n, rank_of, merged = len(symbols), self.pairs.get, self.merged.tolist()
+        first = self._rank(symbols[:-1], symbols[1:])
+        at = np.flatnonzero(first < _NONE)
+        heap = ((first[at] << np.int64(32)) | at).tolist()
+        heapq.heapify(heap)
+        ids, rank = symbols.tolist(), np.append(np.where(first < _NONE, first, -1), -1).tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            key = heapq.heappop(heap)
+            r, i = key >> 32, key & 0xFFFFFFFF
+            if rank[i] != r:
+                continue  # a neighbour was merged since
+            gone = after[i]
+            ids[i], ids[gone], rank[gone] = merged[r], -1, -1
+            right = after[i] = after[gone]
+            rank[i] = -1
+            if right < n:
+                before[right] = i
+                found = rank_of(ids[i] << 32 | ids[right], -1)
+                if found >= 0:
+                    rank[i] = found
+                    heapq.heappush(heap, found << 32 | i)
+            left = before[i]
+            if left >= 0:
+                rank[left] = found = rank_of(ids[left] << 32 | ids[i], -1)
+                if found >= 0:
+                    heapq.heappush(heap, found << 32 | left)
+        out = np.array(ids, np.int64)
+        return out[out >= 0]
+
     def merge(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and id counts of words: the pair of lowest rank, leftmost, is merged until no pair is left."""
+        long = np.flatnonzero(sizes > LONG_WORD)
+        if not len(long):
+            return self._merge_short(data, starts, sizes)
+        short = np.flatnonzero(sizes <= LONG_WORD)
+        ids, counts = self._merge_short(data, starts[short], sizes[short])
+        alone = [self.merge_long(self.first[data[starts[i] : starts[i] + sizes[i]]]) for i in long]
+        every, n = np.concatenate((ids, *alone)), np.concatenate((counts, [len(a) for a in alone])).astype(np.int64)
+        order = np.argsort(np.concatenate((short, long)))
+        begin = np.cumsum(n) - n
+        return every[A.ragged(begin[order], n[order])], n[order]
+
+    def _merge_short(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Many words at once, one merge a word and round."""
         words = len(starts)
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
