@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .arrays import stored
+from .leavers import row_key, without
 
 SEGMENT_WORDS = 1 << 18
 BLOCK_PHRASES = 200_000
@@ -335,9 +336,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """Rows of ``docs`` without a window of any item. A row whose id is null stays: nothing can name it."""
-    dirty = contamination(docs, items, window).where("contaminated").select(F.col("doc_id").alias("__dirty")).distinct()
-    return docs.join(dirty, docs["doc_id"] == F.col("__dirty"), "left_anti")
+    """Rows of ``docs`` without a window of any item, each judged by its own text, whatever its id."""
+    key = row_key(F.col("doc_id"), F.col("text"))
+    dirty = contamination(docs.select(key.alias("doc_id"), "text"), items, window).where("contaminated")
+    return without(docs, key, stored(dirty.select("doc_id").distinct(), "dirty"))
 
 
 #: DuckDB SQL: ``{name}`` has one row per document of ``{docs}``.

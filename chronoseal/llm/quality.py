@@ -126,7 +126,8 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.bincount(key >> (BITS + 2), minlength=j - i)
             index = pa.array(key & ((1 << (BITS + 2)) - 1), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1).slice(i, j - i), A.list_array(index, sizes), A.list_array(pa.array(value, pa.float32()), sizes)], names=["label", "index", "value"]
+                [batch.column(1).slice(i, j - i), A.list_array(index, sizes), A.list_array(pa.array(value, pa.float32()), sizes), *(batch.column(k).slice(i, j - i) for k in (2, 3))],
+                names=["label", "index", "value", "h", "doc"],
             )
 
 
@@ -135,6 +136,10 @@ SCALE = 50.0  # shares are small numbers; so scaled, a step of the fit moves all
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = list(batches)
+    if held:  # the fit must not depend on the order in which rows arrive
+        table = pa.Table.from_batches(held).combine_chunks()
+        order = np.lexsort((table.column(4).to_numpy(), table.column(3).to_numpy()))
+        held = table.take(pa.array(order)).combine_chunks().to_batches()
     label = np.concatenate([b.column(0).to_numpy() for b in held]) if held else np.zeros(0, int)
     if len(np.unique(label)) < 2:
         return
@@ -163,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> np.ndarray
     ``labels`` has ``doc_id`` and ``quality`` (1 good, 0 bad). None if either class is missing.
     """
     picked = bounded_sample(one_label(labels, "quality"), most)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("text", "label")
-    prepared = rows.mapInArrow(_train_rows, "label int, index array<int>, value array<float>")
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("text", "label", F.xxhash64("doc_id", "text").alias("h"), F.col("doc_id").cast("bigint").alias("doc"))
+    prepared = rows.mapInArrow(_train_rows, "label int, index array<int>, value array<float>, h bigint, doc bigint")
     got = prepared.repartition(1).mapInArrow(_fit, "weights array<float>").toArrow()
     return got.column("weights").combine_chunks().values.to_numpy() if got.num_rows else None
 
@@ -201,7 +206,23 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
 
+def _filter(weights, text_at: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = A.utf8(batch.column(text_at))
+            w = weights.value
+            for i, j in A.slices(offsets, SLICE):
+                texts = Texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                found = texts.measures()
+                kept = (found["n_words"] >= 50) & (100 * found["n_repeat_words"] <= 50 * found["n_words"])
+                if w is not None:
+                    kept &= sigmoid(texts.scores(w[:-1], float(w[-1]))) >= threshold
+                yield batch.slice(i, j - i).filter(pa.array(kept))
+
+    return run
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = SAMPLE) -> DataFrame:
-    """Rows of ``docs`` that :func:`judge` keeps. A row with a null id is kept if any such row is."""
-    kept = judge(docs, labels, threshold, most).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    """Rows of ``docs`` that :func:`judge` keeps, each by its own text, whatever its id; nothing is shuffled."""
+    weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))  # of fixed size
+    return docs.mapInArrow(_filter(weights, docs.columns.index("text"), threshold), docs.schema)

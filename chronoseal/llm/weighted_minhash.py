@@ -28,6 +28,7 @@ from . import arrays as A
 from .arrays import stored
 from .components import components
 from .decontamination import words
+from .leavers import row_key, without
 
 SHINGLE = 5
 SAMPLES = 96
@@ -407,6 +408,22 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the rows of a class other than those of its smallest id. Rows with a null id stay."""
-    gone = classes(docs, threshold).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """``docs`` with exactly one row of each class of :func:`classes`: one with the smallest id of the class.
+
+    Rows are told apart by id and text, so rows that share an id but not a text are judged apart. A null id counts as larger than any
+    other. Of rows that share id and text one stays, whichever it is. Rows with a null text stay.
+    """
+    key = row_key(F.col("doc_id"), F.col("text"))
+    present = docs.where(F.col("text").isNotNull())
+    rows = present.select(F.col("doc_id").cast("bigint").alias("id"), key.alias("doc_id"), "text")
+    members = classes(rows.select("doc_id", "text"), threshold).select("doc_id", "class_id").distinct()
+    ids = rows.groupBy("doc_id").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    named = stored(members.join(ids, "doc_id"), "near-members")
+    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("first"))
+    losers = stored(named.join(first, "class_id").where("doc_id <> first.doc_id").select("doc_id"), "near-losers")
+    repeated = stored(named.where("n > 1").select("doc_id"), "near-repeated")
+    left = docs.where(F.col("text").isNull()).unionByName(without(present, key, losers))
+    if repeated.isEmpty():
+        return left
+    again = left.join(repeated.select(F.col("doc_id").alias("__again")), key == F.col("__again"), "left_semi").where(F.col("text").isNotNull())
+    return without(left, key, repeated).unionByName(again.withColumn("__key", key).dropDuplicates(["__key"]).select(*docs.columns))
