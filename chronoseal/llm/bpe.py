@@ -373,7 +373,7 @@ def _count_words(config):
 
 def frequent_words(docs: DataFrame, config, most: int = LEXICON_WORDS) -> list[bytes]:
     """The words of all texts whose count is at least the least count that ``most`` words or fewer reach."""
-    counted = docs.select("text").mapInArrow(_count_words(config), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(A.released(_count_words(config)), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counted = stored(counted, "words")
     # One row for each count below a bound; the few words above it are one class.
     bound = F.least("n", F.lit(100_000))
@@ -421,7 +421,7 @@ def _encode_texts(codec: Codec):
 def with_ids(docs: DataFrame, codec: Codec) -> DataFrame:
     """``docs`` with ``ids``, the token ids of ``text`` (null: none); an ``ids`` column is replaced."""
     rest = docs.drop("ids")
-    return rest.mapInArrow(_encode_texts(codec), A.schema_with(rest, ids=A.IDS))
+    return rest.mapInArrow(A.released(_encode_texts(codec)), A.schema_with(rest, ids=A.IDS))
 
 
 def _decode_texts(codec: Codec):
@@ -442,7 +442,7 @@ def with_decoded(encoded: DataFrame, codec: Codec) -> DataFrame:
     """``encoded`` with ``decoded``, the text of its ``ids``; bytes that are no UTF-8 become U+FFFD."""
     rest = encoded.drop("decoded")
     filled = rest.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
-    return filled.mapInArrow(_decode_texts(codec), A.schema_with(filled, decoded=A.STRING))
+    return filled.mapInArrow(A.released(_decode_texts(codec)), A.schema_with(filled, decoded=A.STRING))
 
 
 def _digests(codec: Codec):
@@ -481,4 +481,4 @@ def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
     decoded text. Null is an empty text; repeated rows give repeated rows; an empty table gives none.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    return rows.mapInArrow(_digests(codec), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(A.released(_digests(codec)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

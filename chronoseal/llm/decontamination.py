@@ -26,6 +26,7 @@ from .leavers import row_key, without
 
 SEGMENT_WORDS = 1 << 18
 BLOCK_PHRASES = 200_000
+SLICE = 1 << 18
 
 INDEX = (
     "segment bigint, doc_ids array<bigint>, doc_starts array<int>, doc_words array<int>, "
@@ -79,7 +80,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if base is None and len(batch):
             base = batch.column(0)[0].as_py()
         data, offsets = A.utf8(texts)
-        for i, j in A.slices(offsets):
+        for i, j in A.slices(offsets, SLICE):
             found, n = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             ids.append(batch.column(1).slice(i, j - i))
             terms.append(found)
@@ -99,7 +100,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """
     # Unique per partition and row, hence a unique base for the segments of a task.
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), "text")
-    return stored(rows.mapInArrow(_build, INDEX), "index")
+    return stored(rows.mapInArrow(A.released(_build), INDEX), "index")
 
 
 def index_documents(index: DataFrame) -> DataFrame:
@@ -112,7 +113,7 @@ def _phrases(window: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = A.utf8(batch.column(1))
-            for i, j in A.slices(offsets):
+            for i, j in A.slices(offsets, SLICE):
                 found, n = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 length = np.minimum(n, window)
                 per_item = np.where(n > 0, n - length + 1, 0)
@@ -128,7 +129,7 @@ def _phrases(window: int):
 
 def phrases(items: DataFrame, window: int) -> DataFrame:
     """All runs of ``window`` words of each item (``item_id``, ``text``); a shorter item, not empty, is one run."""
-    cut = items.select(F.col("item_id").cast("bigint"), "text").mapInArrow(_phrases(window), "item_id bigint, terms array<bigint>")
+    cut = items.select(F.col("item_id").cast("bigint"), "text").mapInArrow(A.released(_phrases(window)), "item_id bigint, terms array<bigint>")
     return cut.distinct()
 
 
@@ -289,7 +290,7 @@ def _matches(index: DataFrame, wanted: DataFrame, slop: int | None, most: int) -
     for block in _blocks(stored(wanted, "phrases"), most):
         if not block:
             continue
-        part = index.mapInArrow(_search(spark.sparkContext.broadcast(block), slop), MATCHES)
+        part = index.mapInArrow(A.released(_search(spark.sparkContext.broadcast(block), slop)), MATCHES)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], MATCHES) if found is None else found
 

@@ -169,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> np.ndarray
     """
     picked = bounded_sample(one_label(labels, "quality"), most)
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("text", "label", F.xxhash64("doc_id", "text").alias("h"), F.col("doc_id").cast("bigint").alias("doc"))
-    prepared = rows.mapInArrow(_train_rows, "label int, index array<int>, value array<float>, h bigint, doc bigint")
-    got = prepared.repartition(1).mapInArrow(_fit, "weights array<float>").toArrow()
+    prepared = rows.mapInArrow(A.released(_train_rows), "label int, index array<int>, value array<float>, h bigint, doc bigint")
+    got = prepared.repartition(1).mapInArrow(A.released(_fit), "weights array<float>").toArrow()
     return got.column("weights").combine_chunks().values.to_numpy() if got.num_rows else None
 
 
@@ -201,7 +201,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
     weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))  # of fixed size
-    measured = rows.mapInArrow(_judge(weights), f"doc_id bigint, {', '.join(f'{m} bigint' for m in MEASURES)}, score double")
+    measured = rows.mapInArrow(A.released(_judge(weights)), f"doc_id bigint, {', '.join(f'{m} bigint' for m in MEASURES)}, score double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
@@ -225,4 +225,4 @@ def _filter(weights, text_at: int, threshold: float):
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = SAMPLE) -> DataFrame:
     """Rows of ``docs`` that :func:`judge` keeps, each by its own text, whatever its id; nothing is shuffled."""
     weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))  # of fixed size
-    return docs.mapInArrow(_filter(weights, docs.columns.index("text"), threshold), docs.schema)
+    return docs.mapInArrow(A.released(_filter(weights, docs.columns.index("text"), threshold)), docs.schema)

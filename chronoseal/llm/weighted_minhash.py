@@ -93,7 +93,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def idf_table(docs: DataFrame) -> np.ndarray:
     """Weight of each sketch bucket, from all texts; at most ``2 ** SKETCH_BITS + 1`` rows reach the driver."""
-    counted = docs.select("text").mapInArrow(_sketch, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = docs.select("text").mapInArrow(A.released(_sketch), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = counted.column("bucket").to_numpy(), counted.column("n").to_numpy()
     texts = max(2, int(n[bucket < 0].sum()))
     counts = np.zeros(1 << SKETCH_BITS)
@@ -252,7 +252,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     )
     # Leaders come first in their chunk, as nulls sort first.
     rows = leaders.unionByName(partners).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "b").select("a", "b", "text")
-    return rows.mapInArrow(_links(idf, threshold), "a binary, b binary")
+    return rows.mapInArrow(A.released(_links(idf, threshold)), "a binary, b binary")
 
 
 def _sides(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -380,10 +380,10 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     present = rows.where(F.col("text").isNotNull())
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(idf_table(present))  # fixed size
-    signed = stored(present.mapInArrow(_signatures(idf), "doc_id bigint, node binary, samples array<int>"), "signatures")
+    signed = stored(present.mapInArrow(A.released(_signatures(idf)), "doc_id bigint, node binary, samples array<int>"), "signatures")
     nodes = stored(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("samples").alias("samples")), "nodes")
     sampled = nodes.where((F.size("samples") > 0) & F.col("rep").isNotNull())
-    keyed = sampled.select("node", "samples").mapInArrow(_band_rows, "bucket bigint, band int, node binary")
+    keyed = sampled.select("node", "samples").mapInArrow(A.released(_band_rows), "bucket bigint, band int, node binary")
     # Another leader in each bucket of a class: what one leader misses, the next one links.
     ranked = keyed.withColumn("rank", F.struct(F.xxhash64("bucket", "node").alias("h"), "node"))
     leaders = stored(ranked.groupBy("bucket").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("first.node").alias("leader")), "leaders")
