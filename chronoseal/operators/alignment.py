@@ -55,20 +55,32 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str] = ("user_id",), code: str
 
 
 def align_to_manifest(manifest: DataFrame, features: DataFrame, key: str = "user_id", fill_dim: int | None = None, embedding: str = "embedding") -> DataFrame:
-    """Manifest rows with their features.
+    """Manifest rows with their features, one row per user of the manifest.
 
-    Missing users drop out (report them with :func:`missing_keys`) unless
-    ``fill_dim`` asks for a zero vector in their place.
+    A user without features fails the job (:func:`missing_keys` lists all of them first), unless ``fill_dim`` asks for a
+    zero vector in place of the missing one.
     """
     if fill_dim is None:
-        return manifest.join(features, key)
+        return _matched(manifest, features, key, "features")
     joined = manifest.join(features, key, "left")
     return joined.withColumn(embedding, V.impute_zero(embedding, fill_dim))
 
 
 def assemble_blocks(manifest: DataFrame, blocks: Sequence[DataFrame], key: str = "user_id") -> DataFrame:
-    """Only the requested feature tables, joined per user. All share one partitioning by the key."""
-    return reduce(lambda left, block: left.join(block, key), blocks, manifest)
+    """Only the requested feature tables, joined per user. All share one partitioning by the key.
+
+    A user of the manifest that a block lacks fails the job: leaving it out would change every later count.
+    """
+    return reduce(lambda left, block: _matched(left, block[1], key, f"block {block[0]}"), enumerate(blocks, 1), manifest)
+
+
+def _matched(left: DataFrame, right: DataFrame, key: str, what: str) -> DataFrame:
+    """Left join whose rows all find a partner, or the job fails and names a user without one."""
+    joined = left.join(right.withColumn("__found", F.lit(True)), key, "left")
+    message = F.concat(F.lit(f"missing-user: {what} lacks "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+    # The checked column is the key itself, which no reader of the rows can leave out unnoticed.
+    checked = F.when(F.col("__found"), F.col(key)).otherwise(F.raise_error(message).cast(left.schema[key].dataType))
+    return joined.withColumn(key, checked).drop("__found")
 
 
 def disjoint_check(left: DataFrame, right: DataFrame, key: str = "user_id", name: str = "train-test-user-disjoint") -> DataFrame:

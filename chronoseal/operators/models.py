@@ -26,6 +26,7 @@ from ..functions import numeric as N
 from ..functions import vectors as V
 from ..functions.labels import NEGATIVE, NO_EVIDENCE, POSITIVE, TERNARY
 from ..functions.text import blank_to_space
+from . import fold_fits
 from .metrics import fold_average
 from .selection import align_scores
 
@@ -367,39 +368,34 @@ def nested_stack(train: DataFrame, bases: Sequence[Candidate], meta: Candidate,
     Returns the out-of-fold scores and provenance rows
     ``outer_fold, inner_validation_fold, base_model_id, fit_folds``.
     """
-    counts = fold_counts(train, label)
-    folds = sorted(counts)
-    names = tuple(f"b_{b.model_id}" for b in bases)
-    records, parts = [], []
-    for outer in folds:
-        inner_folds = [f for f in folds if f != outer]
-        validation = train.where(F.col("fold") == outer)
-        meta_rows, outer_rows = [], validation
-        averages: dict[str, Column] = {}
-        fitted: dict[tuple[str, int], Fitted] = {}
-        for base in bases:
-            for inner in inner_folds:
-                seeded = Candidate(**{**base.__dict__, "seed": base.seed + outer * 100 + inner})
-                fit_rows = train.where((F.col("fold") != outer) & (F.col("fold") != inner))
-                fitted[base.model_id, inner] = fit_binary(fit_rows, seeded, _total(counts, [outer, inner]), label)
-                records.append((outer, inner, base.model_id, [f for f in inner_folds if f != inner]))
-        for inner in inner_folds:
-            rows = train.where(F.col("fold") == inner)
-            for base, name in zip(bases, names):
-                rows = fitted[base.model_id, inner].score(rows, name)
-            meta_rows.append(rows.select(key, label, "fold", *names))
-        for base, name in zip(bases, names):
-            for inner in inner_folds:
-                outer_rows = fitted[base.model_id, inner].score(outer_rows, f"{name}_{inner}")
-            total = reduce(lambda a, b: a + b, [F.col(f"{name}_{inner}") for inner in inner_folds])
-            averages[name] = total / F.lit(float(len(inner_folds)))
-        seeded_meta = Candidate(**{**meta.__dict__, "seed": meta.seed + outer, "scalars": names, "vectors": ()})
-        model = fit_binary(reduce(DataFrame.unionByName, meta_rows), seeded_meta, _total(counts, [outer]), label)
-        scored = model.score(outer_rows.select(key, label, "fold", *[c.alias(n) for n, c in averages.items()]))
-        parts.append(scored.select(key, F.col(label).alias("label"), "fold", "score", F.lit(meta.model_id).alias("model_id")))
+    # The operands of all bases side by side, each once.
+    scalars = list(dict.fromkeys(c for base in bases for c in base.scalars))
+    vectors = list(dict.fromkeys(v for base in bases for v in base.vectors))
+    dims = train.select(*[F.size(v).alias(v) for v in vectors]).first().asDict() if vectors else {}
+    starts, at = {}, len(scalars)
+    for v in vectors:
+        starts[v], at = at, at + dims[v]
+    flat = train.select(key, label, "fold", *scalars, *[F.col(v)[i].alias(f"__{v}_{i}") for v in vectors for i in range(dims[v])])
+    names = [*scalars, *[f"__{v}_{i}" for v in vectors for i in range(dims[v])]]
+    packed = [
+        fold_fits.Base(
+            b.model_id,
+            b.family,
+            tuple(scalars.index(c) for c in b.scalars),
+            tuple((tuple(range(starts[v], starts[v] + dims[v])), b.pca) for v in b.vectors),
+            dict(b.params),
+            b.seed,
+        )
+        for b in bases
+    ]
+    if any(b.vectors and b.family not in ("logreg", "mlp") for b in bases):
+        raise ValueError("tree models take number columns only")
+    scores, records = fold_fits.nested_scores(train.sparkSession, fold_fits.pack(flat, POSITIVE, names, key, label), packed, float(meta.params.get("c", 1.0)))
     spark = train.sparkSession
     provenance = spark.createDataFrame(records, "outer_fold INT, inner_validation_fold INT, base_model_id STRING, fit_folds ARRAY<INT>")
-    return reduce(DataFrame.unionByName, parts), provenance
+    shown = F.when(F.col("y") == 1, F.lit(POSITIVE)).otherwise(F.lit(NEGATIVE))
+    key_type = train.schema[key].dataType
+    return scores.select(F.col("key").cast(key_type).alias(key), shown.alias("label"), "fold", N.clean_score("score").alias("score"), F.lit(meta.model_id).alias("model_id")), provenance
 
 
 # --- ternary -------------------------------------------------------------------------

@@ -168,15 +168,29 @@ def set_checks(spark, sf_dir):
 @query(
     "S19 S10",
     f"""WITH {TIMELINE_SQL}, {markers_cte('tl')}, {PEOPLE_SQL}, l AS (SELECT user_id, max(tweet_index) AS last_index FROM tl GROUP BY user_id)
-    SELECT user_id, label, fold, {r6('evidence_score', 'evidence_score')}, last_index FROM people JOIN markers USING (user_id) JOIN l USING (user_id) WHERE split = 'train'""",
+    SELECT user_id, label, fold, {r6('coalesce(evidence_score, 0e0)', 'evidence_score')}, coalesce(last_index, -1) AS last_index
+    FROM people LEFT JOIN markers USING (user_id) LEFT JOIN l USING (user_id) WHERE split = 'train'""",
 )
 def assembled_blocks(spark, sf_dir):
-    """Train rows with two feature blocks, joined on one partitioning."""
+    """All train rows with two feature blocks; a user without posts has score 0 and index -1 in its blocks, and none may be missing."""
     train, _ = _train_test(spark, sf_dir)
     posts = timeline(spark, sf_dir)
+    users = train.select("user_id")
     last = posts.groupBy("user_id").agg(F.max("tweet_index").cast("bigint").alias("last_index"))
     markers = TL.evidence_markers(posts).select("user_id", "evidence_score")
-    return rounded(A.assemble_blocks(train.select("user_id", "label", "fold"), [markers, last]))
+    blocks = [users.join(block, "user_id", "left").fillna(default) for block, default in ((markers, 0.0), (last, -1))]
+    return rounded(A.assemble_blocks(train.select("user_id", "label", "fold"), blocks))
+
+
+@query(
+    "S10 J2 J7",
+    f"""WITH {TIMELINE_SQL}, {PEOPLE_SQL} SELECT false AS ok, 'user-without-posts' AS code, CAST(user_id AS VARCHAR) AS detail
+    FROM people WHERE split = 'train' AND user_id NOT IN (SELECT user_id FROM tl)""",
+)
+def users_without_posts(spark, sf_dir):
+    """Train users that an alignment with features taken from posts would refuse."""
+    train, _ = _train_test(spark, sf_dir)
+    return A.missing_keys(train, timeline(spark, sf_dir).select("user_id").distinct(), code="user-without-posts")
 
 
 @query(

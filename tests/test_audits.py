@@ -177,3 +177,15 @@ def test_users_that_fail_the_match_have_no_posts(spark):
 def test_deep_timelines_have_one_digest(spark):
     posts = spark.createDataFrame([("u", 0), ("u", 70)], "user_id string, tweet_index bigint")
     assert SP.timeline_digests(posts, fan=8, levels=2).count() == 1
+
+
+def test_a_missing_user_fails_alignment_and_assembly(spark):
+    manifest = spark.createDataFrame([("a", 1), ("b", 2)], "user_id string, fold int")
+    full = spark.createDataFrame([("b", 2.0), ("a", 1.0), ("c", 3.0)], "user_id string, x double")
+    part = full.where("user_id <> 'b'").withColumnRenamed("x", "y")
+    assert rows(A.align_to_manifest(manifest, full)) == [("a", 1, 1.0), ("b", 2, 2.0)]
+    assert rows(A.assemble_blocks(manifest, [full, full.withColumnRenamed("x", "y")])) == [("a", 1, 1.0, 1.0), ("b", 2, 2.0, 2.0)]
+    for broken in (A.align_to_manifest(manifest, part), A.assemble_blocks(manifest, [full, part])):
+        with pytest.raises(Exception, match="missing-user.*lacks b"):
+            broken.collect()
+    assert A.align_to_manifest(manifest.limit(0), part).count() == 0
