@@ -419,7 +419,8 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     members = classes(rows.select("doc_id", "text"), threshold).select("doc_id", "class_id").distinct()
     ids = rows.groupBy("doc_id").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     named = stored(members.join(ids, "doc_id"), "near-members")
-    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("first"))
+    # Stored, so that the join has plain exchanges on both sides and adaptive execution can split a hot class.
+    first = stored(named.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("first")), "near-first")
     losers = stored(named.join(first, "class_id").where("doc_id <> first.doc_id").select("doc_id"), "near-losers")
     repeated = stored(named.where("n > 1").select("doc_id"), "near-repeated")
     left = docs.where(F.col("text").isNull()).unionByName(without(present, key, losers))
