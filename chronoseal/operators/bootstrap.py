@@ -118,3 +118,49 @@ def paired_delta(
     ends = drawn.agg(F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("e"))
     point = cells.select((b - a).alias("delta"))
     return point.select("delta", ends.select(F.col("e")[0]).scalar().alias("low"), ends.select(F.col("e")[1]).scalar().alias("high"))
+
+
+TARGETS = ("first", "second")
+
+
+def _joint_metrics() -> dict[str, dict[str, Column]]:
+    """The interval metrics of both targets from the sixteen joint cells."""
+    joint, out = _joint_cells(), {}
+    for target, pick in zip(TARGETS, (lambda a, b, p, q: (a, p), lambda a, b, p, q: (b, q))):
+        sums = {s: sum((F.col(n) for n, *c in joint if pick(*c) == s), F.lit(0)) for s in ((1, 1), (0, 1), (0, 0), (1, 0))}
+        columns = binary_columns(*[sums[s] for s in ((1, 1), (0, 1), (0, 0), (1, 0))])
+        out[target] = {m: columns[m] for m in INTERVAL_METRICS}
+    return out
+
+
+def _report_columns(cells: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``target_metric`` columns of both targets and of their difference (second minus first)."""
+    by = _joint_metrics()
+    named = {f"{t}__{m}": by[t][m] for t in TARGETS for m in INTERVAL_METRICS}
+    both = cells.select(*keep, *[c.alias(n) for n, c in named.items()])
+    return both.select("*", *[(F.col(f"second__{m}") - F.col(f"first__{m}")).alias(f"delta__{m}") for m in INTERVAL_METRICS])
+
+
+def _report_rows(wide: DataFrame, values: dict[str, dict[str, Column]]) -> DataFrame:
+    entries = [F.struct(F.lit(n.split("__")[0]).alias("target"), F.lit(n.split("__")[1]).alias("metric"), *[c.alias(k) for k, c in v.items()]) for n, v in values.items()]
+    return wide.select(F.inline(F.array(*entries)))
+
+
+def paired_points(cells: DataFrame) -> DataFrame:
+    """``target, metric, point`` for both targets and their difference, from the joint cells of :func:`paired_cells`."""
+    wide = _report_columns(cells)
+    return _report_rows(wide, {n: {"point": F.col(n)} for n in wide.columns})
+
+
+def paired_report(cells: DataFrame, samples: int = 2000, seed: int = 42) -> DataFrame:
+    """``target, metric, point, low, high``: every interval and the difference come from the same resamples.
+
+    A resample draws the joint cells of (label a, label b, prediction a, prediction b) within the strata of the joint labels, so
+    the two targets vary together. The work does not depend on the number of users.
+    """
+    joint = _joint_cells()
+    strata = [[n for n, x, y, _, _ in joint if (x, y) == s] for s in ((0, 0), (0, 1), (1, 0), (1, 1))]
+    drawn = _report_columns(resample(cells, strata, samples, seed))
+    ends = drawn.agg(*[F.percentile(n, F.array(F.lit(0.025), F.lit(0.975))).alias(n) for n in drawn.columns])
+    spans = _report_rows(ends, {n: {"low": F.col(n)[0], "high": F.col(n)[1]} for n in ends.columns})
+    return paired_points(cells).join(spans, ["target", "metric"])

@@ -435,6 +435,39 @@ def index_health(posts: DataFrame, key: str = "user_id") -> DataFrame:
     )
 
 
+BITMAP_POSTS = 1 << 15
+
+
+def index_coverage(posts: DataFrame, declared: DataFrame | None = None, key: str = "user_id") -> DataFrame:
+    """Per user: ``posts, covered, gaps, excess, invalid`` of the post index, from bitmaps.
+
+    Each task sets one bit per (user, index) in bitmaps of 32,768 posts, so posts are neither sorted nor kept apart; ``covered``
+    counts bits. ``gaps`` are indexes below ``declared`` (``key``, ``posts``; without it: up to the largest index) that no post has.
+    ``excess`` are posts that repeat an index or lie beyond the declared number. ``invalid`` are null and negative indexes, which
+    count nowhere else. A declared user without posts has only gaps; an undeclared one only excess.
+    """
+    at = F.col("tweet_index").cast("bigint")
+    seen = posts.select(key, F.when(at >= 0, at).alias("__at"))
+    if declared is not None:
+        whole = declared.select(key, F.col("posts").cast("bigint").alias("__declared"))
+    else:
+        whole = seen.groupBy(key).agg(F.coalesce(F.max("__at") + 1, F.lit(0)).alias("__declared"))
+    bits = seen.groupBy(key, F.floor(F.col("__at") / BITMAP_POSTS).alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.col("__at") % BITMAP_POSTS).alias("__bits"), F.count("__at").alias("__n"), F.count_if(F.col("__at").isNull()).alias("__bad")
+    )
+    held = bits.join(whole, key, "full").withColumn("__declared", F.coalesce("__declared", F.lit(0)))
+    # Only the bucket that the declared number cuts must be looked into bit by bit: its bytes before the cut, and a part of one byte.
+    room = F.greatest(F.lit(0), F.least(F.lit(BITMAP_POSTS), F.col("__declared") - F.col("__bucket") * BITMAP_POSTS)).cast("int")
+    whole_bytes, rest = F.floor(room / 8).cast("int"), (room % 8).cast("int")
+    last = F.conv(F.hex(F.substr("__bits", whole_bytes + 1, F.lit(1))), 16, 10).cast("int").bitwiseAND((F.pow(F.lit(2), rest) - 1).cast("int"))
+    cut = F.bitmap_count(F.substr("__bits", F.lit(1), whole_bytes)) + F.coalesce(F.bit_count(last), F.lit(0))
+    inside = F.when(room == BITMAP_POSTS, F.bitmap_count("__bits")).otherwise(F.coalesce(cut, F.lit(0)))
+    per_user = held.groupBy(key, "__declared").agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("posts"), F.coalesce(F.sum(F.when(F.col("__bucket").isNotNull(), inside)), F.lit(0)).alias("covered"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("invalid")
+    )
+    return per_user.select(key, "posts", "covered", (F.col("__declared") - F.col("covered")).alias("gaps"), (F.col("posts") - F.col("covered")).alias("excess"), "invalid")
+
+
 def quality_report(posts: DataFrame, key: str = "user_id", relevance_text: str | None = None) -> DataFrame:
     """One row: users, posts, posts per user, blank posts and, where given, relevance tallies."""
     blank = F.count_if(F.trim(F.coalesce("tweet_text", F.lit(""))) == "")

@@ -181,13 +181,45 @@ def bootstrap_intervals(spark, sf_dir):
 @query("A26 A35")
 def paired_delta(spark, sf_dir):
     """Macro F1 difference of two label columns with its paired interval."""
+    return rounded(B.paired_delta(_paired_rows(spark, sf_dir)))
+
+
+def _paired_rows(spark, sf_dir):
     both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    rows = both.select(
+    return both.select(
         F.col("quality").alias("first"),
         (F.col("n_chars") % 3 > 0).cast("int").alias("first_predicted"),
         F.col("toxic").alias("second"),
         (F.col("n_chars") % 5 == 0).cast("int").alias("second_predicted"),
     )
-    return rounded(B.paired_delta(rows))
+
+
+def _paired_cells(spark, sf_dir):
+    return B.paired_cells(_paired_rows(spark, sf_dir), "first", "first_predicted", "second", "second_predicted")
+
+
+@query("A25 A26 A35")
+def paired_report(spark, sf_dir):
+    """Five metrics of two label columns and of their difference, all intervals from the same resamples."""
+    return rounded(B.paired_report(_paired_cells(spark, sf_dir)))
+
+
+@query(
+    "A35",
+    """WITH j AS (SELECT quality AS a, CAST(n_chars % 3 > 0 AS INT) AS p, toxic AS b, CAST(n_chars % 5 = 0 AS INT) AS q FROM labels JOIN documents USING (doc_id)),
+    c AS (SELECT 'first' AS target, count(*) FILTER (WHERE a = 1 AND p = 1) AS tp, count(*) FILTER (WHERE a = 0 AND p = 1) AS fp,
+      count(*) FILTER (WHERE a = 0 AND p = 0) AS tn, count(*) FILTER (WHERE a = 1 AND p = 0) AS fn FROM j
+      UNION ALL SELECT 'second', count(*) FILTER (WHERE b = 1 AND q = 1), count(*) FILTER (WHERE b = 0 AND q = 1),
+      count(*) FILTER (WHERE b = 0 AND q = 0), count(*) FILTER (WHERE b = 1 AND q = 0) FROM j),
+    m AS (SELECT target, unnest(['precision', 'recall', 'diagnosed_f1', 'macro_f1', 'accuracy']) AS metric,
+      unnest([coalesce(tp / nullif(tp + fp, 0), 0), coalesce(tp / nullif(tp + fn, 0), 0), coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0),
+        (coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2,
+        coalesce((tp + tn) / nullif(tp + fp + tn + fn, 0), 0)]) AS v FROM c)
+    SELECT target, metric, round(v, 6) + 0e0 AS point FROM m
+    UNION ALL SELECT 'delta', metric, round(y.v - x.v, 6) + 0e0 FROM m x JOIN m y USING (metric) WHERE x.target = 'first' AND y.target = 'second'""",
+)
+def paired_report_points(spark, sf_dir):
+    """The point estimates of the paired report."""
+    return rounded(B.paired_points(_paired_cells(spark, sf_dir)))
 
 

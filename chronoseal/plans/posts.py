@@ -361,6 +361,23 @@ def index_health(spark, sf_dir):
     return TL.index_health(talk(spark, sf_dir))
 
 
+@query(
+    "G17 W13",
+    """WITH p AS (SELECT conv_id, turn FROM conversations WHERE (conv_id + turn) % 7 <> 3 UNION ALL SELECT conv_id, turn FROM conversations WHERE conv_id % 5 = 0 AND turn = 1
+        UNION ALL SELECT conv_id, turn + 100000 FROM conversations WHERE conv_id % 11 = 0 AND turn = 0),
+      d AS (SELECT conv_id, max(turn) + 1 AS n FROM conversations GROUP BY conv_id),
+      c AS (SELECT conv_id, count(turn) AS posts, count(DISTINCT turn) FILTER (WHERE turn < n) AS covered FROM d LEFT JOIN p USING (conv_id) GROUP BY conv_id)
+    SELECT conv_id AS user_id, posts, covered, n - covered AS gaps, posts - covered AS excess, 0 AS invalid FROM c JOIN d USING (conv_id)""",
+)
+def index_coverage(spark, sf_dir):
+    """Post indexes against the declared number of posts, with planted gaps, repeats and posts beyond it."""
+    whole = talk(spark, sf_dir).select("user_id", "tweet_index")
+    at = F.col("tweet_index")
+    posts = whole.where((F.col("user_id") + at) % 7 != 3).unionByName(whole.where((F.col("user_id") % 5 == 0) & (at == 1)))
+    posts = posts.unionByName(whole.where((F.col("user_id") % 11 == 0) & (at == 0)).withColumn("tweet_index", at + 100_000))
+    return TL.index_coverage(posts, whole.groupBy("user_id").agg((F.max("tweet_index") + 1).alias("posts")))
+
+
 @query(
     "W14",
     f"WITH {PEOPLE_SQL}, r AS (SELECT user_id, split, row_number() OVER (PARTITION BY split ORDER BY user_id) AS k FROM people) SELECT user_id, split FROM r WHERE k <= 7",

@@ -269,3 +269,16 @@ def test_incomplete_scores_are_refused(spark):
             S.align_scores(spark.createDataFrame(bad, schema), ["x", "y"]).collect()
     with pytest.raises(ValueError, match="strategy"):
         S.select_ensemble(spark.createDataFrame(good, schema), ["x", "y"], 0.5, "some")
+
+
+def test_paired_report_shares_its_draws(spark):
+    made = [(a, p, b, q) for a in (0, 1) for p in (0, 1) for b in (0, 1) for q in (0, 1) for _ in range(3 + 5 * (a == p) + 2 * (b == q))]
+    df = spark.createDataFrame(made, "first int, first_predicted int, second int, second_predicted int")
+    cells = B.paired_cells(df, "first", "first_predicted", "second", "second_predicted")
+    got = {(r.target, r.metric): r for r in B.paired_report(cells, 300, 7).collect()}
+    assert len(got) == 15 and all(r.low <= r.point <= r.high for r in got.values())
+    delta = B.paired_delta(df, 300, 7).first()
+    macro = got["delta", "macro_f1"]
+    assert (macro.point, macro.low, macro.high) == pytest.approx((delta.delta, delta.low, delta.high))
+    same = B.paired_report(B.paired_cells(df, "first", "first_predicted", "first", "first_predicted"), 50, 7).where("target = 'delta'")
+    assert {(r.point, r.low, r.high) for r in same.collect()} == {(0.0, 0.0, 0.0)}

@@ -165,3 +165,26 @@ def test_quality_and_health(spark):
     assert (q["users"], q["posts"], q["blank_posts"], q["digit_relevance"], q["non_digit_relevance"], q["out_of_range_relevance"]) == (2, 4, 1, 3, 1, 1)
     health = {r["user_id"]: (r["unique_index"], r["contiguous"]) for r in TL.index_health(posts).collect()}
     assert health == {"a": (True, True), "b": (False, False)}
+
+
+def test_index_coverage_against_sets(spark):
+    import random
+
+    from chronoseal.operators import timeline as coverage
+
+    rnd = random.Random(4)
+    posts = {u: [rnd.choice([None, -1, *range(n)]) for _ in range(n)] for u, n in (("a", 50), ("b", 9), ("c", 1))}
+    posts["d"] = [*range(32_760, 32_776), 70_000, 70_000]
+    posts["e"] = [None]
+    flat = spark.createDataFrame([(u, i) for u, p in posts.items() for i in p], "user_id string, tweet_index int").repartition(3)
+    declared = {"a": 40, "b": 9, "c": 3, "d": 32_771, "z": 5}
+
+    def expected(u, n):
+        known = [i for i in posts.get(u, []) if i is not None and i >= 0]
+        covered = len({i for i in known if i < n})
+        return u, len(known), covered, n - covered, len(known) - covered, len(posts.get(u, [])) - len(known)
+
+    got = coverage.index_coverage(flat, spark.createDataFrame(list(declared.items()), "user_id string, posts bigint"))
+    assert sorted(map(tuple, got.collect())) == sorted(expected(u, declared.get(u, 0)) for u in {*posts, *declared})
+    own = {u: max([i for i in p if i is not None and i >= 0], default=-1) + 1 for u, p in posts.items()}
+    assert sorted(map(tuple, coverage.index_coverage(flat).collect())) == sorted(expected(u, n) for u, n in own.items())
