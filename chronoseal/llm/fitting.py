@@ -22,11 +22,22 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
     return known.groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("label"))
 
 
+def draw(key: str) -> Column:
+    """Whole number in 0 .. 2^62 from a hash of ``key``: its low 20 bits lead, the next 42 follow."""
+    h = F.xxhash64(F.lit(11), key)
+    low = h.bitwiseAND(F.lit((1 << 20) - 1))
+    return F.shiftleft(low, 42) + F.shiftright(h, 20).bitwiseAND(F.lit((1 << 42) - 1))
+
+
+def share_limit(most: int, n: int) -> int:
+    """Bound of ``draw`` that about ``most`` of ``n`` rows stay below; not 0 at any number of rows that a table can have."""
+    return min(1 << 62, (most << 62) // max(1, n))
+
+
 def bounded_sample(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
     """About ``most`` rows at most, picked by a hash of ``key``; all rows if there are no more."""
     n = rows.count()
-    share = min(1.0, most / max(1, n))
-    return rows if share >= 1 else rows.where(F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return rows if n <= most else rows.where(draw(key) < share_limit(most, n))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .fitting import draw, share_limit
 from .pretokens import classes, code_points
 
 SAMPLE = 8_000
-LEAST_DOCS = 5
 BITS = 16
 SMOOTHING = 0.5
 ROUNDS = 6
@@ -84,18 +84,18 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, most: int = SAMPLE) -> Languages:
-    """Triple probabilities of each language with at least ``LEAST_DOCS`` documents, from at most about ``most`` of each.
+    """Triple probabilities of each language that a document has, from at most about ``most`` of each.
 
     ``docs`` has ``doc_id``, ``text`` and ``lang``; rows with a null in any of them are left out. At most ``2 ** BITS`` numbers
     of each language reach the driver.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Languages((), np.zeros((1 << BITS, 0), np.float32))
     names = tuple(sorted(sizes))
-    shares = F.create_map(*[F.lit(x) for name in names for x in (name, int(min(1.0, most / sizes[name]) * (1 << 20)))])
-    picked = known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < shares[F.col("lang")])
+    limits = F.create_map(*[x for name in names for x in (F.lit(name), F.lit(share_limit(most, sizes[name])).cast("bigint"))])
+    picked = known.where(draw("doc_id") < limits[F.col("lang")])
     summed = picked.select("text", "lang").mapInArrow(_counts, "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((1 << BITS, len(names)))
     column = np.searchsorted(names, summed.column("lang").to_pylist()) if summed.num_rows else np.zeros(0, np.int64)

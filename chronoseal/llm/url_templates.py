@@ -6,7 +6,8 @@ not differ significantly from those of the whole family are merged. The purity o
 smoothed towards that of its parent, and so on up to the host and all pages; a template that is too bad is rejected.
 
 Urls are counted per template before anything else, so that the tree is built from counts. Each level takes a few
-aggregations keyed by host and branch, combined before they are shuffled. Segments beyond ``DEPTH`` count as one.
+aggregations keyed by host and branch, combined before they are shuffled. Paths
+of any depth are read to their last segment.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 
 from .arrays import stored
 
-DEPTH = 8
 WIDE = 12
 FRESH = 0.3
 SUPPORT = 20
@@ -49,15 +49,14 @@ def fitting_rule(rules: Sequence[tuple[str, str]], host_: Column, path_: Column)
 
 
 def segments(path_: Column) -> Column:
-    """Path segments with numbers, hashes and dates as wildcards; what lies beyond ``DEPTH`` is one ``**``."""
+    """All path segments, with numbers, hashes and dates as wildcards."""
     parts = F.filter(F.split(path_, "/"), lambda s: s != "")
-    general = F.transform(
+    return F.transform(
         parts,
         lambda s: F.when(s.rlike(r"^[0-9]+$"), F.lit("{n}"))
         .when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), F.lit("{h}"))
         .otherwise(F.regexp_replace(s, r"[0-9]+", "{n}")),
     )
-    return F.when(F.size(general) > DEPTH, F.concat(F.slice(general, 1, DEPTH), F.array(F.lit("**")))).otherwise(general)
 
 
 def template_tree(urls: DataFrame, wide: int = WIDE, fresh: float = FRESH, support: int = SUPPORT) -> DataFrame:
@@ -65,19 +64,22 @@ def template_tree(urls: DataFrame, wide: int = WIDE, fresh: float = FRESH, suppo
 
     ``urls`` has ``host``, ``segs`` and ``label`` (1 bad, 0 good, else null). ``template`` replaces the children of a node with
     fewer than ``support`` urls by ``*`` if there are at least ``wide`` of them and they are the share ``fresh`` or more of
-    their urls. Other children stay as they are.
+    their urls. Other children stay as they are. A node above fewer than ``wide`` different paths opens nowhere, so the
+    levels end once only such nodes are left, however deep their paths go on.
     """
     known = F.col("label").isin(0, 1)
     rows = urls.groupBy("host", "segs").agg(
         F.count("*").alias("n"), F.count(F.when(known, 1)).alias("labelled"), F.coalesce(F.sum(F.when(known, F.col("label"))), F.lit(0)).cast("bigint").alias("bad")
     )
     rows = stored(rows.withColumn("template", F.array().cast("array<string>")), "templates")
-    deepest = rows.agg(F.max(F.size("segs"))).first()[0] or 0
-    for level in range(deepest):
+    level = 0
+    while True:
         child = F.get("segs", F.lit(level))
         deep = rows.where(F.size("segs") > level)
-        nodes = deep.groupBy("host", "template", child.alias("child")).agg(F.sum("n").alias("n"))
+        nodes = deep.groupBy("host", "template", child.alias("child")).agg(F.sum("n").alias("n"), F.count("*").alias("paths"))
         nodes = stored(nodes, "nodes")
+        if nodes.groupBy("host", "template").agg(F.sum("paths").alias("paths")).where(F.col("paths") >= wide).isEmpty():
+            return rows.withColumn("template", F.concat("template", F.slice("segs", level + 1, F.size("segs"))))
         family = nodes.where(F.col("n") < support).groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("n"))
         open_ = family.where((F.col("children") >= wide) & (F.col("children") >= fresh * F.col("n")))
         open_ = stored(open_.select("host", "template", F.lit(True).alias("open")), "wildcards")
@@ -86,7 +88,7 @@ def template_tree(urls: DataFrame, wide: int = WIDE, fresh: float = FRESH, suppo
         step = F.when(F.col("open").isNotNull() & F.col("frequent").isNull(), F.lit("*")).otherwise(F.col("child"))
         grown = F.when(F.size("segs") > level, F.concat("template", F.array(step))).otherwise(F.col("template"))
         rows = stored(joined.withColumn("template", grown).drop("child", "open", "frequent"), "templates")
-    return rows
+        level += 1
 
 
 def purities(tree: DataFrame, smoothing: float = SMOOTHING, similar: float = SIMILAR) -> DataFrame:
@@ -103,25 +105,33 @@ def purities(tree: DataFrame, smoothing: float = SMOOTHING, similar: float = SIM
     branch = F.array().cast("array<string>")
     known = hosts.select("host", branch.alias("branch"), smooth(F.col("bad"), F.col("labelled"), F.lit(prior)).alias("purity"))
     done = leaves.where(F.size("template") == 0).join(known.select("host", "purity"), "host").select("host", "template", "purity")
-    deepest = leaves.agg(F.max(F.size("template"))).first()[0] or 0
-    for level in range(1, deepest + 1):
-        deep = leaves.where(F.size("template") >= level).withColumn("branch", F.slice("template", 1, level)).withColumn("parent", F.slice("template", 1, level - 1))
-        nodes = deep.groupBy("host", "parent", "branch").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+    rest, level = leaves.where(F.size("template") > 0), 0
+    while not rest.isEmpty():
+        level += 1
+        deep = rest.withColumn("branch", F.slice("template", 1, level)).withColumn("parent", F.slice("template", 1, level - 1))
+        nodes = deep.groupBy("host", "parent", "branch").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.count("*").alias("leaves"))
         family = nodes.groupBy("host", "parent").agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
         share = F.col("all_bad") / F.greatest(F.col("all_labelled"), F.lit(1))
         error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) / F.greatest(F.col("labelled"), F.lit(1)))
-        near = (F.col("labelled") == 0) | (F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - share) <= similar * error)
+        own = F.col("bad") / F.greatest(F.col("labelled"), F.lit(1))
+        near = (F.col("labelled") == 0) | (F.abs(own - share) <= similar * error)
         # A branch that differs is its own group; the others of the family are one.
         grouped = nodes.join(family, ["host", "parent"]).withColumn("alone", F.when(~near, F.col("branch")))
-        grouped = stored(grouped.select("host", "parent", "branch", "alone", "bad", "labelled"), "branches")
+        grouped = stored(grouped.select("host", "parent", "branch", "alone", "bad", "labelled", "leaves"), "branches")
         merged = grouped.where(F.col("alone").isNull()).groupBy("host", "parent").agg(F.sum("bad").alias("m_bad"), F.sum("labelled").alias("m_labelled"))
         above = known.select("host", F.col("branch").alias("parent"), F.col("purity").alias("base"))
         with_counts = grouped.join(merged, ["host", "parent"], "left").join(above, ["host", "parent"])
         bad = F.when(F.col("alone").isNull(), F.col("m_bad")).otherwise(F.col("bad"))
         labelled = F.when(F.col("alone").isNull(), F.col("m_labelled")).otherwise(F.col("labelled"))
-        known = stored(with_counts.select("host", "branch", smooth(bad, labelled, F.col("base")).alias("purity")), "purities")
-        ended = leaves.where(F.size("template") == level).select("host", "template")
-        done = done.unionByName(ended.join(known.withColumnRenamed("branch", "template"), ["host", "template"]))
+        known = stored(with_counts.select("host", "branch", "leaves", smooth(bad, labelled, F.col("base")).alias("purity")), "purities")
+        placed = stored(deep.join(known, ["host", "branch"]).select("host", "template", "bad", "labelled", "leaves", "purity"), "placed")
+        # Below a branch with one leaf there is one child a level, so each further level smooths the leaf towards its own share.
+        below = F.size("template") - level
+        weight = F.pow(smoothing / (F.col("labelled") + smoothing), below)
+        settled = F.when((below == 0) | (F.col("labelled") == 0), F.col("purity")).otherwise(own + weight * (F.col("purity") - own))
+        ends = (below == 0) | (F.col("leaves") == 1)
+        done = done.unionByName(placed.where(ends).select("host", "template", settled.alias("purity")))
+        rest = placed.where(~ends).select("host", "template", "bad", "labelled")
     return done
 
 

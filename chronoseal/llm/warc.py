@@ -163,8 +163,12 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInArrow(_parse, RECORDS)
 
 
-def owners(records: DataFrame, hops: int = 3) -> DataFrame:
-    """Capture of each record: ``record_id, capture_id``. Links count in both directions, up to ``hops`` of them in a row."""
+def owners(records: DataFrame) -> DataFrame:
+    """Capture of each record: ``record_id, capture_id``. Links count in both directions, any number of them in a row.
+
+    A record takes the capture that the fewest links lead to, of several the smallest id. Each round follows one link more
+    and ends the search if it reaches no new record.
+    """
     ids = stored(records.where(F.col("record_id").isNotNull()).select("record_id", "record_type", "concurrent_to"), "records")
     owned = ids.where(F.col("record_type").isin(*CAPTURES)).select("record_id", F.col("record_id").alias("capture_id")).distinct()
     named = ids.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
@@ -172,13 +176,12 @@ def owners(records: DataFrame, hops: int = 3) -> DataFrame:
     rest = ids.where(~F.col("record_type").isin(*CAPTURES)).select(F.col("record_id").alias("a")).distinct()
     links = stored(links.join(rest, "a", "left_semi"), "links")
     reached = owned
-    for _ in range(hops):
+    while True:
         reached = links.join(reached, links["b"] == reached["record_id"]).groupBy("a").agg(F.min("capture_id").alias("capture_id"))
         reached = stored(reached.select(F.col("a").alias("record_id"), "capture_id").join(owned, "record_id", "left_anti"), "owners")
         if reached.isEmpty():
-            break
+            return owned
         owned = owned.unionByName(reached)
-    return owned
 
 
 def assemble(records: DataFrame) -> DataFrame:

@@ -177,3 +177,93 @@ def test_frequent_branches_are_judged_apart_from_rare_siblings(spark, bad):
     pages = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "page_id bigint, url string, label int")
     got = U.judge(pages, ()).groupBy("template", "verdict").count().collect()
     assert {(r.template, r.verdict, r["count"]) for r in got} == {("*/{n}", "allow", 600), ("casino/{n}", "block", bad)}
+
+
+def plain_templates(counts, wide=U.WIDE, fresh=U.FRESH, support=U.SUPPORT):
+    """Template of each (host, segments) of ``counts`` (urls, labelled, bad), by recursion over a plain tree."""
+    made = {}
+
+    def descend(keys, prefix):
+        level, children = len(prefix), defaultdict(list)
+        for key in keys:
+            if len(key[1]) == level:
+                made[key] = prefix
+            else:
+                children[key[1][level]].append(key)
+        urls = {c: sum(counts[k][0] for k in ks) for c, ks in children.items()}
+        rare = {c for c, n in urls.items() if n < support}
+        if not (len(rare) >= wide and len(rare) >= fresh * sum(urls[c] for c in rare)):
+            rare = set()
+        families = defaultdict(list)
+        for c, ks in children.items():
+            families["*" if c in rare else c] += ks
+        for step, ks in families.items():
+            descend(ks, (*prefix, step))
+
+    for host in {h for h, _ in counts}:
+        descend([k for k in counts if k[0] == host], ())
+    return made
+
+
+def plain_purities(counts, made, smoothing=U.SMOOTHING, similar=U.SIMILAR):
+    leaves = defaultdict(lambda: [0, 0])
+    for key, (_, labelled, bad) in counts.items():
+        leaf = leaves[key[0], made[key]]
+        leaf[0] += bad
+        leaf[1] += labelled
+    purity, all_bad, everything = {}, sum(v[0] for v in leaves.values()), sum(v[1] for v in leaves.values())
+
+    def smooth(bad, labelled, base):
+        return (bad + smoothing * base) / (labelled + smoothing)
+
+    def descend(names, level, base):
+        branches = defaultdict(list)
+        for name in names:
+            if len(name[1]) == level:
+                purity[name] = base
+            else:
+                branches[name[1][level]].append(name)
+        sums = {b: [sum(leaves[x][i] for x in group) for i in (0, 1)] for b, group in branches.items()}
+        bad, labelled = (sum(v[i] for v in sums.values()) for i in (0, 1))
+        share = bad / max(1, labelled)
+        like = {b for b, (x, n) in sums.items() if n == 0 or abs(x / max(1, n) - share) <= similar * (max(share * (1 - share), 1e-9) / max(1, n)) ** 0.5}
+        together = [sum(sums[b][i] for b in like) for i in (0, 1)]
+        for b, group in branches.items():
+            descend(group, level + 1, smooth(*(together if b in like else sums[b]), base))
+
+    for host in {h for h, _ in leaves}:
+        names = [x for x in leaves if x[0] == host]
+        descend(names, 0, smooth(*(sum(leaves[x][i] for x in names) for i in (0, 1)), all_bad / max(1, everything)))
+    return purity
+
+
+def test_tree_matches_a_plain_one_at_any_depth(spark):
+    rnd, letters = random.Random(4), "abcdefghijklmnopqrst"
+    word = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    deep, rows = tuple("p" + c for c in letters[:12]), []
+    for host, odds in (("a.org", 0.1), ("b.org", 0.6), ("c.org", 0.3)):
+        for k in range(300):
+            body = rnd.choice([("blog", word(5)), ("tag", rnd.choice(letters[:4])), (*deep, "good", word(4)), (*deep, "casino", word(4), "end"), (), ("one",), (word(3), word(3), word(3))])
+            bad = 0.95 if "casino" in body else odds
+            rows += [(host, list(body), rnd.choice([None, 1 if rnd.random() < bad else 0]))] * rnd.choice([1, 1, 1, 3])
+    counts = defaultdict(lambda: [0, 0, 0])
+    for host, segs, label in rows:
+        held = counts[host, tuple(segs)]
+        held[0] += 1
+        held[1] += label is not None
+        held[2] += label or 0
+    tree = A.stored(U.template_tree(spark.createDataFrame(rows, "host string, segs array<string>, label int")), "tree")
+    made = plain_templates(counts)
+    assert {(r.host, tuple(r.segs)): tuple(r.template) for r in tree.collect()} == made
+    want = plain_purities(counts, made)
+    got = {(r.host, tuple(r.template)): r.purity for r in U.purities(tree).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert any("casino" in t and p > U.LIMIT for (_, t), p in got.items()) and any("good" in t and p < U.LIMIT for (_, t), p in got.items())
+
+
+def test_odd_pages(spark):
+    rows = [(1, "http://h.org/a", 1, "x", 0.5)] * 3 + [(None, "http://h.org/a", None, "x", None), (2, None, 7, None, None), (3, "://", 0, "x", 1.0)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, label int, template string, purity double")
+    got = U.judge(pages, ()).collect()
+    assert len(got) == len(rows) and [r.page_id for r in got].count(1) == 3
+    assert len({r.purity for r in got if r.page_id in (1, None)}) == 1

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoseal.llm import decontamination as D
 from chronoseal.llm import language_mixture, line_dedup, quality, toxicity
-from chronoseal.llm.fitting import held_out, training_row
+from chronoseal.llm.fitting import bounded_sample, draw, held_out, share_limit, training_row
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -183,3 +183,19 @@ def test_language_mixture(spark):
     assert got[2].lang_pred == "xb" and abs(got[2].score - 0.7) < 0.05 and {x.lang for x in got[2].languages} == {"xb", "xc"}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (3, 4, 5))
     assert got[6].lang_pred == "xc"
+
+
+def test_a_language_of_one_document_is_learned(spark):
+    docs = [(i, "the small house stands near the old river", "en") for i in range(6)] + [(9, "der kleine hund schläft unter dem tisch", "de")]
+    model = language_mixture.learn(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"))
+    asked = spark.createDataFrame([(1, "der hund schläft"), (2, "the old house"), (2, "the old house")], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.lang_pred) for r in language_mixture.predict(asked, model).collect())
+    assert model.names == ("de", "en") and got == [(1, "de"), (2, "en"), (2, "en")]
+
+
+def test_samples_are_not_empty_at_any_size(spark):
+    assert share_limit(8_000, 10**13) > 0 and share_limit(5, 5) == 1 << 62
+    rows = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    drawn = rows.select(draw("doc_id").alias("d")).agg(F.min("d"), F.max("d"), F.avg("d")).first()
+    assert 0 <= drawn[0] and drawn[1] < 1 << 62 and abs(drawn[2] / (1 << 62) - 0.5) < 0.01
+    assert abs(bounded_sample(rows, 10_000).count() - 10_000) < 500 and bounded_sample(rows, 200_000).count() == 200_000

@@ -144,6 +144,14 @@ def test_assembly_follows_links_in_both_directions_and_over_records(spark):
     assert got == {"r": (["q"], ["m"]), "s": ([], [])}
 
 
+def test_assembly_follows_chains_of_any_length(spark):
+    rows = [("r", "response", []), *[(f"m{k}", "metadata", [f"m{k - 1}" if k else "r"]) for k in range(7)], ("x", "metadata", ["y"]), ("y", "request", ["x"])]
+    blank = spark.createDataFrame([(i, k, c) for i, k, c in rows], "record_id string, record_type string, concurrent_to array<string>")
+    full = spark.createDataFrame([], warc.RECORDS).unionByName(blank, allowMissingColumns=True)
+    (got,) = warc.assemble(full).collect()
+    assert [x.record_id for x in got.metadata] == [f"m{k}" for k in range(7)] and not got.requests
+
+
 def test_damaged_records():
     record, missing, _ = warc.parse_record(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 10\r\n\r\nabc")
     assert record["payload"] == b"abc" and missing == 7
