@@ -198,29 +198,31 @@ def rank_models(scores: DataFrame) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
-def prefix_candidates(ranked: DataFrame, max_models: int, prune_to: int = 16, metric: str = "macro_f1") -> DataFrame:
-    """Ranked prefixes of size 1..max with equal and macroF1^4 weights.
+def prefix_candidates(ranked: DataFrame, max_models: int, prune_to: int = 16, metric: str = "macro_f1", keys: Sequence[str] = ()) -> DataFrame:
+    """Ranked prefixes of size 1..max with equal and macroF1^4 weights, per ``keys``.
 
-    Rows: ``size, kind, items`` with ``items`` in rank order; ``kind`` 0 is equal, 1 is metric weighted.
+    Rows: the keys, ``size, kind, items`` with ``items`` in rank order; ``kind`` 0 is equal, 1 is metric weighted.
     """
     kept = ranked.where(F.col("rank") <= min(prune_to, max_models))
     limit = F.lit(min(prune_to, max_models)).cast("int")
     grown = kept.withColumn("size", F.explode(F.sequence(F.col("rank").cast("int"), limit)))
     raw = F.pow(F.greatest(F.col(metric), F.lit(1e-12)), F.lit(4.0))
-    per_size = W.partitionBy("size")
+    per_size = W.partitionBy(*keys, "size")
     full = F.count(F.lit(1)).over(per_size) == F.col("size")
-    weighted = grown.select("size", "rank", "model_id", (F.lit(1.0) / F.col("size")).alias("equal"), (raw / F.sum(raw).over(per_size)).alias("metric"), full.alias("full")).where("full")
+    weighted = grown.select(*keys, "size", "rank", "model_id", (F.lit(1.0) / F.col("size")).alias("equal"), (raw / F.sum(raw).over(per_size)).alias("metric"), full.alias("full")).where("full")
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("equal").alias("weight")), F.struct(F.lit(1).alias("kind"), F.col("metric").alias("weight"))))
-    spread = weighted.select("size", "rank", "model_id", kinds.alias("k")).select("size", "rank", "model_id", "k.kind", "k.weight")
-    return spread.groupBy("size", "kind").agg(F.array_sort(F.collect_list(F.struct("rank", "model_id", "weight"))).alias("items"))
+    spread = weighted.select(*keys, "size", "rank", "model_id", kinds.alias("k")).select(*keys, "size", "rank", "model_id", "k.kind", "k.weight")
+    return spread.groupBy(*keys, "size", "kind").agg(F.array_sort(F.collect_list(F.struct("rank", "model_id", "weight"))).alias("items"))
 
 
-def _with_candidates(aligned: DataFrame, candidates: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Repeat each row per candidate; the candidate list is one small row (2 * max models)."""
+def _with_candidates(aligned: DataFrame, candidates: DataFrame, models: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Repeat each row per candidate of its ``keys``; the candidate list of a key is one small row (2 * max models)."""
     position = F.map_from_arrays(F.array(*[F.lit(m) for m in models]), F.array(*[F.lit(i + 1) for i in range(len(models))]))
     items = F.transform("items", lambda i: F.struct(position[i["model_id"]].alias("at"), i["weight"].alias("w")))
-    packed = candidates.select("size", "kind", items.alias("items")).agg(F.array_sort(F.collect_list(F.struct("size", "kind", "items"))).alias("c"))
-    return aligned.withColumn("__c", packed.scalar()).withColumn("__one", F.explode("__c")).select("*", "__one.*").drop("__c", "__one")
+    listed = F.array_sort(F.collect_list(F.struct("size", "kind", "items"))).alias("__c")
+    packed = candidates.select(*keys, "size", "kind", items.alias("items")).groupBy(*keys).agg(listed)
+    grown = aligned.join(packed, list(keys)) if keys else aligned.withColumn("__c", packed.scalar())
+    return grown.withColumn("__one", F.explode("__c")).select("*", "__one.*").drop("__c", "__one")
 
 
 def _blend_items(array: str) -> Column:
@@ -385,18 +387,18 @@ def rank_ternary_models(scores: DataFrame, rules: Sequence[DecisionRule], keys:
     return best.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 
 
-def select_ternary_pruned(scores: DataFrame, models: Sequence[str], rules: Sequence[DecisionRule], max_models: int = 8, prune_to: int = 16) -> DataFrame:
-    """Ranked-prefix selection for more models than a full grid can hold."""
+def select_ternary_pruned(scores: DataFrame, models: Sequence[str], rules: Sequence[DecisionRule], max_models: int = 8, prune_to: int = 16, keys: Sequence[str] = ()) -> DataFrame:
+    """Ranked-prefix selection for more models than a full grid can hold, per ``keys``."""
     ordered = sorted(models)
-    ranked = rank_ternary_models(scores.where(F.col("model_id").isin(*ordered)), rules)
-    candidates = prefix_candidates(ranked, min(max_models, len(ordered)), prune_to)
-    grown = _with_candidates(align_probabilities(scores, ordered).select("label", *PROBABILITIES), candidates, ordered)
-    blended = grown.select("label", "size", "kind", *[_blend_items(p).alias(p) for p in PROBABILITIES])
-    metrics = rule_metrics(decision_counts(blended, rules, ["size", "kind"]), ["size", "kind"])
+    ranked = rank_ternary_models(scores.where(F.col("model_id").isin(*ordered)), rules, keys)
+    candidates = prefix_candidates(ranked, min(max_models, len(ordered)), prune_to, keys=keys)
+    grown = _with_candidates(align_probabilities(scores, ordered, keys=[*keys, "user_id"]).select(*keys, "label", *PROBABILITIES), candidates, ordered, keys)
+    blended = grown.select(*keys, "label", "size", "kind", *[_blend_items(p).alias(p) for p in PROBABILITIES])
+    metrics = rule_metrics(decision_counts(blended, rules, [*keys, "size", "kind"]), [*keys, "size", "kind"])
     ids = F.array(*[F.lit(r.rule_id) for r in rules])
-    best = _best_ternary(metrics.withColumn("rule_order", F.array_position(ids, F.col("rule_id")).cast("int")), [], ["size", "kind", "rule_order"])
+    best = _best_ternary(metrics.withColumn("rule_order", F.array_position(ids, F.col("rule_id")).cast("int")), keys, ["size", "kind", "rule_order"])
     weights = F.map_from_entries(F.transform("items", lambda i: F.struct(i["model_id"], F.round(i["weight"], 6))))
-    return best.join(candidates, ["size", "kind"]).select("*", weights.alias("weights")).drop("items", "rule_order")
+    return best.join(candidates, [*keys, "size", "kind"]).select("*", weights.alias("weights")).drop("items", "rule_order")
 
 
 def select_groups(
@@ -411,8 +413,7 @@ def select_groups(
     """Best lock per selection group (and per ``keys``, such as the policy).
 
     Groups are configuration; those without an available model are skipped. A
-    group above ``exhaustive_limit`` models is selected by ranked prefixes, which
-    works on one key at a time.
+    group above ``exhaustive_limit`` models is selected by ranked prefixes.
     """
     out = None
     for group_id in sorted(groups):
@@ -420,9 +421,7 @@ def select_groups(
         if not models:
             continue
         if len(models) > exhaustive_limit:
-            if keys:
-                raise ValueError(f"group {group_id} has {len(models)} models; select it per key with select_ternary_pruned")
-            lock = select_ternary_pruned(scores, models, rules)
+            lock = select_ternary_pruned(scores, models, rules, keys=keys)
         else:
             lock = select_ternary(align_probabilities(scores, models, keys=[*keys, "user_id"]), models, rules, step, keys)
         row = lock.select(
@@ -480,28 +479,31 @@ def nested_selection(
     rules: Sequence[DecisionRule],
     step: float,
     folds: Sequence[int],
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Per held-out fold: choose weights and rule on the other folds, evaluate on the held-out one.
+    """Per held-out fold: choose weights and rule on the other folds, evaluate on the held-out one,
+    for each of ``keys``.
 
     Confusion counts add up over folds, so the grid runs once over all rows; the
     counts of the other folds choose, those of the held-out fold evaluate.
     """
     n, precision = len(models), _check_step(step)
-    grown = with_grid(aligned.select("fold", "label", *PROBABILITIES), simplex(n, precision), precision)
+    grown = with_grid(aligned.select(*keys, "fold", "label", *PROBABILITIES), simplex(n, precision), precision)
     ws = _unit_weights(n, precision, False)
-    blended = grown.select("fold", "label", _code(n, precision).alias("code"), *[blend(p, ws).alias(p) for p in PROBABILITIES])
-    cells = ternary_confusion(decision_counts(blended, rules, ["fold", "code"]), ["fold", "code", "rule_id"], n=F.col("n"))
+    blended = grown.select(*keys, "fold", "label", _code(n, precision).alias("code"), *[blend(p, ws).alias(p) for p in PROBABILITIES])
+    cells = ternary_confusion(decision_counts(blended, rules, [*keys, "fold", "code"]), [*keys, "fold", "code", "rule_id"], n=F.col("n"))
     cell_names = [c for c in cells.columns if c.startswith("n_")]
     outer = F.explode(F.array(*[F.lit(f) for f in folds]))
     spread = cells.withColumn("heldout_fold", outer)
-    inner = spread.where("fold <> heldout_fold").groupBy("heldout_fold", "code", "rule_id").agg(*[F.sum(c).alias(c) for c in cell_names])
+    inner = spread.where("fold <> heldout_fold").groupBy(*keys, "heldout_fold", "code", "rule_id").agg(*[F.sum(c).alias(c) for c in cell_names])
     ids = F.array(*[F.lit(r.rule_id) for r in rules])
     ranked = add_ternary_metrics(inner).withColumn("rule_order", F.array_position(ids, F.col("rule_id")).cast("int"))
-    chosen = _best_ternary(ranked, ["heldout_fold"], ["code", "rule_order"]).select("heldout_fold", "code", "rule_id", F.col("macro_f1").alias("inner_macro_f1"))
+    chosen = _best_ternary(ranked, [*keys, "heldout_fold"], ["code", "rule_order"]).select(*keys, "heldout_fold", "code", "rule_id", F.col("macro_f1").alias("inner_macro_f1"))
     held = add_ternary_metrics(spread.where("fold = heldout_fold").drop("fold"))
-    joined = held.join(F.broadcast(chosen), ["heldout_fold", "code", "rule_id"])
+    joined = held.join(F.broadcast(chosen), [*keys, "heldout_fold", "code", "rule_id"])
     units = joined.select("*", *[u.alias(f"u{i}") for i, u in enumerate(_decode(n, precision))])
     return units.select(
+        *keys,
         "heldout_fold",
         "rule_id",
         "inner_macro_f1",
@@ -510,7 +512,7 @@ def nested_selection(
     )
 
 
-def selection_counts(results: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """How often each value was chosen, per chosen thing."""
+def selection_counts(results: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """How often each value was chosen, per ``keys`` and chosen thing."""
     pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("value")) for c in columns]))
-    return results.select(pairs).groupBy("what", "value").agg(F.count(F.lit(1)).alias("n"))
+    return results.select(*keys, pairs).groupBy(*keys, "what", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -17,8 +17,6 @@ from .evaluation import BINARY_OUT, CELLS, TERNARY_ORDER_SQL, best_sql, binary_s
 from .inputs import FOLDS, MODEL_IDS, PEOPLE_SQL, POLICIES, RULES, SCORES_SQL, TERNARY_SQL, TIMELINE_SQL, people, r6, rounded, scores, ternary, timeline
 from .posts import markers_cte
 
-PAIR = ("m1_linear", "m2_boost")
-TRIO = ("m1_linear", "m2_boost", "m3_trees")
 ORDER_OUT = ", ".join(r6(c, c) for c in M.TERNARY_ORDER)
 
 
@@ -44,7 +42,7 @@ def weight_grid(spark, sf_dir):
     return grid.select("user_id", *[F.col(f"u{i}").cast("bigint").alias(f"u{i}") for i in range(3)])
 
 
-_WIDE = "wide AS (SELECT user_id, any_value(label) AS label, " + ", ".join(f"max(score) FILTER (WHERE model_id = '{m}') AS s{i}" for i, m in enumerate(TRIO)) + " FROM scores WHERE split = 'train' GROUP BY user_id)"
+_WIDE = "wide AS (SELECT user_id, any_value(label) AS label, " + ", ".join(f"max(score) FILTER (WHERE model_id = '{m}') AS s{i}" for i, m in enumerate(MODEL_IDS)) + " FROM scores WHERE split = 'train' GROUP BY user_id)"
 
 
 def _binary_grid_sql(n: int, precision: int, minimum: int, product: bool, mode: str) -> str:
@@ -59,7 +57,7 @@ def _binary_grid_sql(n: int, precision: int, minimum: int, product: bool, mode:
     order = M.THRESHOLD_ORDER if mode == "gt" else M.SELECTION_ORDER
     digits = 12 if mode == "gt" else None
     final = [f"round({m}, 12) DESC" for m in M.SELECTION_ORDER] if mode == "gt" else [f"{m} DESC" for m in M.SELECTION_ORDER] + ["threshold"]
-    weights = ", ".join(r6(weight(f"((code // {(precision + 1) ** (n - 1 - i)}) % {precision + 1})"), f"w_{TRIO[i]}") for i in range(n))
+    weights = ", ".join(r6(weight(f"((code // {(precision + 1) ** (n - 1 - i)}) % {precision + 1})"), f"w_{MODEL_IDS[i]}") for i in range(n))
     return f"""WITH {SCORES_SQL}, {_WIDE}, g AS (SELECT {', '.join(names)}, {rest} AS u{n - 1} FROM {grid} WHERE {rest} >= {minimum}),
     sg AS (SELECT {code} AS code, 0e0 + {blend} AS score, CAST(label = 'diagnosed' AS INT) AS pos FROM wide, g),
     {sweep_sql('sg', 'code', mode)},
@@ -72,18 +70,18 @@ def _lock_row(lock, models):
     return rounded(rounded(out, 6, skip=("threshold",)), 9)
 
 
-@query("E2 J4 J15 P22", _binary_grid_sql(3, 10, 0, False, "gt"))
+@query("E2 J4 J15 P22", _binary_grid_sql(len(MODEL_IDS), 10, 0, False, "gt"))
 def select_exhaustive(spark, sf_dir):
-    """Full grid over three models with a threshold sweep per grid point."""
-    aligned = S.align_scores(_train_scores(spark, sf_dir), TRIO)
-    return _lock_row(S.select_weights(aligned, TRIO, 0.1), TRIO)
+    """Full grid over all models with a threshold sweep per grid point."""
+    aligned = S.align_scores(_train_scores(spark, sf_dir), MODEL_IDS)
+    return _lock_row(S.select_weights(aligned, MODEL_IDS, 0.1), MODEL_IDS)
 
 
-@query("E3", _binary_grid_sql(3, 20, 1, True, "ge"))
+@query("E3", _binary_grid_sql(len(MODEL_IDS), 20, 1, True, "ge"))
 def select_fixed_set(spark, sf_dir):
     """All models kept at 0.05 or more, exact ties, inclusive threshold."""
-    aligned = S.align_scores(_train_scores(spark, sf_dir), TRIO)
-    return _lock_row(S.select_weights(aligned, TRIO, 0.05, 0.05, mode="ge", exact_ties=True, strategy="fixed-model-set"), TRIO)
+    aligned = S.align_scores(_train_scores(spark, sf_dir), MODEL_IDS)
+    return _lock_row(S.select_weights(aligned, MODEL_IDS, 0.05, 0.05, mode="ge", exact_ties=True, strategy="fixed-model-set"), MODEL_IDS)
 
 
 @query(
@@ -177,7 +175,7 @@ def _ternary_grid_sql(models: tuple[str, ...], precision: int, keys: str, extra:
         return "0e0 + " + " + ".join(f"{letter}{i} * (CAST(u{i} AS DOUBLE) / {precision}e0)" for i in range(n))
 
     rules = " UNION ALL ".join(f"SELECT {k}{extra}code, label, '{r.rule_id}' AS rule_id, {i + 1} AS rule_order, {rule_sql(r, 'd', 'c', 'n')} AS predicted FROM tb" for i, r in enumerate(RULES))
-    return f"""{_ternary_wide(models, k if keys and keys != 'fold' else '')},
+    return f"""{_ternary_wide(models, k.replace('fold, ', ''))},
     tg AS (SELECT {', '.join(names)}, {rest} AS u{n - 1} FROM {', '.join(f'range(0, {precision + 1}) r{i}(u{i})' for i in range(n - 1))} WHERE {rest} >= 0),
     tb AS (SELECT {k}{extra}{code} AS code, label, {blend('d')} AS d, {blend('c')} AS c, {blend('n')} AS n FROM tw, tg),
     tp AS ({rules}),
@@ -191,12 +189,12 @@ def _weights_out(models: tuple[str, ...], precision: int) -> str:
 
 
 # `no` starts with the same letter in all three names after "prob_": d, c, n.
-@query("E5 E9", f"WITH {TERNARY_SQL}, {_ternary_grid_sql(PAIR, 20, 'label_policy_id')} SELECT label_policy_id, rule_id, {ORDER_OUT}, {_weights_out(PAIR, 20)} FROM tm QUALIFY row_number() OVER (PARTITION BY label_policy_id ORDER BY {TERNARY_ORDER_SQL}, code, rule_order) = 1")
+@query("E5 E9", f"WITH {TERNARY_SQL}, {_ternary_grid_sql(MODEL_IDS, 20, 'label_policy_id')} SELECT label_policy_id, rule_id, {ORDER_OUT}, {_weights_out(MODEL_IDS, 20)} FROM tm QUALIFY row_number() OVER (PARTITION BY label_policy_id ORDER BY {TERNARY_ORDER_SQL}, code, rule_order) = 1")
 def select_ternary(spark, sf_dir):
     """Best weights and rule per label policy in one job."""
-    aligned = S.align_probabilities(_train_ternary(spark, sf_dir), PAIR, keys=["label_policy_id", "user_id"])
-    best = S.select_ternary(aligned, PAIR, RULES, 0.05, ["label_policy_id"])
-    return rounded(best.select("label_policy_id", "rule_id", *M.TERNARY_ORDER, *[f"w_{m}" for m in PAIR]))
+    aligned = S.align_probabilities(_train_ternary(spark, sf_dir), MODEL_IDS, keys=["label_policy_id", "user_id"])
+    best = S.select_ternary(aligned, MODEL_IDS, RULES, 0.05, ["label_policy_id"])
+    return rounded(best.select("label_policy_id", "rule_id", *M.TERNARY_ORDER, *[f"w_{m}" for m in MODEL_IDS]))
 
 
 @query("E6")
@@ -212,28 +210,28 @@ def refine_ternary(spark, sf_dir):
     return rounded(reduce(DataFrame.unionByName, parts))
 
 
-_TERNARY_PRUNED_SQL = f"""WITH {TERNARY_SQL}, tt AS (SELECT * FROM tern WHERE split = 'train' AND label_policy_id = 'p_half'),
-    r1 AS ({rules_union('tt', 'model_id, label')}), r2 AS (SELECT model_id, rule_id, rule_order, {cells_sql()} FROM r1 GROUP BY ALL), r3 AS ({ternary_sql('r2')}),
-    r4 AS (SELECT * FROM r3 QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY {TERNARY_ORDER_SQL}, rule_order) = 1),
-    rk AS (SELECT model_id, macro_f1, row_number() OVER (ORDER BY {TERNARY_ORDER_SQL}, model_id) AS rank FROM r4),
-    pf AS (SELECT size, rank, model_id, 1e0 / size AS equal, power(macro_f1, 4) / sum(power(macro_f1, 4)) OVER (PARTITION BY size) AS metric FROM rk, range(1, 6) r(size) WHERE rank <= size),
-    cd AS (SELECT size, rank, model_id, 0 AS kind, equal AS weight FROM pf UNION ALL SELECT size, rank, model_id, 1, metric FROM pf),
-    bl AS (SELECT user_id, any_value(label) AS label, size, kind, {', '.join(f'sum({c} * weight ORDER BY rank) AS {c}' for c in S.PROBABILITIES)} FROM tt JOIN cd USING (model_id) GROUP BY user_id, size, kind),
-    b1 AS ({rules_union('bl', 'size, kind, label')}), b2 AS (SELECT size, kind, rule_id, rule_order, {cells_sql()} FROM b1 GROUP BY ALL), b3 AS ({ternary_sql('b2')}),
-    win AS (SELECT * FROM b3 ORDER BY {TERNARY_ORDER_SQL}, size, kind, rule_order LIMIT 1)
-    SELECT CAST(size AS BIGINT) AS size, CAST(kind AS BIGINT) AS kind, rule_id, {ORDER_OUT}, (SELECT string_agg(model_id || '=' || printf('%.6f', round(weight, 6)), ',' ORDER BY rank) FROM cd WHERE cd.size = win.size AND cd.kind = win.kind) AS weights FROM win"""
+_TERNARY_PRUNED_SQL = f"""WITH {TERNARY_SQL}, tt AS (SELECT * FROM tern WHERE split = 'train'),
+    r1 AS ({rules_union('tt', 'label_policy_id, model_id, label')}), r2 AS (SELECT label_policy_id, model_id, rule_id, rule_order, {cells_sql()} FROM r1 GROUP BY ALL), r3 AS ({ternary_sql('r2')}),
+    r4 AS (SELECT * FROM r3 QUALIFY row_number() OVER (PARTITION BY label_policy_id, model_id ORDER BY {TERNARY_ORDER_SQL}, rule_order) = 1),
+    rk AS (SELECT label_policy_id, model_id, macro_f1, row_number() OVER (PARTITION BY label_policy_id ORDER BY {TERNARY_ORDER_SQL}, model_id) AS rank FROM r4),
+    pf AS (SELECT label_policy_id, size, rank, model_id, 1e0 / size AS equal, power(macro_f1, 4) / sum(power(macro_f1, 4)) OVER (PARTITION BY label_policy_id, size) AS metric FROM rk, range(1, 6) r(size) WHERE rank <= size),
+    cd AS (SELECT label_policy_id, size, rank, model_id, 0 AS kind, equal AS weight FROM pf UNION ALL SELECT label_policy_id, size, rank, model_id, 1, metric FROM pf),
+    bl AS (SELECT label_policy_id, user_id, any_value(label) AS label, size, kind, {', '.join(f'sum({c} * weight ORDER BY rank) AS {c}' for c in S.PROBABILITIES)} FROM tt JOIN cd USING (label_policy_id, model_id) GROUP BY label_policy_id, user_id, size, kind),
+    b1 AS ({rules_union('bl', 'label_policy_id, size, kind, label')}), b2 AS (SELECT label_policy_id, size, kind, rule_id, rule_order, {cells_sql()} FROM b1 GROUP BY ALL), b3 AS ({ternary_sql('b2')}),
+    win AS (SELECT * FROM b3 QUALIFY row_number() OVER (PARTITION BY label_policy_id ORDER BY {TERNARY_ORDER_SQL}, size, kind, rule_order) = 1)
+    SELECT label_policy_id, CAST(size AS BIGINT) AS size, CAST(kind AS BIGINT) AS kind, rule_id, {ORDER_OUT}, (SELECT string_agg(model_id || '=' || printf('%.6f', round(weight, 6)), ',' ORDER BY rank) FROM cd WHERE cd.label_policy_id = win.label_policy_id AND cd.size = win.size AND cd.kind = win.kind) AS weights FROM win"""
 
 
 @query("E5", _TERNARY_PRUNED_SQL)
 def select_ternary_pruned(spark, sf_dir):
-    rows = _train_ternary(spark, sf_dir).where("label_policy_id = 'p_half'")
-    lock = S.select_ternary_pruned(rows, ["m1_linear", "m2_boost", "m3_trees", "m4_seq", "m5_stack"], RULES)
-    shown = lock.select(F.col("size").cast("bigint").alias("size"), F.col("kind").cast("bigint").alias("kind"), "rule_id", *M.TERNARY_ORDER, _weights_text("weights").alias("weights"))
+    """Ranked prefixes of all models, per label policy."""
+    lock = S.select_ternary_pruned(_train_ternary(spark, sf_dir), MODEL_IDS, RULES, keys=["label_policy_id"])
+    shown = lock.select("label_policy_id", F.col("size").cast("bigint").alias("size"), F.col("kind").cast("bigint").alias("kind"), "rule_id", *M.TERNARY_ORDER, _weights_text("weights").alias("weights"))
     return rounded(shown)
 
 
 GROUPS = {
-    "all_models": ["m1_linear", "m2_boost", "m3_trees"],
+    "all_models": list(MODEL_IDS),
     "boosting": ["m2_boost"],
     "linear_and_trees": ["m1_linear", "m3_trees"],
     "absent": ["m9_none"],
@@ -255,7 +253,7 @@ _LOCKS_SQL = f"WITH {TERNARY_SQL}, locks AS (" + " UNION ALL ".join(f"SELECT * F
 @query("E9 E12", f"{_LOCKS_SQL} SELECT l.label_policy_id, l.group_id, l.rule_id, {', '.join(r6('l.' + c, c) for c in M.TERNARY_ORDER)}, {r6('l.macro_f1 - f.macro_f1', 'delta_macro_f1')} FROM locks l JOIN locks f ON f.label_policy_id = l.label_policy_id AND f.group_id = 'all_models'")
 def family_ablation(spark, sf_dir):
     """Selection per group and policy with the difference to all models."""
-    locks = S.select_groups(_train_ternary(spark, sf_dir), GROUPS, TRIO, RULES, 0.25, ["label_policy_id"])
+    locks = S.select_groups(_train_ternary(spark, sf_dir), GROUPS, MODEL_IDS, RULES, 0.25, ["label_policy_id"])
     out = S.ablation(locks, ["label_policy_id"])
     return rounded(out.select("label_policy_id", "group_id", "rule_id", *M.TERNARY_ORDER, "delta_macro_f1"))
 
@@ -263,31 +261,34 @@ def family_ablation(spark, sf_dir):
 @query("E9", f"{_LOCKS_SQL} SELECT label_policy_id, group_id, rule_id, {ORDER_OUT} FROM locks ORDER BY {TERNARY_ORDER_SQL}, label_policy_id, group_id LIMIT 1")
 def champion_lock(spark, sf_dir):
     """Best lock over policies and groups."""
-    locks = S.select_groups(_train_ternary(spark, sf_dir), GROUPS, TRIO, RULES, 0.25, ["label_policy_id"])
+    locks = S.select_groups(_train_ternary(spark, sf_dir), GROUPS, MODEL_IDS, RULES, 0.25, ["label_policy_id"])
     return rounded(S.champion(locks, ["label_policy_id", "group_id"]).select("label_policy_id", "group_id", "rule_id", *M.TERNARY_ORDER))
 
 
-_NESTED_SQL = f"""WITH {TERNARY_SQL}, t0 AS (SELECT * FROM tern WHERE label_policy_id = 'p_third'), {_ternary_grid_sql(PAIR, 10, 'fold').replace('FROM tern WHERE', 'FROM t0 WHERE')},
-    inner_c AS (SELECT h AS heldout_fold, code, rule_id, rule_order, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in CELLS)} FROM tcells, range(1, 6) r(h) WHERE fold <> h GROUP BY ALL),
-    inner_m AS ({ternary_sql('inner_c')}), ch AS (SELECT heldout_fold, code, rule_id, macro_f1 AS inner_macro FROM inner_m QUALIFY row_number() OVER (PARTITION BY heldout_fold ORDER BY {TERNARY_ORDER_SQL}, code, rule_order) = 1)
-    SELECT ch.heldout_fold, ch.rule_id, {r6('inner_macro', 'inner_macro_f1')}, {_weights_out(PAIR, 10).replace('(code //', '(ch.code //')}, {ORDER_OUT} FROM ch JOIN tm ON tm.fold = ch.heldout_fold AND tm.code = ch.code AND tm.rule_id = ch.rule_id"""
+_NESTED_SQL = f"""WITH {TERNARY_SQL}, {_ternary_grid_sql(MODEL_IDS, 10, 'label_policy_id, fold')},
+    inner_c AS (SELECT label_policy_id, h AS heldout_fold, code, rule_id, rule_order, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in CELLS)} FROM tcells, range(1, 6) r(h) WHERE fold <> h GROUP BY ALL),
+    inner_m AS ({ternary_sql('inner_c')}), ch AS (SELECT label_policy_id, heldout_fold, code, rule_id, macro_f1 AS inner_macro FROM inner_m QUALIFY row_number() OVER (PARTITION BY label_policy_id, heldout_fold ORDER BY {TERNARY_ORDER_SQL}, code, rule_order) = 1)
+    SELECT ch.label_policy_id, ch.heldout_fold, ch.rule_id, {r6('inner_macro', 'inner_macro_f1')}, {_weights_out(MODEL_IDS, 10).replace('(code //', '(ch.code //')}, {ORDER_OUT} FROM ch JOIN tm ON tm.label_policy_id = ch.label_policy_id AND tm.fold = ch.heldout_fold AND tm.code = ch.code AND tm.rule_id = ch.rule_id"""
+
+
+def _nested(spark, sf_dir):
+    rows = S.align_probabilities(_train_ternary(spark, sf_dir), MODEL_IDS, keys=["label_policy_id", "user_id"])
+    return S.nested_selection(rows, MODEL_IDS, RULES, 0.1, FOLDS, ["label_policy_id"])
 
 
 @query("E10 A22 J21", _NESTED_SQL)
 def nested_selection(spark, sf_dir):
-    """Choose on four folds, evaluate on the fifth, for every fold."""
-    rows = _train_ternary(spark, sf_dir).where("label_policy_id = 'p_third'")
-    out = S.nested_selection(S.align_probabilities(rows, PAIR), PAIR, RULES, 0.1, FOLDS)
+    """Choose weights of all models on four folds, evaluate on the fifth, for every fold and label policy."""
+    out = _nested(spark, sf_dir)
     return rounded(out.withColumn("heldout_fold", F.col("heldout_fold").cast("bigint")))
 
 
-@query("A22", f"WITH ns AS ({_NESTED_SQL}) SELECT 'macro_f1' AS what, printf('%.4f', avg(macro_f1)) AS value, count(*) AS n FROM ns UNION ALL SELECT 'rule_id', rule_id, count(*) FROM ns GROUP BY rule_id")
+@query("A22", f"WITH ns AS ({_NESTED_SQL}) SELECT label_policy_id, 'macro_f1' AS what, printf('%.4f', avg(macro_f1)) AS value, count(*) AS n FROM ns GROUP BY label_policy_id UNION ALL SELECT label_policy_id, 'rule_id', rule_id, count(*) FROM ns GROUP BY label_policy_id, rule_id")
 def nested_selection_summary(spark, sf_dir):
-    """Held-out statistics over folds and how often each rule was chosen."""
-    rows = _train_ternary(spark, sf_dir).where("label_policy_id = 'p_third'")
-    out = S.nested_selection(S.align_probabilities(rows, PAIR), PAIR, RULES, 0.1, FOLDS)
-    stats = M.scalar_stats(out, [], ["macro_f1"]).select(F.lit("macro_f1").alias("what"), F.format_string("%.4f", "macro_f1_mean").alias("value"), F.col("combinations").alias("n"))
-    return stats.unionByName(S.selection_counts(out, ["rule_id"]))
+    """Held-out statistics over folds per label policy and how often each rule was chosen."""
+    out, keys = _nested(spark, sf_dir), ["label_policy_id"]
+    stats = M.scalar_stats(out, keys, ["macro_f1"]).select(*keys, F.lit("macro_f1").alias("what"), F.format_string("%.4f", "macro_f1_mean").alias("value"), F.col("combinations").alias("n"))
+    return stats.unionByName(S.selection_counts(out, ["rule_id"], keys))
 
 
 # --- policies ------------------------------------------------------------------------
