@@ -7,17 +7,18 @@ occurrences in order, which fixes its k-th target post to its k-th source post
 without looking at any other post. Between two anchors only texts that occur
 more often in the source than in the target are open. A run with one open text
 is matched by occurrence number. Only runs that mix several open texts need the
-greedy pass, one small group per (user, run), so the work spreads over runs.
+greedy pass, and :mod:`.jumps` splits that pass into blocks, so that even one
+user with one run is matched by many tasks.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .jumps import walk_runs
 from .ranking import row_numbers, running_sums
 
 INDEX_BLOCK = 4096
@@ -48,21 +49,6 @@ def _prepare(df: DataFrame, key: str, index: str, text: str, out: str) -> DataFr
     return df.select(key, F.col(index).cast("bigint").alias(out), F.sha2(F.coalesce(F.col(text), F.lit("\u0000")), 256).alias("__text"))
 
 
-def _run_matcher(key_type: str):
-    schema = f"user {key_type}, target_index bigint, source_index bigint"
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        source = pdf[pdf.side == "s"].sort_values("position")
-        target = pdf[pdf.side == "t"].sort_values("position")
-        found = greedy_positions(list(source["__text"]), list(target["__text"]))
-        indexes = source["position"].tolist()
-        matched = [None] * len(target) if found is None else [indexes[i] for i in found]
-        out = {"user": [pdf["user"].iloc[0]] * len(target), "target_index": target["position"].tolist(), "source_index": matched}
-        return pd.DataFrame(out, dtype=object)
-
-    return match, schema
-
-
 def match_ordered_posts(
     source: DataFrame,
     target: DataFrame,
@@ -76,7 +62,6 @@ def match_ordered_posts(
     if none is NULL and the source indexes rise with the target index; see
     :func:`match_findings`.
     """
-    key_type = source.schema[key].dataType.simpleString()
     src = _prepare(source, key, index, text, "source_index")
     tgt = _prepare(target, key, index, text, "target_index")
     # Each (user, text) side is counted with partial sums before the shuffle.
@@ -108,9 +93,7 @@ def match_ordered_posts(
     shape = opened.groupBy(key, "__run").agg((F.min("__text") == F.max("__text")).alias("single"), F.count_if(F.col("side") == "t").alias("wanted"))
     shaped = opened.join(shape.where("wanted > 0"), [key, "__run"])
     single = _single_text_runs(shaped.where("single").select(key, "__run", "side", "position"), key)
-    match, schema = _run_matcher(key_type)
-    mixed = shaped.where("NOT single").select(F.col(key).alias("user"), "__run", "side", "position", "__text")
-    walked = mixed.groupBy("user", "__run").applyInPandas(lambda pdf: match(pdf), schema).withColumnRenamed("user", key)
+    walked = walk_runs(shaped.where("NOT single").select(key, "__run", "side", "position", "__text"), key, INDEX_BLOCK)
     return anchors.unionByName(missing).unionByName(single).unionByName(walked)
 
 
@@ -161,13 +144,29 @@ def match_findings(matches: DataFrame, key: str = "user_id") -> DataFrame:
     return per_user.where("missing > 0 OR falls > 0").select(code.alias("code"), F.col(key).cast("string").alias("detail"))
 
 
-def matched_posts(source: DataFrame, matches: DataFrame, key: str = "user_id", index: str = "tweet_index") -> DataFrame:
+def require_matched(matches: DataFrame, key: str = "user_id") -> DataFrame:
+    """``matches``, or an error that names a user whose target is no ordered part of the source.
+
+    The error comes when the rows are read. Rows of a sound user pass unchanged.
+    """
+    failed = match_findings(matches, key).select(F.col("detail").alias("__failed"), "code").distinct()
+    joined = matches.join(failed, F.col(key).cast("string") == F.col("__failed"), "left")
+    message = F.concat("code", F.lit(": user "), F.col("__failed"))
+    checked = F.when(F.col("__failed").isNull(), F.col(key)).otherwise(F.raise_error(message).cast(matches.schema[key].dataType))
+    return joined.withColumn(key, checked).select(*matches.columns)
+
+
+def matched_posts(source: DataFrame, matches: DataFrame, key: str = "user_id", index: str = "tweet_index", strict: bool = False) -> DataFrame:
     """Source rows of the matched users, re-indexed by their target position.
 
-    A user whose target is no ordered part of the source has no rows; :func:`match_findings` lists them.
+    A user whose target is no ordered part of the source is an error if ``strict``. Otherwise it has no rows, and
+    :func:`match_findings` lists it.
     """
-    failed = match_findings(matches, key).select(F.col("detail").alias("__failed")).distinct()
-    sound = matches.join(failed, F.col(key).cast("string") == F.col("__failed"), "left_anti")
+    if strict:
+        sound = require_matched(matches, key)
+    else:
+        failed = match_findings(matches, key).select(F.col("detail").alias("__failed")).distinct()
+        sound = matches.join(failed, F.col(key).cast("string") == F.col("__failed"), "left_anti")
     wanted = sound.select(key, F.col("source_index").alias(index), "target_index")
     joined = source.withColumn(index, F.col(index).cast("bigint")).join(wanted, [key, index])
     return joined.drop(index).withColumnRenamed("target_index", index)

@@ -499,7 +499,7 @@ def ordered_match_failures(spark, sf_dir):
 def matched_markers(spark, sf_dir):
     """Match, keep the matched source posts, then evidence markers."""
     source, target = _retained(spark, sf_dir)
-    kept = matching.matched_posts(source, matching.match_ordered_posts(source, target))
+    kept = matching.matched_posts(source, matching.match_ordered_posts(source, target), strict=True)
     return rounded(TL.evidence_markers(kept))
 
 

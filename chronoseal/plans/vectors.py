@@ -89,7 +89,7 @@ def pool_coverage(spark, sf_dir):
 
     source, target = _retained(spark, sf_dir)
     n = F.char_length("tweet_text").cast("float")
-    posts = matching.matched_posts(source, matching.match_ordered_posts(source, target)).withColumn("embedding", F.array(n, F.lit(1.0).cast("float")))
+    posts = matching.matched_posts(source, matching.match_ordered_posts(source, target), strict=True).withColumn("embedding", F.array(n, F.lit(1.0).cast("float")))
     pools = pooling.mean_pool(posts)
     targets = source.groupBy("user_id").agg(F.count(F.lit(1)).alias("expected"))
     return pooling.coverage_findings(pools, targets)

@@ -159,6 +159,52 @@ def test_ordered_match_equals_greedy(spark):
             assert got.get(user, []) == positions
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64])
+def test_jump_tables_equal_greedy(spark, size):
+    from chronoseal.operators.jumps import walk_runs
+
+    rng = random.Random(size)
+    data, want = [], {}
+    for u in range(30):
+        source = [rng.choice("abc"[: rng.randrange(2, 4)]) for _ in range(rng.randrange(1, 60))]
+        target = [t for t in source if rng.random() < rng.choice([0.3, 0.9])]
+        if u % 3 == 0:
+            rng.shuffle(target)
+        if u % 7 == 0:
+            target = target + ["c"] * (len(source) - len(target) + u % 2)
+        data += [(u, 0, "s", 10 * i, t) for i, t in enumerate(source)] + [(u, 0, "t", i, t) for i, t in enumerate(target)]
+        positions = matching.greedy_positions(source, target)
+        for i in range(len(target)):
+            want[(u, i)] = None if positions is None else 10 * positions[i]
+    frame_of = spark.createDataFrame(data, "user_id int, __run long, side string, position long, __text string")
+    got = {(r["user_id"], r["target_index"]): r["source_index"] for r in walk_runs(frame_of, "user_id", size).collect()}
+    assert got == want
+
+
+def test_one_user_with_one_run_is_split(spark):
+    from chronoseal.operators.jumps import walk_runs
+
+    rng = random.Random(5)
+    source = [rng.choice("abcd") for _ in range(6000)]
+    target = [t for t in source if rng.random() < 0.9]
+    data = [("u", 0, "s", i, t) for i, t in enumerate(source)] + [("u", 0, "t", i, t) for i, t in enumerate(target)]
+    df = spark.createDataFrame(data, "user_id string, __run long, side string, position long, __text string")
+    found = walk_runs(df, "user_id", 256)
+    assert [r["source_index"] for r in found.orderBy("target_index").collect()] == matching.greedy_positions(source, target)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    assert walk_runs(df.where("side = 's'"), "user_id", 256).count() == 0
+    assert walk_runs(df.limit(0), "user_id", 256).count() == 0
+
+
+def test_a_user_without_ordered_match_is_an_error(spark):
+    source = frame(spark, "axab")
+    good = matching.match_ordered_posts(source, frame(spark, "aab"))
+    assert matching.matched_posts(source, good, strict=True).count() == 3
+    bad = matching.match_ordered_posts(source, frame(spark, "ba"))
+    with pytest.raises(Exception, match="match-missing-post"):
+        matching.matched_posts(source, bad, strict=True).collect()
+
+
 def test_quality_and_health(spark):
     posts = spark.createDataFrame([("a", 0, " ", "7"), ("a", 1, "x", "n/a"), ("b", 1, "y", "11"), ("b", 1, "y", "3")], "user_id string, tweet_index int, tweet_text string, rel string")
     q = TL.quality_report(posts, relevance_text="rel").first()
