@@ -130,3 +130,21 @@ def fixed_number(c: Column | str, digits: int = 8) -> Column:
 def channel(relevance: Column | str, scale: float = 7.0) -> Column:
     """Relevance channel ``clip(rel / scale, 0, 1)`` of one post."""
     return clamp(_col(relevance).cast("double") / F.lit(scale))
+
+
+def ordered_key(c: Column) -> Column:
+    """A long that orders and equals as the double does, from sign, exponent and fraction; both zeros give 0, NaN the largest.
+
+    Powers of two and divisions by them are exact, so different doubles never share a key. NULL stays NULL.
+    """
+    two = F.lit(2.0)
+    size = F.abs(c.cast("double"))
+    rough = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023)).cast("double")
+    # The logarithm may be rounded across a power of two.
+    exponent = F.when(F.pow(two, rough) > size, rough - 1).when((rough < 1023) & (F.pow(two, rough + 1) <= size), rough + 1).otherwise(rough)
+    fraction = (size / F.pow(two, exponent) - 1) * F.lit(2.0**52)
+    normal = (exponent + 1023).cast("bigint") * F.lit(2**52) + fraction.cast("bigint")
+    subnormal = (size * F.lit(2.0**1022) * F.lit(2.0**52)).cast("bigint")
+    top = 2047 * 2**52
+    positive = F.when(F.isnan(size), F.lit(top + 1)).when(size == float("inf"), F.lit(top)).when(size < F.lit(2.0**-1022), subnormal).otherwise(normal)
+    return F.when(c.isNull(), F.lit(None).cast("bigint")).when((c < 0) & ~F.isnan(size), -positive).otherwise(positive)

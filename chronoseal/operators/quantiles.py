@@ -1,7 +1,10 @@
-"""Exact linear-interpolated quantiles without gathering a group.
+"""Exact linear-interpolated quantiles by radix selection.
 
-``percentile`` keeps every distinct value of a group in one task. Here values are
-counted in bins first; only the bins that hold a wanted rank are opened.
+``percentile`` keeps every distinct value of a group in one task. Here a double
+is a 64-bit key of the same order. Rows are counted by the leading digit of the
+key; only digits that hold a wanted rank are opened and counted by their next
+digit, until few rows are left or the digits are used up. Neither an outlier nor
+a crowd of close values makes a window larger than the stated numbers.
 """
 
 from __future__ import annotations
@@ -12,39 +15,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numeric import ordered_key
+from ..session import written
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, qs: Sequence[float], bins: int = 4096) -> DataFrame:
+#: Bits right of each digit: the first has 20 bits (sign, exponent and 8 of the fraction), the others 11 each.
+SHIFTS = (44, 33, 22, 11, 0)
+#: An opened digit with no more rows than this is sorted by value.
+LEAF_ROWS = 65_536
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, qs: Sequence[float], leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Rows ``keys, q, value`` with ``value = v[lo] + (v[hi] - v[lo]) * (pos - lo)``, ``pos = (n - 1) * q``.
 
-    ``keys`` are a handful of groups such as labels or models. NULL values are left out.
+    ``keys`` are a handful of groups such as labels or models. NULL values are left out; NaN counts as the largest.
+    A window holds at most 2^20 digits of a group, or ``leaf_rows`` values.
     """
     if any(q < 0 or q > 1 for q in qs):
         raise ValueError("quantiles must lie between 0 and 1")
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
-    rows = df.select(F.lit(0).alias("__k"), *keys, v.cast("double").alias("__v")).where("__v IS NOT NULL")
+    rows = df.select(F.lit(0).alias("__k"), *keys, v.cast("double").alias("__v")).where("__v IS NOT NULL").withColumn("__key", ordered_key(F.col("__v")))
     by = ["__k", *keys]
-    stats = rows.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__n"))
-    span = F.col("__hi") - F.col("__lo")
-    share = F.when(span > 0, (F.col("__v") - F.col("__lo")) / span).otherwise(F.lit(0.0))
-    binned = rows.join(stats, by).select(*by, "__v", F.floor(share * F.lit(float(bins))).cast("int").alias("__bin"))
-    hist = binned.groupBy(*by, "__bin").agg(F.count(F.lit(1)).alias("__c"))
-    up = W.partitionBy(*by).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
-    hist = hist.withColumn("__before", F.coalesce(F.sum("__c").over(up), F.lit(0)))
-
-    wanted = stats.select(*by, "__n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
-    position = (F.col("__n") - 1).cast("double") * F.col("q")
-    wanted = wanted.select(*by, "q", position.alias("__pos"), F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))).alias("__rank"))
-    inside = (F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__c"))
-    needed = wanted.join(hist, by).where(inside).select(*by, "q", "__pos", "__rank", "__bin", "__before")
-
-    open_bins = needed.select(*by, "__bin").distinct()
-    values = binned.join(open_bins, [*by, "__bin"], "left_semi").groupBy(*by, "__bin", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    upto = W.partitionBy(*by, "__bin").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    values = values.withColumn("__to", F.sum("__c").over(upto))
-    start = F.col("__before") + F.col("__to") - F.col("__c")
-    hit = (F.col("__rank") >= start) & (F.col("__rank") < start + F.col("__c"))
-    picked = needed.join(values, [*by, "__bin"]).where(hit)
+
+    counts = rows.groupBy(*by, F.shiftright("__key", SHIFTS[0]).alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
+    position = (F.col("__n") - 1).cast("double")
+    ranks = F.array_distinct(F.array(*[f(position * F.lit(float(q))).cast("bigint") for q in qs for f in (F.floor, F.ceil)]))
+    total = counts.withColumn("__n", F.sum("__c").over(W.partitionBy(*by)))
+    opened = written(_with_ranks(total.withColumn("__start", F.lit(0).cast("bigint")).withColumn("__ranks", ranks), by, "__p"))
+
+    level = 0
+    while level + 1 < len(SHIFTS) and (opened.agg(F.max("__c")).first()[0] or 0) > leaf_rows:
+        inside = rows.withColumn("__p", F.shiftright("__key", SHIFTS[level])).join(opened.select(*by, "__p"), [*by, "__p"], "left_semi")
+        level += 1
+        counts = inside.groupBy(*by, "__p", F.shiftright("__key", SHIFTS[level]).alias("__next")).agg(F.count(F.lit(1)).alias("__c"))
+        parent = opened.select(*by, "__p", "__n", "__start", "__ranks")
+        opened = written(_with_ranks(counts.join(parent, [*by, "__p"]), [*by, "__p"], "__next").drop("__p").withColumnRenamed("__next", "__p"))
+
+    inside = rows.withColumn("__p", F.shiftright("__key", SHIFTS[level])).join(opened.select(*by, "__p"), [*by, "__p"], "left_semi")
+    values = inside.groupBy(*by, "__p", "__v").agg(F.count(F.lit(1)).alias("__c")).join(opened.drop("__c"), [*by, "__p"])
+    hit = _with_ranks(values, [*by, "__p"], "__v").select(*by, "__n", "__v", F.explode("__ranks").alias("__rank"))
+    each = hit.select(*by, "__v", "__rank", position.alias("__pos"), F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
+    at = F.col("__pos") * F.col("q")
+    picked = each.where((F.col("__rank") == F.floor(at)) | (F.col("__rank") == F.ceil(at)))
     low, high = F.min("__v"), F.max("__v")
-    fraction = F.max("__pos") - F.floor(F.max("__pos"))
-    return picked.groupBy(*by, "q").agg((low + (high - low) * fraction).alias("value")).drop("__k")
+    fraction = F.max(at) - F.floor(F.max(at))
+    return picked.groupBy(*by, "q").agg(F.when(fraction > 0, low + (high - low) * fraction).otherwise(low).alias("value")).drop("__k")
+
+
+def _with_ranks(counted: DataFrame, part: list[str], order: str) -> DataFrame:
+    """Parts of a digit that hold a wanted rank, with the number of rows before them (``__start``) and those ranks."""
+    up = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    placed = counted.withColumn("__start", F.col("__start") + F.coalesce(F.sum("__c").over(up), F.lit(0)))
+    mine = F.filter("__ranks", lambda r: (r >= F.col("__start")) & (r < F.col("__start") + F.col("__c")))
+    return placed.withColumn("__ranks", mine).where(F.size("__ranks") > 0)

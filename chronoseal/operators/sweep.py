@@ -10,23 +10,28 @@ of the distinct scores, or for none. The sweep works on score bins first:
 3. only bins whose bound reaches the best edge are opened; their distinct
    scores are cumulated inside the bin.
 
+An opened bin with many rows is split by the next digits of its scores' 64-bit
+keys, and only parts that can still hold the best cut are kept, as often as the
+digits allow. So a crowded bin, or scores that all lie in an outer bin because
+they are no probabilities, never meet in one window.
+
 No cut is dropped that could win or tie, so the result is that of a full sweep.
-Equal scores are merged before the shuffle; scores written with eight decimals
-have at most some 100,000 distinct values per bin, however many rows there are.
-Scores must be finite; probabilities fit the bins best, other values are merely
-collected in the outer bins.
+Equal scores are merged before the shuffle. Scores must be finite.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numeric import ordered_key
 from ..session import written
 from .metrics import BINARY_METRICS, EQUAL_DIGITS, THRESHOLD_ORDER, binary_columns
+from .quantiles import LEAF_ROWS, SHIFTS
 from .quantiles import quantiles as quantiles_of
 
 # Fixed value: distance of the outer thresholds from 0 and 1.
@@ -70,6 +75,49 @@ def _histogram(scored: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _parts(rows: DataFrame, bins: DataFrame, part: list[str], shift: int) -> DataFrame:
+    """Bins split by the digit of the scores' keys above ``shift`` bits; same columns, the digit added to ``part``."""
+    counted = rows.join(bins.select(*part), part, "left_semi").groupBy(*part, F.shiftright("__key", shift).alias("__digit"))
+    hist = counted.agg(F.sum("__p").alias("p"), F.sum("__n").alias("n"), F.max("__s").alias("high"))
+    joined = hist.join(bins.drop("p", "n"), part)
+    order = W.partitionBy(*part).orderBy("__digit")
+    down = W.partitionBy(*part).orderBy(F.col("__digit").desc()).rowsBetween(W.unboundedPreceding, -1)
+    return joined.select(
+        *part,
+        "__digit",
+        "p",
+        "n",
+        (F.col("above_p") + F.coalesce(F.sum("p").over(down), F.lit(0))).alias("above_p"),
+        (F.col("above_n") + F.coalesce(F.sum("n").over(down), F.lit(0))).alias("above_n"),
+        "pos_all",
+        "neg_all",
+        F.coalesce(F.lag("high").over(order), F.col("below")).alias("below"),
+        "top",
+        *[c for c in bins.columns if c == "__best"],
+    )
+
+
+def _graded(bins: DataFrame) -> DataFrame:
+    """Macro F1 at the lower edge of each bin and the largest any cut inside can reach."""
+    edge = binary_columns(*_counts(F.col("above_p") + F.col("p"), F.col("above_n") - F.col("above_p") + F.col("n") - F.col("p")))
+    bound = binary_columns(*_counts(F.col("above_p") + F.col("p"), F.col("above_n") - F.col("above_p")))
+    return bins.withColumn("__edge", edge["macro_f1"]).withColumn("__bound", bound["macro_f1"])
+
+
+def _still_open(bins: DataFrame, keys: list[str], prune: str | None) -> DataFrame:
+    """Bins that may hold a best cut, with the best edge seen so far in ``__best``."""
+    if prune is None:
+        return bins
+    graded = _graded(bins)
+    if prune == "key":
+        best = F.max("__edge").over(W.partitionBy(*keys))
+    else:
+        best = graded.agg(F.max("__edge")).scalar()
+    if "__best" in bins.columns:
+        best = F.greatest(best, F.col("__best"))
+    return graded.withColumn("__best", best).where(F.col("__bound") >= F.col("__best") - F.lit(1e-9)).drop("__edge", "__bound")
+
+
 def _thresholds(mode: str) -> Column:
     lower, score = F.col("lower"), F.col("score")
     if mode == "gt":
@@ -87,6 +135,27 @@ def _empty_threshold(mode: str) -> Column:
     return F.lit(1.0 + EPSILON) if mode == "ge_mid" else next_up(F.col("top"))
 
 
+def _inside(rows: DataFrame, bins: DataFrame, part: list[str]) -> DataFrame:
+    """Counts at each distinct score of the bins; exact scores are grouped only for rows of these."""
+    keys = [c for c in part if not c.startswith("__")]
+    kept = rows.join(bins.select(*part), part, "left_semi")
+    merged = kept.groupBy(*part, "__s").agg(F.sum("__p").alias("__p"), F.sum("__n").alias("__n"))
+    joined = merged.join(bins.drop("p", "n"), part)
+    one = W.partitionBy(*part)
+    down = one.orderBy(F.col("__s").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    tp = F.sum("__p").over(down) + F.col("above_p")
+    seen = F.sum("__n").over(down) + F.col("above_n")
+    return joined.select(
+        *keys,
+        F.col("__s").alias("score"),
+        F.coalesce(F.lag("__s").over(one.orderBy("__s")), F.col("below")).alias("lower"),
+        tp.alias("tp"),
+        (seen - tp).alias("fp"),
+        "pos_all",
+        "neg_all",
+    )
+
+
 def sweep_cuts(
     scored: DataFrame,
     keys: Sequence[str],
@@ -96,6 +165,7 @@ def sweep_cuts(
     weight: Column | None = None,
     bins: int = 1024,
     prune: str | None = "key",
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Cuts with ``threshold, tp, fp, tn, fn`` per candidate ``keys``.
 
@@ -105,46 +175,30 @@ def sweep_cuts(
     Modes: ``gt`` predicts score > threshold with thresholds at the scores;
     ``ge_mid`` predicts score >= threshold with thresholds between the scores;
     ``ge`` predicts score >= threshold with thresholds at the scores.
+
+    A bin with more than ``leaf_rows`` rows (weights included) is split; key names must not begin with ``__``.
     """
     keys = list(keys)
     positive = F.col("label") == "diagnosed" if positive is None else positive
     n = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
     s = F.col(score).cast("double")
     rows = scored.select(*keys, s.alias("__s"), F.when(positive, n).otherwise(F.lit(0)).alias("__p"), n.alias("__n"), _bin(s, bins).alias("__bin"))
-    hist = _histogram(rows, keys)
-    if prune == "all":
-        hist = written(hist)  # one pass over a whole grid; the steps below read a few rows per candidate
-
-    edge = binary_columns(*_counts(F.col("above_p") + F.col("p"), F.col("above_n") - F.col("above_p") + F.col("n") - F.col("p")))
-    bound = binary_columns(*_counts(F.col("above_p") + F.col("p"), F.col("above_n") - F.col("above_p")))
-    opened = hist
-    if prune is not None:
-        graded = hist.withColumn("__edge", edge["macro_f1"]).withColumn("__bound", bound["macro_f1"])
-        if prune == "key":
-            best = graded.withColumn("__best", F.max("__edge").over(W.partitionBy(*keys)))
-        else:
-            best = graded.withColumn("__best", graded.agg(F.max("__edge")).scalar())
-        opened = best.where(F.col("__bound") >= F.col("__best") - F.lit(1e-9)).drop("__edge", "__bound", "__best")
-
-    if prune == "all":
-        # Few bins stay open, so that the exact scores of most candidates are never grouped or shuffled.
-        opened = written(opened)
-        rows = rows.join(opened.select(*keys, "__bin"), [*keys, "__bin"], "left_semi")
-    inside = rows.groupBy(*keys, "__bin", "__s").agg(F.sum("__p").alias("__p"), F.sum("__n").alias("__n"))
-    joined = inside.join(opened.drop("p", "n"), [*keys, "__bin"])
-    part = W.partitionBy(*keys, "__bin")
-    down = part.orderBy(F.col("__s").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    tp = F.sum("__p").over(down) + F.col("above_p")
-    seen = F.sum("__n").over(down) + F.col("above_n")
-    cuts = joined.select(
-        *keys,
-        F.col("__s").alias("score"),
-        F.coalesce(F.lag("__s").over(part.orderBy("__s")), F.col("below")).alias("lower"),
-        tp.alias("tp"),
-        (seen - tp).alias("fp"),
-        "pos_all",
-        "neg_all",
-    )
+    hist = written(_histogram(rows, keys))
+    opened = written(_still_open(hist, keys, prune))
+    part = [*keys, "__bin"]
+    rows = rows.withColumn("__key", ordered_key(F.col("__s")))
+    inside = []
+    for shift in SHIFTS:
+        if (opened.agg(F.max("n")).first()[0] or 0) <= leaf_rows:
+            break
+        inside.append(_inside(rows, opened.where(F.col("n") <= leaf_rows), part))
+        opened = written(_still_open(_parts(rows, opened.where(F.col("n") > leaf_rows), part, shift), keys, prune))
+        # The digit includes all digits before it, so that it takes their place.
+        opened = opened.withColumnRenamed("__digit", f"__digit{shift}")
+        rows = rows.withColumn(f"__digit{shift}", F.shiftright("__key", shift))
+        part = [*keys, "__bin", f"__digit{shift}"]
+    inside.append(_inside(rows, opened, part))
+    cuts = reduce(DataFrame.unionByName, inside)
     out = cuts.select(*keys, _thresholds(mode).alias("threshold"), "tp", "fp", "pos_all", "neg_all")
     none = hist.groupBy(*keys).agg(F.max("top").alias("top"), F.max("pos_all").alias("pos_all"), F.max("neg_all").alias("neg_all"))
     zero = F.lit(0).cast("bigint")

@@ -282,3 +282,57 @@ def test_paired_report_shares_its_draws(spark):
     assert (macro.point, macro.low, macro.high) == pytest.approx((delta.delta, delta.low, delta.high))
     same = B.paired_report(B.paired_cells(df, "first", "first_predicted", "first", "first_predicted"), 50, 7).where("target = 'delta'")
     assert {(r.point, r.low, r.high) for r in same.collect()} == {(0.0, 0.0, 0.0)}
+
+
+def test_ordered_key_orders_doubles(spark):
+    from chronoseal.functions.numeric import ordered_key
+
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2**64, size=3000, dtype=np.uint64).view(np.float64)
+    edges = np.array([0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, 1e300, np.finfo(float).max, np.inf])
+    powers = np.exp2(np.arange(-1074, 1024).astype(float))
+    near = np.concatenate([powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf)])
+    values = np.concatenate([bits[~np.isnan(bits)], edges, -edges, near, -near])
+    got = [r[0] for r in spark.createDataFrame([(float(v),) for v in values], "v double").select(ordered_key(F.col("v"))).collect()]
+    plain = np.abs(values).view(np.int64)
+    assert got == np.where(values < 0, -plain, plain).tolist()
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "v double").select(ordered_key(F.col("v"))).collect()
+    assert odd[0][0] is None and odd[1][0] > odd[2][0]
+
+
+def _crowded(n):
+    rng = np.random.default_rng(n)
+    scores = np.where(rng.random(n) < 0.95, 0.5 + rng.random(n) * 1e-6, rng.random(n) * 1e-3)
+    scores[0] = 1e300
+    scores[1:4] = scores[5]
+    return scores
+
+
+@pytest.mark.parametrize("leaf_rows", [1, 20, 65_536])
+def test_quantiles_of_a_crowd_and_an_outlier(spark, leaf_rows):
+    scores = _crowded(700)
+    qs = [0.0, 0.04, 0.05, 0.5, 0.9, 0.999]
+    df = spark.createDataFrame([(float(v),) for v in scores], "v double")
+    got = {r["q"]: r["value"] for r in quantiles(df, [], "v", qs, leaf_rows).collect()}
+    assert [got[q] for q in qs] == pytest.approx([np.quantile(scores, q) for q in qs], rel=1e-12)
+
+
+@pytest.mark.parametrize("prune", [None, "key", "all"])
+def test_sweep_of_a_crowded_bin_equals_a_full_sweep(spark, prune):
+    scores = _crowded(400)
+    rng = np.random.default_rng(8)
+    labels = rng.random(400) < np.where(scores > 0.5 + 5e-7, 0.7, 0.2)
+    data = [(k, float(v), "diagnosed" if y else "control") for k in "ab" for v, y in zip(scores, labels)]
+    df = spark.createDataFrame(data, "k string, score double, label string")
+    for mode in ("gt", "ge_mid", "ge"):
+        whole = SW.sweep_cuts(df, ["k"], mode=mode, prune=None)
+        split = SW.sweep_cuts(df, ["k"], mode=mode, prune=prune, leaf_rows=10)
+        full = {tuple(r) for r in whole.collect()}
+        part = {tuple(r) for r in split.collect()}
+        assert part <= full
+        if prune is None:
+            assert part == full and len(part) == 2 * (len(set(scores)) + 1)
+        else:
+            assert len(part) < len(full)
+        best = {tuple(r) for r in SW.pick_best(split, ["k"]).collect()}
+        assert best == {tuple(r) for r in SW.pick_best(whole, ["k"]).collect()}
