@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audits as AU
+from ..operators import chains as CH
 from ..operators import selection as S
 from ..operators import splits as SP
 from ..operators.alignment import report_ok
@@ -272,3 +273,69 @@ def pinned_inputs(spark, sf_dir):
 def audit_verdict(spark, sf_dir):
     """Overall verdict of the faulty out-of-fold audit: each test user fails twice, each train user once."""
     return report_ok(AU.audit_oof(_people_manifest(spark, sf_dir), _faulty(spark, sf_dir), MODEL_IDS))
+
+
+# --- artifact chain ------------------------------------------------------------------
+
+# Artifacts: a row per user and a score per user and model, a lock per model over all its scores, a report over the
+# locks, a release over the report. Breaks are planted at every level but the last.
+_CHAIN_SQL = f"""{SCORES_SQL},
+s AS (SELECT user_id, fold, model_id, CAST(round(score * 1000000) AS BIGINT) AS micro FROM scores),
+art AS (
+  SELECT 'row/' || user_id AS artifact, sha256('row|' || user_id || '|' || split || '|' || label) AS digest FROM people
+  UNION ALL SELECT 'score/' || model_id || '/' || user_id, sha256('score|' || model_id || '|' || user_id || '|' || micro) FROM s WHERE NOT (model_id = 'm3_trees' AND fold = 2)
+  UNION ALL SELECT 'lock/' || model_id, sha256('lock|' || model_id || '|' || count(*) || '|' || sum(micro)) FROM s GROUP BY model_id
+  UNION ALL SELECT 'report', sha256('report|' || count(*) || '|' || sum(micro)) FROM s),
+own(artifact, depends_on, stale) AS (
+  SELECT 'score/' || model_id || '/' || user_id, 'row/' || user_id, CASE WHEN model_id = 'm2_boost' AND fold = 1 THEN 1 WHEN model_id = 'm4_seq' AND user_id % 3 = 0 THEN 2 ELSE 0 END FROM s WHERE NOT (model_id = 'm3_trees' AND fold = 2)
+  UNION ALL SELECT 'lock/' || model_id, 'score/' || model_id || '/' || user_id, 0 FROM s
+  UNION ALL SELECT DISTINCT 'report', 'lock/' || model_id, CASE WHEN model_id = 'm5_stack' THEN 1 ELSE 0 END FROM s
+  UNION ALL SELECT 'release', 'report', 0 FROM (SELECT count(*) FROM s)),
+links AS (SELECT o.artifact, o.depends_on, CASE stale WHEN 0 THEN digest WHEN 1 THEN '0' END AS recorded FROM own o LEFT JOIN art a ON a.artifact = o.depends_on),
+bad AS (
+  SELECT l.artifact, l.depends_on, CASE WHEN a.artifact IS NULL THEN 'artifact-missing' WHEN recorded IS NULL THEN 'hash-missing' ELSE 'hash-changed' END AS code
+  FROM links l LEFT JOIN art a ON a.artifact = l.depends_on WHERE a.artifact IS NULL OR recorded IS NULL OR recorded <> digest),
+walk AS (
+  SELECT artifact, CAST(0 AS BIGINT) AS steps, artifact AS broken, depends_on, code FROM bad
+  UNION ALL SELECT l.artifact, w.steps + 1, w.broken, w.depends_on, w.code FROM walk w JOIN links l ON l.depends_on = w.artifact),
+first_break AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY artifact ORDER BY steps, broken, depends_on, code) = 1)
+"""
+
+
+def _chain(spark, sf_dir):
+    """The artifacts of ``_CHAIN_SQL`` and their links."""
+    s = scores(spark, sf_dir).withColumn("micro", F.round(F.col("score") * 1000000).cast("bigint"))
+    user, model = F.col("user_id").cast("string"), F.col("model_id")
+    row_name, score_name, lock_name = F.concat(F.lit("row/"), user), F.concat(F.lit("score/"), model, F.lit("/"), user), F.concat(F.lit("lock/"), model)
+    lost = (model == "m3_trees") & (F.col("fold") == 2)
+    digest = [F.sha2(F.concat_ws("|", *parts), 256).alias("digest") for parts in (
+        (F.lit("row"), "user_id", "split", "label"), (F.lit("score"), "model_id", "user_id", "micro"), (F.lit("lock"), "model_id", "n", "total"), (F.lit("report"), "n", "total"))]
+    totals = [F.count(F.lit(1)).alias("n"), F.sum("micro").alias("total")]
+    artifacts = SP.union_all([
+        people(spark, sf_dir).select(row_name.alias("artifact"), digest[0]),
+        s.where(~lost).select(score_name.alias("artifact"), digest[1]),
+        s.groupBy("model_id").agg(*totals).select(lock_name.alias("artifact"), digest[2]),
+        s.agg(*totals).select(F.lit("report").alias("artifact"), digest[3]),
+    ])
+    stale = F.when((model == "m2_boost") & (F.col("fold") == 1), F.lit(1)).when((model == "m4_seq") & (F.col("user_id") % 3 == 0), F.lit(2)).otherwise(F.lit(0))
+    own = SP.union_all([
+        s.where(~lost).select(score_name.alias("artifact"), row_name.alias("depends_on"), stale.alias("stale")),
+        s.select(lock_name.alias("artifact"), score_name.alias("depends_on"), F.lit(0).alias("stale")),
+        s.select("model_id").distinct().select(F.lit("report").alias("artifact"), lock_name.alias("depends_on"), F.when(model == "m5_stack", F.lit(1)).otherwise(F.lit(0)).alias("stale")),
+        s.agg(F.count(F.lit(1))).select(F.lit("release").alias("artifact"), F.lit("report").alias("depends_on"), F.lit(0).alias("stale")),
+    ])
+    known = artifacts.select(F.col("artifact").alias("depends_on"), "digest")
+    recorded = F.when(F.col("stale") == 0, F.col("digest")).when(F.col("stale") == 1, F.lit("0"))
+    return artifacts, own.join(known, "depends_on", "left").select("artifact", "depends_on", recorded.alias("recorded"))
+
+
+@query("G9 G11 G14", f"WITH RECURSIVE {_CHAIN_SQL} SELECT * FROM first_break")
+def artifact_chain(spark, sf_dir):
+    """First broken link below every unsound artifact of a chain from user rows to a release."""
+    return CH.first_breaks(*_chain(spark, sf_dir))
+
+
+@query("G11 G14 U1", f"WITH RECURSIVE {_CHAIN_SQL} SELECT false AS ok, code, count(*) AS n FROM first_break GROUP BY code")
+def artifact_chain_verdict(spark, sf_dir):
+    """Unsound artifacts by the kind of their first break."""
+    return CH.chain_findings(*_chain(spark, sf_dir)).groupBy("ok", "code").agg(F.count(F.lit(1)).alias("n"))
