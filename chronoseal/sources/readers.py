@@ -152,12 +152,13 @@ def read_manifest(spark: SparkSession, path: str, types: Mapping[str, str] = MAN
     return rows.withColumn("label", label)
 
 
+_WHOLE = ("total_tweets", "rel3_count", "rel5_count", "rel6_count", "rel7_count")
+MARKERS = {n: "string" if n == "user_id" else "bigint" if n in _WHOLE else "double" for n in ("user_id", *MARKER_NUMBERS, "evidence_score")}
+
+
 def read_markers(spark: SparkSession, path: str) -> DataFrame:
     """Evidence markers; a blank score is recomputed."""
-    names = ["user_id", *MARKER_NUMBERS, "evidence_score"]
-    whole = {"total_tweets", "rel3_count", "rel5_count", "rel6_count", "rel7_count"}
-    types = {n: "string" if n == "user_id" else "bigint" if n in whole else "double" for n in names}
-    rows = _typed(read_csv(spark, path, names), types)
+    rows = _typed(read_csv(spark, path, list(MARKERS)), MARKERS)
     return rows.withColumn("evidence_score", F.coalesce(F.col("evidence_score"), N.evidence_score()))
 
 

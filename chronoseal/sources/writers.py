@@ -13,6 +13,8 @@ from ..operators.timeline import MARKER_COLUMNS
 
 SCORE_TRAIN = ("user_id", "label", "fold", "score", "model_id")
 SCORE_TEST = ("user_id", "score", "model_id")
+# Spark's CSV writer trims cells unless told not to.
+CSV_TEXT = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str], order: Sequence[str] = (), single: bool = False) -> None:
@@ -26,7 +28,7 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str], order: Sequence[
         out = out.orderBy(*order)
     if single:
         out = out.coalesce(1)
-    out.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="", nullValue="").csv(path)
+    out.write.mode("overwrite").options(**CSV_TEXT).csv(path)
 
 
 def score_columns(df: DataFrame, labelled: bool, digits: int = 8) -> DataFrame:
