@@ -34,7 +34,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, qs: Seque
         raise ValueError("quantiles must lie between 0 and 1")
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
-    rows = df.select(F.lit(0).alias("__k"), *keys, v.cast("double").alias("__v")).where("__v IS NOT NULL").withColumn("__key", ordered_key(F.col("__v")))
+    # Written once: every level scans the bare values, not the plan that made them.
+    rows = written(df.select(F.lit(0).alias("__k"), *keys, v.cast("double").alias("__v")).where("__v IS NOT NULL"))
+    rows = rows.withColumn("__key", ordered_key(F.col("__v")))
     by = ["__k", *keys]
 
     counts = rows.groupBy(*by, F.shiftright("__key", SHIFTS[0]).alias("__p")).agg(F.count(F.lit(1)).alias("__c"))

@@ -186,7 +186,8 @@ def sweep_cuts(
     hist = written(_histogram(rows, keys))
     opened = written(_still_open(hist, keys, prune))
     part = [*keys, "__bin"]
-    rows = rows.withColumn("__key", ordered_key(F.col("__s")))
+    # The lambda binds the score once; it may be a long expression and the key names it often.
+    rows = rows.withColumn("__key", F.transform(F.array("__s"), ordered_key)[0])
     inside = []
     for shift in SHIFTS:
         if (opened.agg(F.max("n")).first()[0] or 0) <= leaf_rows:
