@@ -32,14 +32,14 @@ def _through_csv(df: DataFrame) -> DataFrame:
     return R.read_csv(df.sparkSession, path, df.columns)
 
 
-@query("S1 K2", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS chars, sha256(coalesce(text, '')) AS digest, coalesce(source, '') AS source FROM documents")
+@query("S1 K1", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS chars, sha256(coalesce(text, '')) AS digest, coalesce(source, '') AS source FROM documents")
 def csv_records(spark, sf_dir):
     """Whole texts with quotes, separators and line ends through CSV and back."""
     rows = _through_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", F.char_length("text").cast("bigint").alias("chars"), F.sha2("text", 256).alias("digest"), "source")
 
 
-@query("S6 K1", f"WITH {TIMELINE_SQL}, {PEOPLE_SQL} SELECT CAST(user_id AS VARCHAR) AS user_id, tweet_index, relevance FROM tl WHERE user_id IN (SELECT user_id FROM people WHERE label = 'diagnosed')")
+@query("S6", f"WITH {TIMELINE_SQL}, {PEOPLE_SQL} SELECT CAST(user_id AS VARCHAR) AS user_id, tweet_index, relevance FROM tl WHERE user_id IN (SELECT user_id FROM people WHERE label = 'diagnosed')")
 def posts_of_users(spark, sf_dir):
     """Posts of wanted users from partitioned Parquet; the texts are not scanned."""
     user = F.col("user_id").cast("string").alias("user_id")
@@ -75,7 +75,7 @@ _SCORE_FAULTS = f"""{SCORES_SQL}, sf AS (SELECT *, list_filter([
   CASE WHEN user_id % 11 = 1 THEN 'missing score' WHEN user_id % 11 IN (0, 4) THEN 'invalid score' END], lambda x: x IS NOT NULL) AS reasons FROM scores)"""
 
 
-@query("S14 S13", f"WITH {_SCORE_FAULTS} SELECT CAST(user_id AS VARCHAR) AS user_id, label, CAST(fold AS BIGINT) AS fold, round(score, 6) + 0e0 AS score, model_id FROM sf WHERE len(reasons) = 0")
+@query("S14", f"WITH {_SCORE_FAULTS} SELECT CAST(user_id AS VARCHAR) AS user_id, label, CAST(fold AS BIGINT) AS fold, round(score, 6) + 0e0 AS score, model_id FROM sf WHERE len(reasons) = 0")
 def score_records(spark, sf_dir):
     """Score rows that keep the contract, typed."""
     return rounded(_scores(spark, sf_dir).accepted).withColumn("fold", F.col("fold").cast("bigint"))
