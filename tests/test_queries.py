@@ -23,6 +23,9 @@ PICKED = [
     "select_fixed_set",
     "policy_labels",
     "parsed_responses",
+    "artifact_chain",
+    "rejected_records",
+    "ordered_match",
 ]
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="driver tables absent")
