@@ -107,8 +107,8 @@ def unit_vectors(spark, sf_dir):
 
 @query("S9", "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dims, round(list_sum(list_transform(embedding, lambda x: CAST(CAST(round(x * 1000) AS INT) AS DOUBLE))), 3) + 0e0 AS total FROM embeddings")
 def vector_texts(spark, sf_dir):
-    """Vectors written as text and parsed again."""
-    text = F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("int").cast("string")), ","), F.lit("]"))
+    """Vectors written as text and parsed again; entries are scaled in single precision, as they are stored."""
+    text = F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: F.round(x * F.lit(1000).cast("float")).cast("int").cast("string")), ","), F.lit("]"))
     t = table(spark, sf_dir, "embeddings").select("vec_id", text.alias("t"))
     total = F.aggregate(V.parse_vector("t"), F.lit(0.0), lambda a, x: a + x.cast("double"))
     return rounded(t.select("vec_id", V.count_dimensions("t").cast("bigint").alias("dims"), total.alias("total")), 3)
