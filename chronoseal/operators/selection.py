@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import DecisionRule, decide, decide_ternary
+from .grids import ternary_grid_cells
 from .metrics import (
     EQUAL_DIGITS,
     SELECTION_ORDER,
@@ -24,7 +25,6 @@ from .metrics import (
     decision_counts,
     order_by_metrics,
     rule_metrics,
-    ternary_confusion,
 )
 from .ranking import best_per_key
 from .sweep import best_threshold, pick_best, sweep_cuts
@@ -303,12 +303,8 @@ def _ternary_grid_metrics(
     precision: int,
     keys: Sequence[str],
 ) -> DataFrame:
-    n = len(models)
-    grown = with_grid(aligned.select(*keys, "label", *PROBABILITIES), ranges, precision)
-    ws = _unit_weights(n, precision, False)
-    blended = grown.select(*keys, "label", _code(n, precision).alias("code"), *[blend(p, ws).alias(p) for p in PROBABILITIES])
-    counts = decision_counts(blended, rules, [*keys, "code"])
-    metrics = add_ternary_metrics(ternary_confusion(counts, [*keys, "code", "rule_id"], n=F.col("n")))
+    _code(len(models), precision)
+    metrics = add_ternary_metrics(ternary_grid_cells(aligned, rules, ranges, precision, keys, PROBABILITIES))
     ids = F.array(*[F.lit(r.rule_id) for r in rules])
     return metrics.withColumn("rule_order", F.array_position(ids, F.col("rule_id")).cast("int"))
 
@@ -488,10 +484,8 @@ def nested_selection(
     counts of the other folds choose, those of the held-out fold evaluate.
     """
     n, precision = len(models), _check_step(step)
-    grown = with_grid(aligned.select(*keys, "fold", "label", *PROBABILITIES), simplex(n, precision), precision)
-    ws = _unit_weights(n, precision, False)
-    blended = grown.select(*keys, "fold", "label", _code(n, precision).alias("code"), *[blend(p, ws).alias(p) for p in PROBABILITIES])
-    cells = ternary_confusion(decision_counts(blended, rules, [*keys, "fold", "code"]), [*keys, "fold", "code", "rule_id"], n=F.col("n"))
+    _code(n, precision)
+    cells = ternary_grid_cells(aligned, rules, simplex(n, precision), precision, [*keys, "fold"], PROBABILITIES)
     cell_names = [c for c in cells.columns if c.startswith("n_")]
     outer = F.explode(F.array(*[F.lit(f) for f in folds]))
     spread = cells.withColumn("heldout_fold", outer)
