@@ -49,9 +49,14 @@ def align_scores(
     """
     wanted = scores.where(F.col("model_id").isin(*models))
     names = [v if v != "score" else "scores" for v in values]
-    arrays = [F.array(*[F.max(F.when(F.col("model_id") == m, F.col(v))) for m in models]).alias(n) for v, n in zip(values, names)]
-    lows = [F.min(k).alias(f"__low_{k}") for k in keep]
-    per = wanted.groupBy(*keys).agg(*[F.max(k).alias(k) for k in keep], *arrays, F.count(F.lit(1)).alias("__n"), *lows)
+    cells = [(f"__v{i}_{j}", v, m) for i, v in enumerate(values) for j, m in enumerate(models)]
+    # Grouped by the kept columns first: numbers alone are hashed, and only a row per user, not per score, is sorted for
+    # the largest and smallest text.
+    first = wanted.groupBy(*keys, *keep).agg(F.count(F.lit(1)).alias("__n"), *[F.max(F.when(F.col("model_id") == m, F.col(v))).alias(c) for c, v, m in cells])
+    highs, lows = [F.max(k).alias(f"__high_{k}") for k in keep], [F.min(k).alias(f"__low_{k}") for k in keep]
+    whole = first.groupBy(*keys).agg(*highs, *lows, F.sum("__n").alias("__n"), *[F.max(c).alias(c) for c, _, _ in cells])
+    arrays = [F.array(*[F.col(f"__v{i}_{j}") for j in range(len(models))]).alias(n) for i, n in enumerate(names)]
+    per = whole.select(*keys, *[F.col(f"__high_{k}").alias(k) for k in keep], *arrays, "__n", *[f"__low_{k}" for k in keep])
     missing = F.lit(False)
     for n in names:
         missing = missing | F.exists(n, lambda x: x.isNull())
