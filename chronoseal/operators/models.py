@@ -9,6 +9,7 @@ aggregate with a row per fold and label.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -21,11 +22,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..functions import numeric as N
 from ..functions import vectors as V
 from ..functions.labels import NEGATIVE, NO_EVIDENCE, POSITIVE, TERNARY
 from ..functions.text import blank_to_space
+from ..session import written
 from . import fold_fits
 from .metrics import fold_average
 from .selection import align_scores
@@ -302,12 +305,16 @@ def fit_focal(
 def oof_scores(train: DataFrame, candidate: Candidate, label: str = "label", key: str = "user_id", power: int = 1, counts: dict[int, Counts] | None = None) -> DataFrame:
     """Fit on the other folds, score the held-out fold: ``user_id, label, fold, score, model_id``."""
     counts = counts or fold_counts(train, label)
-    parts = []
-    for fold in sorted(counts):
+
+    def scored_fold(fold: int) -> DataFrame:
         per_fold = Candidate(**{**candidate.__dict__, "seed": candidate.seed + fold})
         fitted = fit_binary(train.where(F.col("fold") != fold), per_fold, _total(counts, [fold]), label, power)
         scored = fitted.score(train.where(F.col("fold") == fold))
-        parts.append(scored.select(key, F.col(label).alias("label"), "fold", "score", F.lit(candidate.model_id).alias("model_id")))
+        return scored.select(key, F.col(label).alias("label"), "fold", "score", F.lit(candidate.model_id).alias("model_id"))
+
+    # The folds are fitted side by side, as a cross-validator does: the many short jobs of one leave cores idle.
+    with ThreadPoolExecutor(len(counts)) as pool:
+        parts = list(pool.map(inheritable_thread_target(train.sparkSession)(scored_fold), sorted(counts)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -352,12 +359,14 @@ def _raw_stack(candidate: Candidate, names: tuple[str, ...]) -> Candidate:
 def stack_oof(scores: DataFrame, models: Sequence[str], candidate: Candidate, power: int = 2) -> DataFrame:
     """Stacking on out-of-fold scores. ``power`` 2 keeps the doubled class weighting of the plain stackers."""
     table, names = _stack_table(scores, sorted(models), ("label", "fold"))
-    return oof_scores(table, _raw_stack(candidate, names), power=power)
+    # Every fold counts, fits and scores these rows, so the scores are aligned once.
+    return oof_scores(written(table), _raw_stack(candidate, names), power=power)
 
 
 def stack_test(train_scores: DataFrame, test_scores: DataFrame, models: Sequence[str], candidate: Candidate, power: int = 2) -> DataFrame:
     """Final stack: fit on all out-of-fold scores, score the label-free test scores."""
     table, names = _stack_table(train_scores, sorted(models), ("label", "fold"))
+    table = written(table)
     test, _ = _stack_table(test_scores, sorted(models), ())
     return score_test(fit_full(table, _raw_stack(candidate, names), power=power), test)
 
