@@ -2,31 +2,107 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
+from ..functions.hash_state import RunningSha256
 from .alignment import hash_chain, or_pass
 from .ranking import best_per_key, row_numbers
 
 # Fixed value: digests joined into one at each level of a file's tree digest.
 FAN = 4096
+# Files above this are hashed in splits; so many of them at a time.
+WHOLE_BYTES = 1 << 27
+SIDE_BY_SIDE = 16
+# Names that the text source unpacks, and the mark it skips.
+CODECS = r"\.(gz|gzip|bz2|deflate|lz4|snappy|zst|zstd)$"
+BOM = b"\xef\xbb\xbf"
 
 
 def file_table(spark: SparkSession, path: str | Sequence[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
     """``path, name, size, sha256`` of every file, hashed on the executors.
 
-    A file is one row, so files above 2 GB cannot be read this way; artifact
-    tables are written as many smaller part files.
+    A file of up to ``WHOLE_BYTES`` is one row of the ``binaryFile`` source. A larger one is read in splits: a task hashes one
+    split from the hash state that the task before left, so no task reads a whole file. Its rounds follow each other, files go side by side.
+    Larger files whose names end like a codec's (``.gz``) would be read unpacked in splits, so they stay one row (2 GB at most).
     """
+
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     files = reader.load(path if isinstance(path, str) else list(path))
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    # The source does not open files that a plain condition on the length leaves out.
+    whole = [files.where(F.col("length") <= WHOLE_BYTES)]
+    large = files.where(F.col("length") > WHOLE_BYTES).select("path", "length", F.lower("path").rlike(CODECS).alias("packed")).collect()
+    if any(f["packed"] for f in large):
+        whole.append(files.where((F.col("length") > WHOLE_BYTES) & F.lower("path").rlike(CODECS)))
+    hashed = reduce(DataFrame.unionByName, whole).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    cut = [f for f in large if not f["packed"]]
+    if cut:
+        with ThreadPoolExecutor(min(len(cut), SIDE_BY_SIDE)) as pool:
+            digests = list(pool.map(inheritable_thread_target(spark)(lambda f: _chained(spark, f["path"], f["length"])), cut))
+        rows = [(f["path"], f["length"], d) for f, d in zip(cut, digests)]
+        hashed = hashed.unionByName(spark.createDataFrame(rows, "path string, size bigint, sha256 string"))
+    return hashed.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "size", "sha256")
+
+
+def _fed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of a batch of consecutive pieces as one value."""
+    for batch in batches:
+        pieces = batch.column(0)
+        ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+        if len(pieces):
+            yield pa.RecordBatch.from_arrays([pa.array([pieces.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes()], pa.binary())], names=["bytes"])
+
+
+def _chained(spark: SparkSession, path: str, size: int) -> str:
+    """SHA-256 of one file; round k is a job of one task, which reads split k alone.
+
+    The pieces between line feeds come with the line feed before them, so that the bytes of a split need no look at the next.
+    A piece is one value, and an Arrow batch holds many, so a file should have line feeds, as tables with compressed pages do.
+    """
+    literal = re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+    pieces = spark.read.option("lineSep", "\n").text(literal).select(F.concat(F.lit(b"\n"), F.col("value").cast("binary")).alias("bytes"))
+    # A file alone is cut into splits of one size, one for each partition, in their order.
+    splits = pieces.mapInArrow(_fed, "bytes binary").rdd
+
+    def digest(opened: bytes) -> tuple[int, str]:
+        state = RunningSha256().update(opened)
+        read = len(opened)
+        begun = False
+        for k in range(splits.getNumPartitions()):
+
+            def hashed(rows: Iterator[Row], state: bytes = state.saved(), begun: bool = begun) -> Iterator[tuple[bytes, int]]:
+                running, n = RunningSha256(state), 0
+                for row in rows:
+                    part = bytes(row[0]) if begun or n else bytes(row[0])[1:]
+                    running.update(part)
+                    n += len(row[0])
+                yield running.saved(), n
+
+            ((after, n),) = spark.sparkContext.runJob(splits, hashed, [k])
+            state = RunningSha256(after)
+            read += n if begun or not n else n - 1
+            begun = begun or n > 0
+        return read, state.update(b"\n" if read == size - 1 else b"").hexdigest()
+
+    read, out = digest(b"")
+    if size - len(BOM) - 1 <= read <= size - len(BOM):
+        # The text source skips a byte order mark.
+        read, out = digest(BOM)
+    if not size - 1 <= read <= size:
+        raise RuntimeError(f"{path}: {read} bytes read of {size}")
+    return out
 
 
 def _joined() -> Column:
