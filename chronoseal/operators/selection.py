@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import DecisionRule, decide, decide_ternary
+from ..session import written
 from .grids import ternary_grid_cells
 from .metrics import (
     EQUAL_DIGITS,
@@ -158,9 +159,16 @@ def compact_weights(models: Sequence[str], weights: Sequence[Column], digits: in
 
 
 def _binary_grid(aligned: DataFrame, models: Sequence[str], precision: int, ranges: Sequence[tuple[int, int]], product: bool) -> DataFrame:
+    """Blends of every grid point; users with the same label and scores are one row of weight ``n``.
+
+    The rows are counted and written once, so that neither the alignment nor equal rows are repeated per point and pass.
+    """
     n = len(models)
-    grown = with_grid(aligned.select("label", "scores"), ranges, precision)
-    return grown.select("label", _code(n, precision).alias("code"), blend("scores", _unit_weights(n, precision, product)).alias("score"))
+    merged = written(aligned.groupBy("label", "scores").agg(F.count(F.lit(1)).alias("n")))
+    # The work per row is thousands of blends, so a few megabytes of rows are dealt to all cores, not read by one task.
+    dealt = merged.repartition(2 * aligned.sparkSession.sparkContext.defaultParallelism, "label", "scores")
+    grown = with_grid(dealt, ranges, precision)
+    return grown.select("label", "n", _code(n, precision).alias("code"), blend("scores", _unit_weights(n, precision, product)).alias("score"))
 
 
 def select_weights(
@@ -182,7 +190,7 @@ def select_weights(
     n, precision = len(models), _check_step(step)
     ranges = simplex(n, precision, round(minimum * precision))
     scored = _binary_grid(aligned, models, precision, ranges, exact_ties)
-    cuts = sweep_cuts(scored, ["code"], mode=mode, prune="all", bins=bins)
+    cuts = sweep_cuts(scored, ["code"], mode=mode, weight=F.col("n"), prune="all", bins=bins)
     if exact_ties:
         per = pick_best(cuts, ["code"], SELECTION_ORDER, None)
         best = pick_best(per.select("code", "threshold", "tp", "fp", "tn", "fn"), [], SELECTION_ORDER, None, prefer=[-F.col("threshold"), -F.col("code")])

@@ -38,3 +38,13 @@ def test_nested_selection_per_key(rows):
 def test_large_groups_are_selected_per_key(rows):
     locks = S.select_groups(rows, {"all_models": MODEL_IDS}, MODEL_IDS, RULES, 0.25, KEYS, exhaustive_limit=2).collect()
     assert sorted(r.label_policy_id for r in locks) == sorted(POLICIES)
+
+
+def test_a_binary_grid_repeats_different_rows_only(spark, monkeypatch):
+    rows = [(u, "diagnosed" if u % 3 == 0 else "control", [(u % 3) / 4, (u % 3 == 0) * 0.5]) for u in range(300)]
+    aligned = spark.createDataFrame(rows, "user_id long, label string, scores array<double>")
+    grown, grid = [], S.with_grid
+    monkeypatch.setattr(S, "with_grid", lambda df, *a: grown.append(df.count()) or grid(df, *a))
+    lock = S.select_weights(aligned, ["a", "b"], 0.5).first()
+    assert grown == [3]
+    assert (lock["tp"], lock["fp"], lock["tn"], lock["fn"]) == (100, 0, 200, 0)
