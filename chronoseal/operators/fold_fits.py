@@ -35,7 +35,7 @@ from ..session import written
 BLOCK_ROWS = 4096
 BINS = 32
 #: Boosting rounds between two stored margins: what a scan must add up again.
-KEPT_ROUNDS = 25
+KEPT_ROUNDS = 10
 #: Trees of all models whose histograms one pass of the forest sums.
 FOREST_BATCH = 50
 _U = np.uint64
@@ -356,9 +356,6 @@ class Boosted:
             out += t.value[t.node(bins, self.depth)]
         return out
 
-    def copy(self) -> Boosted:
-        return Boosted([list(t) for t in self.trees], list(self.start), self.depth)
-
     def score(self, m: int, b: Block) -> np.ndarray:
         return sigmoid(self.margin(m, b.bins))
 
@@ -402,17 +399,25 @@ def fit_boosted(
         for m in models:
             out.trees[m].append(grown[m])
         if (r + 1) % KEPT_ROUNDS == 0 and r + 1 < rounds:
-            # Rows of the last store are held until the fit ends; the new one starts from the written blocks.
-            base, kept = _with_margins(blocks, out.copy()), r + 1
+            # The new store adds the rounds since the last one to its margins; that one is held until the new one has been read.
+            since = Boosted([t[kept:] for t in out.trees], [0.0] * len(ex.sets) if kept else list(out.start), depth)
+            base, kept = _with_margins(base, since), r + 1
             stores.append(base)
+            if len(stores) > 2:
+                stores[-3].unpersist()
     for held in stores:
         held.unpersist()
     return out
 
 
-def _with_margins(blocks: Blocks, model: Boosted) -> Blocks:
-    """The blocks with the margin of every model, so that later rounds need not add up old trees."""
-    return _held(blocks.map(lambda b: replace(b, margin=np.stack([model.margin(m, b.bins) for m in range(len(model.trees))], axis=1))))
+def _with_margins(blocks: Blocks, since: Boosted) -> Blocks:
+    """The blocks with the margin of every model, so that later rounds need not add up old trees; ``since`` has the new ones."""
+
+    def add(b: Block) -> Block:
+        new = np.stack([since.margin(m, b.bins) for m in range(len(since.trees))], axis=1)
+        return replace(b, margin=new if b.margin is None else b.margin + new)
+
+    return _held(blocks.map(add))
 
 
 @dataclass
@@ -501,8 +506,8 @@ class Base:
 
 
 def _restricted(b: Block, columns: Sequence[int]) -> Block:
-    """Trees look at the bins of their own columns alone."""
-    return replace(b, bins=b.bins[:, list(columns)])
+    """Trees look at the bins of their own columns alone; keys and entries would be sent to every step for nothing."""
+    return replace(b, keys=[], x=np.zeros((len(b.fold), 0)), bins=np.ascontiguousarray(b.bins[:, list(columns)]))
 
 
 def fit_base(blocks: Blocks, ex: Exclusions, base: Base, per_fold: dict):
@@ -513,14 +518,17 @@ def fit_base(blocks: Blocks, ex: Exclusions, base: Base, per_fold: dict):
         if base.family == "logreg":
             return fit_linear(blocks, ex, maps, c=float(p.get("c", 1.0)))
         return fit_perceptron(blocks, ex, maps, hidden=int(p.get("hidden", 32)), steps=int(p.get("max_iter", 500)), seed=base.seed)
-    narrow = blocks.map(lambda b: _restricted(b, base.columns))
-    if base.family == "boost":
-        return fit_boosted(
-            narrow, ex, int(p.get("rounds", 250)), int(p.get("max_depth", 3)), float(p.get("learning_rate", 0.05)), float(p.get("subsample", 0.85)), float(p.get("columns", 0.85)), int(p.get("min_leaf", 2)), seed=base.seed
-        )
-    if base.family == "trees":
+    if base.family not in ("boost", "trees"):
+        raise ValueError(f"unsupported family: {base.family}")
+    narrow = _held(blocks.map(lambda b: _restricted(b, base.columns)))
+    try:
+        if base.family == "boost":
+            return fit_boosted(
+                narrow, ex, int(p.get("rounds", 250)), int(p.get("max_depth", 3)), float(p.get("learning_rate", 0.05)), float(p.get("subsample", 0.85)), float(p.get("columns", 0.85)), int(p.get("min_leaf", 2)), seed=base.seed
+            )
         return fit_forest(narrow, ex, int(p.get("trees", 400)), int(p.get("max_depth", 5)), int(p.get("min_leaf", 10)), base.seed)
-    raise ValueError(f"unsupported family: {base.family}")
+    finally:
+        narrow.unpersist()
 
 
 def nested_scores(spark: SparkSession, blocks: Blocks, bases: Sequence[Base], meta_c: float = 1.0) -> tuple[DataFrame, list[tuple]]:

@@ -139,3 +139,14 @@ def test_nested_stack_with_several_bases(spark):
     assert auc(y, np.array([got[f"u{i}"].score for i in range(240)])) > 0.8
     with pytest.raises(ValueError):
         MD.nested_stack(train.selectExpr("*", "array(a, b) AS v"), [MD.Candidate("g", "boost", ("v",), ("a",))], MD.Candidate("meta"))
+
+
+def test_tree_steps_carry_bins_and_stores_add_new_rounds_only(data, monkeypatch):
+    _, _, _, blocks, ex = data
+    narrow = FF._restricted(blocks.first(), (0, 2))
+    assert narrow.keys == [] and narrow.x.size == 0 and narrow.bins.shape == (len(narrow.fold), 2)
+    monkeypatch.setattr(FF, "KEPT_ROUNDS", 5)
+    added, store = [], FF._with_margins
+    monkeypatch.setattr(FF, "_with_margins", lambda held, model: added.append(len(model.trees[0])) or store(held, model))
+    model = FF.fit_boosted(blocks, ex, rounds=17, seed=5)
+    assert added == [5, 5, 5] and len(model.trees[0]) == 17
