@@ -134,8 +134,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: short lineage, safe when executors are lost."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write a table (with the writer's ``options``) to the shared folder and read it again: short lineage, safe when executors are lost."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

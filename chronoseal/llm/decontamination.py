@@ -3,6 +3,8 @@
 The index has one row per segment: some hundred thousand words of whole documents, with a sorted term list, the end
 of each posting list and the word positions of all terms, list after list. Segments are built where the documents
 are scanned, without a shuffle, and written as Parquet in the shared folder, so that a lost executor costs single tasks.
+The lists are bytes of little-endian numbers and each segment is a row group, because Spark decodes a row group at once and
+keeps two levels beside each number of a list column.
 A search sends its phrases, in blocks of a fixed size, to every segment. There the lists of a phrase are intersected
 from the rarest term on: the positions of the rarest term, less its offset, are the candidates; each further
 list, shifted by its own offset, keeps those it contains. A phrase with a term that the segment lacks ends at once.
@@ -28,10 +30,11 @@ SEGMENT_WORDS = 1 << 18
 BLOCK_PHRASES = 200_000
 SLICE = 1 << 18
 
-INDEX = (
-    "segment bigint, doc_ids array<bigint>, doc_starts array<int>, doc_words array<int>, "
-    "terms array<bigint>, ends array<int>, postings array<int>"
-)
+INDEX = "segment bigint, doc_ids array<bigint>, doc_words array<int>, doc_starts binary, terms binary, ends binary, postings binary"
+#: Kinds of numbers in the binary columns.
+PACKED = {"doc_starts": "<i4", "terms": "<i8", "ends": "<i4", "postings": "<i4"}
+#: Without the limit a row group ends at its first check of size, after 100 segments.
+ROW_GROUP = {"parquet.block.row.count.limit": "1"}
 MATCHES = "segment bigint, slot int, doc_id bigint, item_id bigint, spans array<struct<start:int,stop:int>>"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -58,17 +61,15 @@ def _segment(segment: int, ids: list[pa.Array], terms: list[np.ndarray], counts:
     ordered = flat[order]
     last = np.flatnonzero(np.concatenate((ordered[1:] != ordered[:-1], [True]))) if len(ordered) else np.zeros(0, np.int64)
     one = lambda values: A.list_array(values, np.array([len(values)]))
+    packed = {"doc_starts": first, "terms": ordered[last], "ends": last + 1, "postings": positions[order]}
     return pa.RecordBatch.from_arrays(
         [
             pa.array([segment], pa.int64()),
             one(doc_ids),
-            one(pa.array(first, pa.int32())),
             one(pa.array(n, pa.int32())),
-            one(pa.array(ordered[last])),
-            one(pa.array(last + 1, pa.int32())),
-            one(pa.array(positions[order], pa.int32())),
+            *(pa.array([values.astype(PACKED[name]).tobytes()], pa.binary()) for name, values in packed.items()),
         ],
-        names=["segment", "doc_ids", "doc_starts", "doc_words", "terms", "ends", "postings"],
+        names=["segment", "doc_ids", "doc_words", *packed],
     )
 
 
@@ -100,7 +101,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """
     # Unique per partition and row, hence a unique base for the segments of a task.
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), "text")
-    return stored(rows.mapInArrow(A.released(_build), INDEX), "index")
+    return stored(rows.mapInArrow(A.released(_build), INDEX), "index", **ROW_GROUP)
 
 
 def index_documents(index: DataFrame) -> DataFrame:
@@ -210,9 +211,10 @@ class Segment:
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, dict[str, np.ndarray]]]:
     for i in range(len(batch)):
-        value = lambda name: batch.column(batch.schema.get_field_index(name))[i].values  # noqa: E731, B023
-        arrays = {k: value(k).to_numpy(zero_copy_only=False) for k in ("doc_starts", "doc_words", "terms", "ends", "postings")}
-        yield batch.column(0)[i].as_py(), value("doc_ids"), arrays
+        value = lambda name: batch.column(batch.schema.get_field_index(name))[i]  # noqa: E731, B023
+        arrays = {k: np.frombuffer(value(k).as_buffer(), kind) for k, kind in PACKED.items()}
+        arrays["doc_words"] = value("doc_words").values.to_numpy(zero_copy_only=False)
+        yield batch.column(0)[i].as_py(), value("doc_ids").values, arrays
 
 
 def _merged(group: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from chronoseal.llm import decontamination as D
@@ -90,6 +91,21 @@ def test_contamination_matches_brute_force(spark, odd_docs, monkeypatch):
     assert set(map(tuple, whole.collect())) == set(map(tuple, parts.collect()))
 
 
+def test_a_segment_of_the_index_is_a_row_group(spark):
+    # Readers take the rows of a row group together; lists of numbers cost them several times their bytes.
+    text = " ".join(f"w{i}" for i in range(100_000))
+    index = D.build_index(spark.range(8, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")))
+    (file,) = [pq.ParquetFile(path.removeprefix("file://")).metadata for path in index.inputFiles()]
+    assert [file.row_group(k).num_rows for k in range(file.num_row_groups)] == [1, 1, 1]
+    kinds = {file.schema.column(k).path: file.schema.column(k).physical_type for k in range(len(file.schema))}
+    assert {kinds.get(name) for name in ("terms", "ends", "postings")} == {"BYTE_ARRAY"}
+    items = spark.createDataFrame([(1, "w99998 w99999"), (2, "w99999 w0")], "item_id bigint, text string")
+    found = D.phrase_matches(index, items).collect()
+    assert sorted((r.doc_id, r.item_id, r.spans[0].start, r.spans[0].stop) for r in found) == [(k, 1, 99_998, 100_000) for k in range(8)]
+    wordless = D.contamination(spark.createDataFrame([(1, None), (2, "!")], "doc_id bigint, text string"), items).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in wordless) == [(1, 0, 0, []), (2, 0, 0, [])]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "rare x x common"), (2, "rare x x x x x common"), (3, "common rare"), (4, "rare")], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, "rare common")], "item_id bigint, text string")
